@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -59,7 +61,7 @@ def in_bounds(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
         if not n:
             continue
         sizes = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(sizes), 0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(sizes), 0), dtype=np.int64))
         start = 0
         while start < n:
             base = ends[start - 1] if start else 0
