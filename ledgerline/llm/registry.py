@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules in order of the operators' numbers.
-MODULES = ("topk", "langid", "token_files", "simhash", "bpe")
+MODULES = ("topk", "langid", "lattice_lm", "token_files", "simhash", "bpe")
 
 
 def queries() -> dict[str, Callable]:
