@@ -3,10 +3,10 @@
 A vector's score against a query is an integer inner product, the sum of partial scores over equal
 slices of the dimensions. Each slice is a score list.
 
-1. Every partition gives, for each query and slice, its k best partial scores and its lowest one.
-   Merged, they give a lower bound of each seen vector's score (the lowest score stands for a slice
-   in which it was not seen), and the k-th best bound of a query is a score the answer must reach.
-2. What is left of that bound above the lists' lowest scores, divided evenly among the slices, is the
+1. Every partition gives, for each query and slice, the vectors of its k best partial scores, with
+   their whole scores, and the lowest partial score. The k-th best score of a query among these is one
+   that the answer must reach.
+2. What is left of that score above the lists' lowest scores, divided evenly among the slices, is the
    cutoff: a vector under it in every slice can't be in the answer. The cutoffs of a block of queries
    (bounded in size) are sent to all partitions, which return all entries that reach them.
 3. Scores of the entries' vectors that are not known in every slice are looked up and added exactly.
@@ -88,27 +88,23 @@ def _search_block(base: DataFrame, queries: np.ndarray, keys: np.ndarray, k: int
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, parts, at in blocks(batches):
             n, w = parts[0].shape
-            take = min(k, n)
+            take, whole = min(k, n), sum(parts)
             for i, s in enumerate(parts):
                 top = np.argpartition(s, n - take, axis=0)[n - take :]
-                own = np.take_along_axis(s, top, 0)
                 query = np.broadcast_to(np.arange(at, at + w, dtype=np.int32), top.shape)
                 lowest = np.broadcast_to(s.min(0), top.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(query.ravel()), pa.array(np.full(top.size, i, np.int32)), pa.array(ids[top].ravel()), pa.array(own.ravel()), pa.array(lowest.ravel())], names=["query", "slice", "vec_id", "s", "lowest"])
+                yield pa.RecordBatch.from_arrays([pa.array(query.ravel()), pa.array(np.full(top.size, i, np.int32)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(whole, top, 0).ravel()), pa.array(lowest.ravel())], names=["query", "slice", "vec_id", "score", "lowest"])
 
     # phase 1
-    lists = base.mapInArrow(gather, "query int, slice int, vec_id bigint, s bigint, lowest bigint")
-    per_list = Window.partitionBy("query", "slice")
-    heads = lists.withColumn("rank", F.row_number().over(per_list.orderBy(F.desc("s"), "vec_id"))).where(F.col("rank") <= k)
-    lowest = lists.groupBy("query").pivot("slice", list(range(m))).agg(F.min("lowest"))
-    lows = lowest.select("query", F.array(*(F.col(str(i)) for i in range(m))).alias("lows"))
-    bound = heads.groupBy("query", "vec_id").agg(F.map_from_entries(F.collect_list(F.struct("slice", "s"))).alias("seen")).join(lows, "query")
-    bound = bound.withColumn("bound", sum((F.coalesce(F.col("seen")[i], F.col("lows")[i]) for i in range(m)), F.lit(0)))
-    kth = bound.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "vec_id"))).where(F.col("rank") <= k)
-    kth = kth.groupBy("query").agg(F.min("bound").alias("bound"), F.count("*").alias("n"), F.first("lows").alias("lows"))
+    lists = base.mapInArrow(gather, "query int, slice int, vec_id bigint, score bigint, lowest bigint")
+    # a vector may head several slices
+    seen = lists.groupBy("query", "vec_id", "score").agg(*(F.min(F.when(F.col("slice") == i, F.col("lowest"))).alias(f"low{i}") for i in range(m)))
+    ranked = seen.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+    lows = [F.min(f"low{i}").alias(f"low{i}") for i in range(m)]
+    kth = ranked.groupBy("query").agg(F.min(F.when(F.col("rank") <= k, F.col("score"))).alias("bound"), F.count("*").alias("n"), F.array(*lows).alias("lows"))
     cutoffs = np.full((m, len(queries)), np.iinfo(np.int64).min)
     for r in kth.collect():  # one row for each query of the block
-        if r.n == k:
+        if r.n >= k:
             spare = r.bound - sum(r.lows)
             cutoffs[:, r.query] = [low + -(-spare // m) if spare > 0 else low for low in r.lows]
     cut = spark.sparkContext.broadcast(cutoffs)
