@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules in order of the operators' numbers.
-MODULES = ("topk", "langid", "lattice_lm", "token_files", "url_filters", "simhash", "sentence_spans", "bpe")
+MODULES = ("topk", "langid", "lattice_lm", "token_files", "url_filters", "simhash", "sentence_spans", "decontaminate", "bpe")
 
 
 def queries() -> dict[str, Callable]:
