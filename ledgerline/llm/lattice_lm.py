@@ -116,7 +116,7 @@ class Pieces:
     def forward(self, grid: np.ndarray, logs: np.ndarray, counts: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
         """Log probability of each word ([n, classes]) by the classes' piece logs ([pieces, classes]).
 
-        Adds expected piece counts, times weight ([n, classes]), to counts.
+        Adds expected piece counts, times weight, to counts (both by class; logs may have one class for all).
         """
         n, length = grid.shape
         alpha = np.full((length + 1, n, logs.shape[1]), -np.inf)
@@ -132,12 +132,15 @@ class Pieces:
         if counts is not None:
             beta = np.full(alpha.shape, -np.inf)
             beta[length] = 0
+            met, shares = [np.zeros(0, np.int64)], [np.zeros((0, weight.shape[1]))]
             for start, end, rows, found in reversed(edges):
                 through = logs[found] + beta[end, rows]
-                share = np.exp(alpha[start, rows] + through - alpha[length, rows]) * weight[rows]
-                for k in range(logs.shape[1]):
-                    counts[:, k] += np.bincount(found, weights=share[:, k], minlength=len(counts))
+                met.append(found)
+                shares.append(np.exp(alpha[start, rows] + through - alpha[length, rows]) * weight[rows])
                 beta[start, rows] = np.logaddexp(beta[start, rows], through)
+            at, share = np.concatenate(met), np.concatenate(shares)
+            for k in range(weight.shape[1]):
+                counts[:, k] += np.bincount(at, weights=share[:, k], minlength=len(counts))
         return alpha[length]
 
     def words(self, words: list[bytes], logs: np.ndarray, counts: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
@@ -237,13 +240,13 @@ def score(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
 
     v = pieces(path)
     # one step of expectation and maximisation at a time, each a row for each piece of the vocabulary and class
-    logs = np.log(np.repeat(v.prior[:, None], n_classes, axis=1))
+    logs = np.log(v.prior[:, None])
     for _ in range(STEPS):
         sent = spark.sparkContext.broadcast(logs)
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             v = pieces(path)
-            counts = np.zeros(sent.value.shape)
+            counts = np.zeros((len(v.pieces), n_classes))
             for b in batches:
                 weight = np.stack([b.column(x).to_numpy() for x in columns], axis=1) > 0
                 v.words(b.column("word").to_pylist(), sent.value, counts, weight.astype(np.float64))
