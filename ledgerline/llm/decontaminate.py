@@ -166,19 +166,23 @@ def _index(sent) -> Index:
     return _INDEXES[sent.value["name"]]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits, place): every benchmark item in every document that holds it."""
+def _blocks(benchmark: DataFrame) -> Iterator:
+    """Blocks of items, sent to workers."""
     import uuid
 
-    spark = docs.sparkSession
+    spark = benchmark.sparkSession
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size * 2 // ITEMS) if size > ITEMS else 1
-    schema = "doc_id bigint, item_id bigint, edits int, place int"
-    out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        sent = spark.sparkContext.broadcast({"name": uuid.uuid4().hex, "items": [(r.item_id, r.text) for r in rows]})
+        yield spark.sparkContext.broadcast({"name": uuid.uuid4().hex, "items": [(r.item_id, r.text) for r in rows]})
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, edits, place): every benchmark item in every document that holds it."""
+    out = None
+    for sent in _blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = _index(sent)
@@ -189,15 +193,23 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ids = [index.ids[i] for i in item]
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(text)), pa.array(ids, pa.int64()), pa.array(edits, pa.int32()), pa.array(place, pa.int32())], names=["doc_id", "item_id", "edits", "place"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint, edits int, place int")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in whose texts no benchmark item is found; a scan, all columns kept."""
-    found = matches(docs, benchmark).select("doc_id").distinct().withColumnRenamed("doc_id", "found_id")
-    return docs.join(found, docs.doc_id.eqNullSafe(found.found_id), "left_anti")
+    """The rows of docs in whose texts no benchmark item is found; a scan that shuffles nothing."""
+    for sent in _blocks(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = _index(sent)
+            for b in common.in_bounds(batches, most=SLICE):
+                found = {f[0] for f in index.scan([normal(t) for t in b.column("text").to_pylist()])}
+                yield b.filter(pa.array([k not in found for k in range(b.num_rows)], pa.bool_())) if found else b
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
