@@ -81,7 +81,9 @@ def removals(docs: DataFrame, span: int = SPAN) -> DataFrame:
     runs = keyed.mapInArrow(hashed, "doc_id bigint, h bigint, at int, a bigint, b bigint")
     occurrence = F.struct("doc_id", "h", "at")
     repeated = runs.groupBy("a", "b").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last")).where("first <> last")
-    others = runs.join(repeated.select("a", "b", "first"), ["a", "b"]).where(~F.col("first").eqNullSafe(occurrence))
+    # read back, the join below is plain and its large partitions can be split
+    repeated = common.scratch(repeated.select("a", "b", "first"), "runs")
+    others = runs.join(repeated, ["a", "b"]).where(~F.col("first").eqNullSafe(occurrence))
     return others.groupBy("doc_id", "h").agg(F.collect_set("at").alias("at"))
 
 

@@ -284,6 +284,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, h, text) -> (doc_id, h, spans): for each document with repeated windows, pairs of first byte and byte after."""
     found = common.scratch(docs.mapInArrow(describe, ANCHOR), "anchors")
     twice = found.groupBy("g").agg(F.count("*").alias("total")).where("total > 1").select("g")
+    # read back, the join is plain and its large partitions can be split
+    twice = common.scratch(twice, "grams")
     shared = common.scratch(found.join(twice, "g", "left_semi"), "shared")
     context = shared.groupBy("g", "c").agg(F.count("*").alias("n"), F.first("l").alias("l"), F.first("r").alias("r"), F.min(F.struct("doc_id", "h", "at", "left", "size")).alias("where"))
     context = common.scratch(context, "contexts")
