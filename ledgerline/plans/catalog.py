@@ -6,7 +6,10 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that register queries, in order.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = (
+    "ledgerline.operators.lexical",
+    "ledgerline.operators.metrics",
+)
 
 
 def queries() -> dict[str, Callable]:
