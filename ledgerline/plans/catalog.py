@@ -9,6 +9,8 @@ from importlib import import_module
 MODULES: tuple[str, ...] = (
     "ledgerline.operators.lexical",
     "ledgerline.operators.metrics",
+    "ledgerline.operators.dense",
+    "ledgerline.operators.fusion",
 )
 
 
