@@ -11,6 +11,8 @@ MODULES: tuple[str, ...] = (
     "ledgerline.operators.metrics",
     "ledgerline.operators.dense",
     "ledgerline.operators.fusion",
+    "ledgerline.operators.conditions",
+    "ledgerline.operators.corpus",
 )
 
 
