@@ -13,6 +13,12 @@ MODULES: tuple[str, ...] = (
     "ledgerline.operators.fusion",
     "ledgerline.operators.conditions",
     "ledgerline.operators.corpus",
+    "ledgerline.operators.chunking",
+    "ledgerline.operators.spans",
+    "ledgerline.operators.answers",
+    "ledgerline.operators.pools",
+    "ledgerline.operators.conversations",
+    "ledgerline.streaming.limits",
 )
 
 
