@@ -46,21 +46,26 @@ def repetition(turns: DataFrame) -> DataFrame:
 
 
 def replay(turns: DataFrame, answer: Callable[[str, list], str | None]) -> DataFrame:
-    """(conv_id, turn, answer): user turns answered in order; a turn without an answer does not enter the history."""
-
-    def run(key, table: pa.Table) -> pa.Table:
-        rows = sorted((r for r in table.to_pylist() if r["role"] == "user" and r["text"]), key=lambda r: r["turn"])
-        past: list = []
-        out = []
-        for r in rows:
-            got = answer(r["text"], past[-TURNS:])
-            out.append((r["conv_id"], r["turn"], got))
-            if got:
-                past.append((r["text"], got))
-        conv, turn, text = zip(*out) if out else ((), (), ())
-        return pa.table({"conv_id": pa.array(conv, pa.int64()), "turn": pa.array(turn, pa.int64()), "answer": pa.array(text, pa.string())})
-
-    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInArrow(run, "conv_id bigint, turn bigint, answer string")
+    """(conv_id, turn, answer): user turns answered in order; a turn without an answer does not enter the history.
+
+    A conversation's turns stream through one task in order; what is kept is its last TURNS answers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conversation, past = None, []
+        for b in batches:
+            out = []
+            for c, text in zip(b.column("conv_id").to_pylist(), b.column("text").to_pylist()):
+                if c != conversation:
+                    conversation, past = c, []
+                got = answer(text, past)
+                out.append(got)
+                if got:
+                    past = [*past, (text, got)][-TURNS:]
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(out, pa.string())], names=["conv_id", "turn", "answer"])
+
+    asked = turns.where("role = 'user' and text <> ''").select("conv_id", "turn", "text")
+    return asked.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInArrow(run, "conv_id bigint, turn bigint, answer string")
 
 
 def conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ MODULES: tuple[str, ...] = (
     "ledgerline.operators.answers",
     "ledgerline.operators.pools",
     "ledgerline.operators.conversations",
+    "ledgerline.operators.external",
     "ledgerline.streaming.limits",
 )
 
