@@ -20,6 +20,7 @@ MODULES: tuple[str, ...] = (
     "ledgerline.operators.conversations",
     "ledgerline.operators.external",
     "ledgerline.streaming.limits",
+    "ledgerline.plans.retrieval",
 )
 
 
