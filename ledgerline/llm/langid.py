@@ -31,6 +31,8 @@ from . import common
 UNKNOWN = "und"
 #: Rows of the sample, labels at most, bits of the trigram table, cost of switching (natural logarithm).
 SAMPLE, LANGUAGES, BITS, PENALTY = 20_000, 64, 18, 12.0
+#: Bytes of text at a time: all of their letters' scores are held.
+SLICE = 1 << 20
 #: Added to each count; share of a language's letters in a script from which it is a candidate there.
 SMOOTH, SCRIPT_SHARE = 0.05, 0.005
 #: First and last code point of scripts' ranges, and the script (fixed values of the Unicode standard).
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, training, rows: int = SAMPLE) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((len(languages), 1 << BITS), np.int64)
         scripts = np.zeros((len(languages), len(NAMES)), np.int64)
-        for b in common.in_bounds(batches):
+        for b in common.in_bounds(batches, most=SLICE):
             texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
             for k, language in enumerate(languages):
                 w = Words([t for t, x in zip(texts, langs) if x == language])
@@ -184,7 +186,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in keep) + "lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.in_bounds(batches):
+        for b in common.in_bounds(batches, most=SLICE):
             names, score = sent.value.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
