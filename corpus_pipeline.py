@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.lit(True))
     if not model.languages:  # nothing to learn from: no decision
         return docs
-    named = langid.identify(docs, model)
-    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
+    named = langid.identify(docs, model, ("_lang", "_score"))
+    return named.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,16 +179,16 @@ def fit(docs: DataFrame, training, rows: int = SAMPLE) -> Model:
     return Model(languages, table[:, : 1 << BITS].T, table[:, 1 << BITS :].T)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score in place of columns of these names; only text is looked at."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score in place of columns of these names; only text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [f.name for f in docs.schema if f.name not in ("lang_pred", "score")]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in keep) + "lang_pred string, score double"
+    keep = [f.name for f in docs.schema if f.name not in names]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in keep) + f"{names[0]} string, {names[1]} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.in_bounds(batches, most=SLICE):
-            names, score = sent.value.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            found, score = sent.value.predict(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(found, pa.string()), pa.array(score)], names=[*keep, *names])
 
     return docs.select(*keep).mapInArrow(run, schema)
 

@@ -241,13 +241,13 @@ def keep_one(docs: DataFrame, words: int = 5, seeds: tuple[int, ...] = (42, 43,
     prints = common.scratch(fingerprints(docs, words, seeds, SKETCH), "fingerprints")
     names = [f"f{i}" for i in range(len(seeds))]
     found = component_ids(prints, radius, len(seeds), 1).select("doc_id", "component_id", *names)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs.doc_id == F.col("gone_id"), "left_anti")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id")).distinct()
+    kept = docs.join(gone, docs.doc_id == F.col("_gone_id"), "left_anti")
     text = F.xxhash64("text")
-    if docs.where("doc_id is not null").groupBy("doc_id", text.alias("h")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    if docs.where("doc_id is not null").groupBy("doc_id", text.alias("_hash")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
     order = F.row_number().over(Window.partitionBy("doc_id", text).orderBy("doc_id"))
-    return kept.withColumn("nth", F.when(F.col("doc_id").isNotNull(), order).otherwise(1)).where("nth = 1").drop("nth")
+    return kept.withColumn("_nth", F.when(F.col("doc_id").isNotNull(), order).otherwise(1)).where("_nth = 1").drop("_nth")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,10 +319,11 @@ def covered(size: int, spans) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with an array of spans (null: none)."""
-    keyed = docs.withColumn("h", F.xxhash64("text"))
-    found = repeats(keyed.select("doc_id", "h", "text")).withColumnsRenamed({"doc_id": "id", "h": "th"})
-    return keyed.join(found, keyed.h.eqNullSafe(found.th) & keyed.doc_id.eqNullSafe(found.id), "left").drop("id", "th", "h")
+    """docs with an array of spans (null: none) in a column _spans."""
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    found = repeats(keyed.select("doc_id", F.col("_hash").alias("h"), "text")).select(F.col("doc_id").alias("_found_id"), F.col("h").alias("_found_hash"), F.col("spans").alias("_spans"))
+    met = keyed.join(found, keyed["_hash"].eqNullSafe(found["_found_hash"]) & keyed["doc_id"].eqNullSafe(found["_found_id"]), "left")
+    return met.select(*(keyed[c] for c in docs.columns), "_spans")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -333,7 +334,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.in_bounds(batches):
             texts = []
-            for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+            for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist()):
                 if s:
                     data = np.frombuffer(common.text_bytes(t), np.uint8)
                     t = data[~covered(len(data), s)].tobytes().decode("utf-8", "ignore")  # parts of a character go, too
@@ -352,7 +353,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.in_bounds(batches):
             rows = []
-            for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+            for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist()):
                 data = common.text_bytes(t)
                 gone = covered(len(data), s)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if s else data
@@ -361,7 +362,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             size, removed, n_spans, digest = zip(*rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs).select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return with_spans(docs).select("doc_id", "text", "_spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
