@@ -68,7 +68,7 @@ class Codec:
         self.token_bytes = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
         self.library = Tokenizer.from_file(path)
         self.fast = self._ranked(spec, vocabulary)
-        self.cut = self.certain_cuts(self.token_bytes.values())
+        self.cut_flat = self.certain_cuts(self.token_bytes.values()).ravel()
         self.added = {t.encode(): i for t, i in added.items()}
         self.token_bytes |= {i: t for t, i in self.added.items()}
         self.dtype = "<u2" if max(self.token_bytes) < 1 << 16 else "<u4"
@@ -98,20 +98,26 @@ class Codec:
         safe[np.ix_([*range(33, 127), *range(128, 192)], SPACE)] = True
         return safe & ~inside
 
-    def fragments(self, data: bytes) -> list[bytes]:
-        """The pieces of a text's bytes between certain cuts."""
-        if len(data) < 2:
-            return [data] if data else []
-        a = np.frombuffer(data, dtype=np.uint8)
-        at = np.flatnonzero(self.cut[a[:-1], a[1:]])
+    def cut_places(self, a: np.ndarray, text_ends: np.ndarray | None = None) -> np.ndarray:
+        """Ends of the fragments of a text, or of several that end at text_ends."""
+        cut = self.cut_flat[(a[:-1].astype(np.uint16) << np.uint16(8)) | a[1:]]
+        at = np.flatnonzero(cut)
         if len(wide := np.flatnonzero(a[at] > 127)):  # no cut after white space beyond ASCII
             i = at[wide]
             x, y, z = a[i], a[np.maximum(i - 1, 0)], a[np.maximum(i - 2, 0)]
             general = (z == 0xE2) & (((y == 0x80) & ((x <= 0x8A) | (x == 0xA8) | (x == 0xA9) | (x == 0xAF))) | ((y == 0x81) & (x == 0x9F)))
             blank = ((y == 0xC2) & ((x == 0xA0) | (x == 0x85))) | general | ((y == 0x80) & (x == 0x80) & (z == 0xE3)) | ((y == 0x9A) & (x == 0x80) & (z == 0xE1))
             at = np.delete(at, wide[blank])
-        ends = (at + 1).tolist()
-        return [data[i:j] for i, j in zip([0, *ends], [*ends, len(data)])]
+        if text_ends is None:
+            return np.append(at + 1, len(a))
+        return np.union1d(at + 1, text_ends[text_ends > 0])
+
+    def fragments(self, data: bytes) -> list[bytes]:
+        """The pieces of a text's bytes between certain cuts."""
+        if len(data) < 2:
+            return [data] if data else []
+        ends = self.cut_places(np.frombuffer(data, dtype=np.uint8)).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends)]
 
     def ids(self, fragment: bytes) -> list[int]:
         """The ids of one fragment."""
@@ -139,6 +145,117 @@ class Codec:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Table:
+    """Fragments of at most 16 bytes and their ids in arrays, for whole slices of text at a time.
+
+    A fragment is its length, its first and its last 8 bytes, which name it exactly. Slots follow a hash
+    of these, with PROBES tries; what finds no slot, and longer fragments, are encoded anew in a slice.
+    """
+
+    SLOTS, PROBES = 20, 4
+
+    def __init__(self, c: Codec):
+        self.codec = c
+        self.keep = np.array([(1 << 8 * n) - 1 if n < 8 else 0xFFFFFFFFFFFFFFFF for n in range(17)], dtype=np.uint64)
+        self.reset()
+
+    def reset(self) -> None:
+        n = 1 << self.SLOTS
+        self.first, self.last, self.size = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+        self.offset, self.count = np.zeros(n, np.int64), np.zeros(n, np.uint8)
+        self.pool, self.used, self.held = np.zeros(1 << 20, self.codec.dtype), 0, 0
+
+    def add(self, ids: list[int]) -> int:
+        """Puts ids into the pool: where."""
+        new = np.array(ids, self.codec.dtype)
+        while self.used + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.codec.dtype)])
+        at = self.used
+        self.pool[at : at + len(new)] = new
+        self.used += len(new)
+        return at
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        c = self.codec
+        if c.split_added is not None and any(t in x for x in texts for t in c.added):
+            each = [b"".join(map(packer(c).__getitem__, c.parts(x))) for x in texts]
+            counts = np.array([len(e) for e in each], dtype=np.int64) // np.dtype(c.dtype).itemsize
+            return np.frombuffer(b"".join(each), c.dtype), counts
+        if self.held > 0.6 * (1 << self.SLOTS) or self.used > 1 << 24:
+            self.reset()
+        data = b"".join(texts)
+        n = len(data)
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        if not n:
+            return np.zeros(0, c.dtype), np.zeros(len(texts), np.int64)
+        ends = c.cut_places(np.frombuffer(data, np.uint8), text_ends)
+        starts = np.concatenate([[0], ends[:-1]])
+        length = ends - starts
+        words = common.unaligned_u64(np.frombuffer(data + bytes(16), np.uint8))
+        short = np.minimum(length, 16)
+        first = words[starts] & self.keep[short]
+        last = np.where(length > 8, words[np.maximum(ends - 8, 0)], np.uint64(0))
+        size = length.astype(np.uint8)
+        h = common.mix64((first * np.uint64(0x9E3779B97F4A7C15)) ^ (last + length.astype(np.uint64)))
+        slot = (h >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        offset, count = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        left = np.flatnonzero(length <= 16)
+        at = slot[left]
+        for _ in range(self.PROBES):
+            hit = (self.first[at] == first[left]) & (self.last[at] == last[left]) & (self.size[at] == size[left])
+            good, where = left[hit], at[hit]
+            offset[good], count[good] = self.offset[where], self.count[where]
+            left, at = left[~hit], (at[~hit] + 1) & ((1 << self.SLOTS) - 1)
+            if not len(left):
+                break
+        self.insert(data, np.concatenate([left, np.flatnonzero(length > 16)]), starts, ends, first, last, slot, offset, count)
+        total = int(count.sum())
+        begin = np.cumsum(count) - count
+        flat = self.pool[np.repeat(offset - begin, count) + np.arange(total)]
+        cumulated = np.concatenate([[0], np.cumsum(count)])
+        per_text = cumulated[np.searchsorted(ends, text_ends, side="right")]
+        return flat, np.diff(np.concatenate([[0], per_text]))
+
+    def insert(self, data, missed, starts, ends, first, last, slot, offset, count) -> None:
+        """Encodes fragments that the table lacks, and gives them free slots."""
+        if not len(missed):
+            return
+        c = self.codec
+        known: dict[bytes, int] = {}
+        named = [known.setdefault(data[i:j], len(known)) for i, j in zip(starts[missed].tolist(), ends[missed].tolist())]
+        flat: list[int] = []
+        sizes = []
+        for fragment in known:
+            ids = _ids(c, fragment)
+            flat += ids
+            sizes.append(len(ids))
+        n = np.array(sizes, dtype=np.int64)
+        at = self.add(flat) + np.cumsum(n) - n
+        offset[missed], count[missed] = at[named], n[named]
+        # one place of each new fragment
+        rows = np.zeros(len(known), np.int64)
+        rows[named] = missed
+        rows = rows[(ends[rows] - starts[rows] <= 16) & (n < 256)]
+        for step in range(self.PROBES):
+            x = (slot[rows] + step) & ((1 << self.SLOTS) - 1)
+            x, once = np.unique(x, return_index=True)
+            free = self.size[x] == 0
+            x, put = x[free], rows[once[free]]
+            self.first[x], self.last[x], self.size[x] = first[put], last[put], (ends[put] - starts[put]).astype(np.uint8)
+            self.offset[x], self.count[x] = offset[put], count[put].astype(np.uint8)
+            self.held += len(x)
+            rows = rows[~np.isin(rows, put)]
+            if not len(rows):
+                break
+
+
+def table(c: Codec) -> Table:
+    if not hasattr(c, "table"):
+        c.table = Table(c)
+    return c.table
+
+
 class Memo(dict):
     """Fragment -> what `make` gives for it; bounded."""
 
