@@ -19,6 +19,7 @@ MODULES: tuple[str, ...] = (
     "ledgerline.operators.pools",
     "ledgerline.operators.conversations",
     "ledgerline.operators.external",
+    "ledgerline.operators.review",
     "ledgerline.streaming.limits",
     "ledgerline.plans.retrieval",
 )
