@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,7 +44,20 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more, and lets Spark remove the shuffle files of their steps."""
+    spark = tables[0].sparkSession
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        path.getFileSystem(hadoop).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def crc_of_id(column: str = "doc_id"):

@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     links = common.scratch(links, "links")
     state = None
     while True:
-        links = common.scratch(_star(_star(links, True), False), "links")
+        before, links = links, common.scratch(_star(_star(links, True), False), "links")
+        common.drop(before)
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == state:
             break

@@ -188,7 +188,9 @@ def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int =
                     yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
 
     word = ", ".join(f"f{i}: bigint" for i in range(n))
-    return full.select("class", "tile", "class_a", "tile_a", "prints_a", "prints").mapInArrow(run, f"a struct<{word}>, b struct<{word}>")
+    out = full.select("class", "tile", "class_a", "tile_a", "prints_a", "prints").mapInArrow(run, f"a struct<{word}>, b struct<{word}>")
+    out._tiles = packed
+    return out
 
 
 def component_ids(prints: DataFrame, radius: int = 3, words: int = 1, parts: int | None = None) -> DataFrame:
@@ -207,18 +209,21 @@ def component_ids(prints: DataFrame, radius: int = 3, words: int = 1, parts: int
         each = prints.select(*names, F.explode("sketch").alias("s")).distinct()
         shared = common.scratch(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"), "sketches")
         compared = common.scratch(each.join(shared, "s").select(*names).distinct(), "compared")
+        common.drop(shared)
     links = near_links(compared.select(*names), radius, words, parts)
     # a node is named by a fingerprint; one word is its own name
-    if words == 1:
-        links = links.select(F.col("a.f0").alias("u"), F.col("b.f0").alias("v"))
-    else:
-        links = links.select(F.concat_ws("/", *(F.col(f"a.{n}").cast("string") for n in names)).alias("u"), F.concat_ws("/", *(F.col(f"b.{n}").cast("string") for n in names)).alias("v"))
-    name = F.col("f0") if words == 1 else F.concat_ws("/", *(F.col(n).cast("string") for n in names))
-    roots = components(links)
-    known = distinct.withColumn("node", name).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(lowest, "root").select(*names, "component_id")
-    return prints.join(named, names)
+    named = lambda side: F.col(f"{side}.f0") if words == 1 else F.concat_ws("/", *(F.col(f"{side}.{n}").cast("string") for n in names))
+    found = common.scratch(links.select(named("a").alias("u"), named("b").alias("v")), "near")
+    common.drop(links._tiles, *([compared] if compared is not distinct else []))
+    roots = components(found)
+    node = F.col("f0") if words == 1 else F.concat_ws("/", *(F.col(n).cast("string") for n in names))
+    known = common.scratch(distinct.withColumn("node", node).join(roots, "node", "left"), "known")
+    linked = known.where("root is not null")
+    lowest = common.scratch(linked.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
+    alone = known.where("root is null").select(*names, F.col("least").alias("component_id"))
+    named_all = common.scratch(linked.join(lowest, "root").select(*names, "component_id").unionByName(alone), "named")
+    common.drop(distinct, found, known, lowest)
+    return prints.join(named_all, names)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:

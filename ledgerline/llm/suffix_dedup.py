@@ -282,23 +282,26 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, h, text) -> (doc_id, h, spans): for each document with repeated windows, pairs of first byte and byte after."""
+    # aggregates are read back before they join, so that the joins are plain and their large partitions can be split
     found = common.scratch(docs.mapInArrow(describe, ANCHOR), "anchors")
-    twice = found.groupBy("g").agg(F.count("*").alias("total")).where("total > 1").select("g")
-    # read back, the join is plain and its large partitions can be split
-    twice = common.scratch(twice, "grams")
+    twice = common.scratch(found.groupBy("g").agg(F.count("*").alias("total")).where("total > 1").select("g"), "grams")
     shared = common.scratch(found.join(twice, "g", "left_semi"), "shared")
+    common.drop(found, twice)
     context = shared.groupBy("g", "c").agg(F.count("*").alias("n"), F.first("l").alias("l"), F.first("r").alias("r"), F.min(F.struct("doc_id", "h", "at", "left", "size")).alias("where"))
     context = common.scratch(context, "contexts")
-    several = context.groupBy("g").agg(F.count("*").alias("d")).where("d > 1")
-    halves = [context.where(f"{x} is not null").groupBy("g", x).agg(F.count("*").alias("k")).where("k > 1").select("g", x, F.lit(True).alias(f"{x}2")) for x in "lr"]
+    several = common.scratch(context.groupBy("g").agg(F.count("*").alias("d")).where("d > 1").select("g"), "several")
+    halves = [common.scratch(context.where(f"{x} is not null").groupBy("g", x).agg(F.count("*").alias("k")).where("k > 1").select("g", x, F.lit(True).alias(f"{x}2")), "halves") for x in "lr"]
     mixed = context.join(several, "g").join(halves[0], ["g", "l"], "left").join(halves[1], ["g", "r"], "left").where("l2 or r2")
+    mixed = common.scratch(mixed, "mixed")
     # shards of an anchor by the contexts that are left
-    left = mixed.groupBy("g").agg(F.ceil(F.count("*") / CONTEXTS).cast("int").alias("salts"))
-    mixed = mixed.join(left, "g").withColumn("salt", F.pmod("c", "salts").cast("int"))
+    left = common.scratch(mixed.groupBy("g").agg(F.ceil(F.count("*") / CONTEXTS).cast("int").alias("salts")), "salts")
+    common.drop(several, *halves)
+    dealt = mixed.join(left, "g").withColumn("salt", F.pmod("c", "salts").cast("int"))
     item = F.struct("where.at", "where.left", "where.size", "g", "c", "n", "salts", "salt", F.coalesce("l2", F.lit(False)).alias("l2"), F.coalesce("r2", F.lit(False)).alias("r2"))
-    wanted = mixed.groupBy("where.doc_id", "where.h").agg(F.collect_list(item).alias("items"))
+    wanted = dealt.groupBy("where.doc_id", "where.h").agg(F.collect_list(item).alias("items"))
     texts = _contexts(docs, wanted).repartition(common.partitions(docs.sparkSession), "g", "salt").sortWithinPartitions("g", "salt", "c")
     done = common.scratch(texts.mapInArrow(shards, SHARD_OUT), "shards")
+    common.drop(mixed, left)
     own = done.where("kind = 0").select("g", "c", "found")
     across = done.where("kind = 1").groupBy("g", "range").applyInArrow(merge, "g bigint, c bigint, o int")
     across = across.groupBy("g", "c").agg(F.flatten(F.sort_array(F.collect_set(F.array("o", "o")))).alias("found"))
@@ -306,7 +309,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     result = whole.unionByName(own).unionByName(across)
     hits = shared.select("g", "c", "doc_id", "h", "at", "size").join(result, ["g", "c"])
     pairs = F.when(F.col("found").isNull(), F.array("at", F.col("at") + F.col("size"))).otherwise(F.transform("found", lambda v, i: v + F.col("at") + F.when(i % 2 == 1, LENGTH).otherwise(0)))
-    return hits.select("doc_id", "h", pairs.alias("pairs")).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("pairs")).alias("spans"))
+    out = common.scratch(hits.select("doc_id", "h", pairs.alias("pairs")).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("pairs")).alias("spans")), "spans")
+    common.drop(shared, context, done)
+    return out
 
 
 def covered(size: int, spans) -> np.ndarray:
