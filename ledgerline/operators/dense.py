@@ -33,7 +33,7 @@ def queries(spark: SparkSession, sf_dir: str, n: int = N_QUERIES) -> DataFrame:
 def scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, chunk, doc, label, score) of every query and chunk; a stated query set in blocks."""
     packed = queries.withColumn("block", F.expr(f"query div {QUERY_BLOCK}")).groupBy("block").agg(F.collect_list(F.struct("query", "qv", "qlabel")).alias("qs"))
-    met = chunks.join(packed)  # one row for each block of queries
+    met = chunks.join(F.broadcast(packed))  # one row for each block of a stated, bounded set of queries
     each = met.select("chunk", "doc", "label", "v", F.explode("qs").alias("q"))
     return each.select("q.query", "q.qlabel", "chunk", "doc", "label", F.round(dot(F.col("v"), F.col("q.qv")), 6).alias("score"))
 

@@ -42,7 +42,8 @@ def scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     used = queries.select("term").distinct()
     known = docs.select("doc", "dl", F.explode("tokens").alias("term")).join(used, "term", "left_semi")
     tf = known.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # reading tf keeps both branches alike, so that their exchange is made once
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     corpus = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighted = tf.join(df, "term").join(F.broadcast(corpus)).select("term", "doc", weight.alias("w"))

@@ -109,8 +109,10 @@ def benchmark_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     # of the words inside the item: those at its ends may be parts of words in a document
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"), T.tokens(F.col("text")).alias("t"))
     items = items.select("query", "item", longest(F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(1)))).alias("word"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "lang", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
-    return docs.join(items, "word").where(F.contains("text", "item")).select("query", "doc", "lang")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "lang")
+    words = docs.select("doc", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
+    near = words.join(items.select("query", "word"), "word").select("query", "doc").distinct()
+    return near.join(items.select("query", "item"), "query").join(docs, "doc").where(F.contains("text", "item")).select("query", "doc", "lang")
 
 
 def recall_mrr_table(spark: SparkSession, sf_dir: str) -> DataFrame:

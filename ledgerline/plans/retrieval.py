@@ -80,6 +80,8 @@ def retrieve(config: Config, dense_docs: DataFrame, lexical_docs: DataFrame | No
     every = lists[0]
     for x in lists[1:]:
         every = every.unionByName(x)
+    # a few hundred rows for each query, read again for fusion and for each list's ranks
+    every = every.persist()
     if not config.hybrid:
         fused = every.select("query", "doc", "rank")
     elif config.fusion == "rrf":
