@@ -80,22 +80,22 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 
 def page_log(captures: DataFrame) -> DataFrame:
-    """A dated log for the query: hosts, domains and prefixes of the pages themselves, chosen by crc32 of the key."""
-    crc = F.crc32(F.concat_ws(":", "kind", "key").cast("binary"))
-    known = keys(captures).select("kind", "key").distinct().withColumn("crc", crc).where("crc % 5 = 0")
+    """A dated log for the query: hosts, domains and prefixes of the pages themselves, chosen by a digest of the key."""
+    digest = F.conv(F.substring(F.sha1(F.concat_ws(":", "kind", "key").cast("binary")), 1, 6), 16, 10).cast("int")
+    known = keys(captures).select("kind", "key").distinct().withColumn("digest", digest).where("digest % 5 = 0")
     start = F.lit("2024-01-01").cast("date")
-    first = F.date_add(start, (F.col("crc") % 211).cast("int"))
+    first = F.date_add(start, (F.col("digest") % 211).cast("int"))
     day = lambda n: F.date_add(first, n)
     # added, for some removed after 60 days, for some of these added again after 150
     steps = F.filter(
         F.array(
             F.struct(F.lit("add").alias("action"), first.alias("day"), F.lit(True).alias("holds")),
-            F.struct(F.lit("remove").alias("action"), day(60).alias("day"), (F.col("crc") % 2 == 0).alias("holds")),
-            F.struct(F.lit("add").alias("action"), day(150).alias("day"), (F.col("crc") % 4 == 0).alias("holds")),
+            F.struct(F.lit("remove").alias("action"), day(60).alias("day"), (F.col("digest") % 2 == 0).alias("holds")),
+            F.struct(F.lit("add").alias("action"), day(150).alias("day"), (F.col("digest") % 4 == 0).alias("holds")),
         ),
         lambda s: s["holds"],
     )
-    named = known.withColumn("list", F.when(F.col("crc") % 3 == 0, "adult").when(F.col("crc") % 3 == 1, "spam").otherwise("malware"))
+    named = known.withColumn("list", F.when(F.col("digest") % 3 == 0, "adult").when(F.col("digest") % 3 == 1, "spam").otherwise("malware"))
     return named.select("list", "kind", "key", F.explode(steps).alias("s")).select("list", "kind", "key", "s.action", "s.day")
 
 
@@ -105,5 +105,36 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("capture", "page_id")
 
 
+#: The same by the last log row at or before each fetch.
+OP6_SQL = r"""
+with p as (
+  select distinct page_id as capture, url, date '2024-01-01' + cast(((page_id % 365) + 365) % 365 as int) as fetched from pages
+), b as (
+  select *, regexp_extract(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '^([^?#]*)', 1) as bare from p
+), h as (
+  select capture, fetched,
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '\.$', '') as host,
+    list_filter(string_split(regexp_extract(bare, '^[^/]*(/.*)?$', 1), '/'), lambda s: s <> '') as seg
+  from b where url is not null
+), k as (
+  select capture, fetched, 'host' as kind, host as key from h where host <> ''
+  union all select capture, fetched, 'domain', array_to_string(string_split(host, '.')[i:], '.') from (select *, unnest(range(1, len(string_split(host, '.')) + 1)) as i from h where host <> '')
+  union all select capture, fetched, 'prefix', host || '/' || array_to_string(seg[1:i], '/') from (select *, unnest(range(1, least(3, len(seg)) + 1)) as i from h where host <> '')
+), n as (
+  select kind, key, cast('0x' || substr(sha1(kind || ':' || key), 1, 6) as int) as n from (select distinct kind, key from k)
+), e as (
+  select kind, key, n, case n % 3 when 0 then 'adult' when 1 then 'spam' else 'malware' end as list, date '2024-01-01' + n % 211 as first from n where n % 5 = 0
+), log as (
+  select list, kind, key, 'add' as action, first as day from e
+  union all select list, kind, key, 'remove', first + 60 from e where n % 2 = 0
+  union all select list, kind, key, 'add', first + 150 from e where n % 4 = 0
+), a as (
+  select capture, list, kind, key, arg_max(action, day) as action from k join log using (kind, key) where day <= fetched group by all
+), f as (
+  select capture, count(*) as n_active, array_to_string(list_sort(list(distinct list)), ',') as lists, min(list || ':' || kind || ':' || key) as reason from a where action = 'add' group by capture
+)
+select distinct p.capture as page_id, f.capture is not null as blocked, coalesce(n_active, 0) as n_active, lists, reason from p left join f on f.capture = p.capture
+"""
+
 QUERIES = {"op6_url_filters": op6_url_filters}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_url_filters": OP6_SQL}

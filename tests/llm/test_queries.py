@@ -15,6 +15,14 @@ def test_topk_sql(spark, sf_dir):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_url_filters_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{sf_dir}/pages.parquet'")
+    want = con.execute(registry.oracles()["op6_url_filters"]).fetchall()
+    got = registry.queries()["op6_url_filters"](spark, sf_dir).select("page_id", "blocked", "n_active", "lists", "reason").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_language_of_held_out_rows(spark, sf_dir):
     out = registry.queries()["op2_langid"](spark, sf_dir).where("held_out").join(common.read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     n, right = out.count(), out.where("lang = lang_pred").count()
