@@ -45,6 +45,25 @@ class Limiter:
         return list(self.times), self.day, self.today
 
 
+class UsageLimit:
+    """Online: a limit over all keys a day comes first, then the key's own; refused requests count nowhere."""
+
+    def __init__(self, per_hour: int = PER_HOUR, per_day: int = PER_DAY, all_day: int = 500):
+        self.per_hour, self.per_day, self.all_day = per_hour, per_day, all_day
+        self.keys: dict[str, Limiter] = {}
+        self.day, self.today = -1, 0
+
+    def check(self, key: str, now: int) -> bool:
+        day = now // (24 * HOUR)
+        if day != self.day:
+            self.day, self.today = day, 0
+            self.keys = {k: x for k, x in self.keys.items() if x.times and x.times[-1] > now - HOUR}
+        if self.today >= self.all_day or not self.keys.setdefault(key, Limiter(self.per_hour, self.per_day)).check(now):
+            return False
+        self.today += 1
+        return True
+
+
 class Breaker:
     """A circuit breaker: after a failure, calls are skipped until `pause` has gone by."""
 

@@ -86,3 +86,19 @@ def test_models(spark):
     assert [(r.reply, r.error) for r in failed] == [(None, "format")] * 2
     queries = spark.createDataFrame([(1, "what is the budget"), (2, "a b")], "qid int, query string")
     assert {r.qid: r.rewritten for r in external.rewrite(queries).collect()} == {1: "what budget", 2: "a b"}
+
+
+def test_indexes(spark, tmp_path):
+    from ledgerline.sources import indexes
+
+    chunks = spark.createDataFrame([(0, "d", "x y"), (1, "e", "z")], "chunk_id bigint, doc_id string, text string")
+    path = str(tmp_path / "v")
+    assert indexes.embed_shards(chunks, path, external.embed_stub, 3, {"m": 1}) == 3
+    assert indexes.embed_shards(chunks, path, external.embed_stub, 3, {"m": 1}) == 0
+    with pytest.raises(ValueError):
+        indexes.embed_shards(chunks, path, external.embed_stub, 3, {"m": 2})
+    v = indexes.vectors(spark, path, 2)
+    assert indexes.stacked([(chunks, v), (chunks, v)]).groupBy("index_no").count().count() == 2
+    with pytest.raises(Exception, match="no pair"):
+        indexes.stacked([(chunks, v.where("chunk_id = 0"))]).collect()
+    assert indexes.unpacked(indexes.packed({"a": ["é", 1]})) == {"a": ["é", 1]}

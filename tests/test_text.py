@@ -226,6 +226,11 @@ def test_limiter():
     assert [x.check(t) for t in (0, 1, 2, hour, hour + 1, hour + 2, 24 * hour)] == [True, True, False, True, False, False, True]
 
 
+def test_usage_limit():
+    x = limits.UsageLimit(2, 5, 3)
+    assert [x.check(k, t) for k, t in (("a", 0), ("a", 1), ("a", 2), ("b", 3), ("b", 4), ("b", 24 * limits.HOUR))] == [True, True, False, True, False, True]
+
+
 def test_breaker_and_switch():
     b = limits.Breaker(10)
     assert b.call(0, lambda: 1) == 1
