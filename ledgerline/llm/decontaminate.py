@@ -198,17 +198,24 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in whose texts no benchmark item is found; a scan that shuffles nothing."""
-    for sent in _blocks(benchmark):
+def _free(sent):
+    """A column function: no item of a block is found in a text."""
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = _index(sent)
-            for b in common.in_bounds(batches, most=SLICE):
-                found = {f[0] for f in index.scan([normal(t) for t in b.column("text").to_pylist()])}
-                yield b.filter(pa.array([k not in found for k in range(b.num_rows)], pa.bool_())) if found else b
+    @F.arrow_udf("boolean")
+    def free(text: pa.Array) -> pa.Array:
+        index, out = _index(sent), []
+        for b in common.in_bounds([pa.record_batch([text], names=["text"])], most=SLICE):
+            found = {f[0] for f in index.scan([normal(t) for t in b.column("text").to_pylist()])}
+            out += [k not in found for k in range(b.num_rows)]
+        return pa.array(out, pa.bool_())
 
-        docs = docs.mapInArrow(run, docs.schema)
+    return free
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs in whose texts no benchmark item is found; a scan that shuffles nothing and sends only texts to Python."""
+    for sent in _blocks(benchmark):
+        docs = docs.where(_free(sent)(F.col("text")))
     return docs
 
 

@@ -180,17 +180,22 @@ def fit(docs: DataFrame, training, rows: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the language and its score in place of columns of these names; only text is looked at."""
+    """docs with the language and its score in place of columns of these names; only text is looked at, and only text is sent to Python."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [f.name for f in docs.schema if f.name not in names]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in keep) + f"{names[0]} string, {names[1]} double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.in_bounds(batches, most=SLICE):
+    @F.arrow_udf("struct<lang: string, score: double>")
+    def named(text: pa.Array) -> pa.Array:
+        langs, scores = [], []
+        for b in common.in_bounds([pa.record_batch([text], names=["text"])], most=SLICE):
             found, score = sent.value.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(found, pa.string()), pa.array(score)], names=[*keep, *names])
-
-    return docs.select(*keep).mapInArrow(run, schema)
+            langs += found
+            scores.append(score)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["lang", "score"])
+
+    keep = [c for c in docs.columns if c not in names]
+    # asked once a row: without the flag a filter below would ask again
+    out = docs.select(*keep, named.asNondeterministic()("text").alias("_named"))
+    return out.select(*keep, F.col("_named.lang").alias(names[0]), F.col("_named.score").alias(names[1]))
 
 
 def held_out():
