@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-#: Fingerprints in a tile at most, about; bits of a fingerprint word.
-TILE, WORD = 2048, 64
+#: Fingerprints in a tile at most, about, for a small and a wide radius; bits of a fingerprint word.
+TILE, WIDE_TILE, WORD = 2048, 8192, 64
 #: Shingle hashes of a text by which a wide comparison is narrowed.
 SKETCH = 12
 #: Distinct fingerprints from which classes are made of four population counts in place of two.
@@ -84,9 +84,16 @@ def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def class_step(radius: int) -> int:
+    """Population counts in a class: one for a small radius; a wide one skips little, and its tiles may be fuller."""
+    return max(1, radius // 4)
+
+
 def near_classes(parts: int, bits: int, radius: int) -> list[tuple[int, ...]]:
-    """All differences of class vectors whose absolute sum is within the radius; one of each opposite pair."""
-    reach = range(-min(radius, bits), min(radius, bits) + 1)
+    """All differences of class vectors that the radius allows; one of each opposite pair."""
+    step = class_step(radius)
+    radius = min(radius, bits) // step + (step > 1) * parts
+    reach = range(-radius, radius + 1)
     if parts == 1:
         return [(d,) for d in reach if d >= 0]
     return [d for d in product(reach, repeat=parts) if sum(map(abs, d)) <= radius and d >= (0,) * parts]
@@ -133,7 +140,7 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
     return pairs[:, 0], pairs[:, 1]
 
 
-def tiles(prints: DataFrame, words: int, parts: int) -> tuple[DataFrame, DataFrame]:
+def tiles(prints: DataFrame, words: int, parts: int, radius: int, size: int) -> tuple[DataFrame, DataFrame]:
     """Distinct fingerprints in tiles (class, tile, prints), and the number of tiles of each class."""
     width = WORD * words // parts
     if parts == 1:
@@ -146,9 +153,9 @@ def tiles(prints: DataFrame, words: int, parts: int) -> tuple[DataFrame, DataFra
         counts = [F.bit_count(F.shiftrightunsigned(f"f{w}", width * i).bitwiseAND(F.lit(mask))) for w in range(words) for i in range(each)]
     key = F.lit(0).cast("bigint")
     for c in counts:
-        key = key * 1000 + c
+        key = key * 1000 + F.floor(c / class_step(radius))
     own = prints.withColumn("class", key)
-    sizes = own.groupBy("class").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n_tiles"))
+    sizes = own.groupBy("class").agg(F.ceil(F.count("*") / size).cast("int").alias("n_tiles"))
     # at most (width + 1) ** parts classes: a bounded table
     placed = own.join(F.broadcast(sizes) if (width + 1) ** parts <= 100_000 else sizes, "class")
     placed = placed.withColumn("tile", F.pmod(F.xxhash64(*(f"f{w}" for w in range(words)), F.lit(7)), F.col("n_tiles")).cast("int"))
@@ -156,10 +163,10 @@ def tiles(prints: DataFrame, words: int, parts: int) -> tuple[DataFrame, DataFra
     return packed, sizes
 
 
-def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int = 2) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int = 2, size: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (structs of words) that span all groups within the radius."""
     spark = prints.sparkSession
-    packed, sizes = tiles(prints, words, parts)
+    packed, sizes = tiles(prints, words, parts, radius, size or TILE)
     packed = common.scratch(packed, "tiles")
     width = WORD * words // parts
     steps = near_classes(parts, width, radius)
@@ -193,7 +200,7 @@ def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int =
     return out
 
 
-def component_ids(prints: DataFrame, radius: int = 3, words: int = 1, parts: int | None = None) -> DataFrame:
+def component_ids(prints: DataFrame, radius: int = 3, words: int = 1, parts: int | None = None, size: int | None = None) -> DataFrame:
     """prints (doc_id, f0, ...) -> the same with component_id, the smallest doc_id that links reach.
 
     parts: of a fingerprint for its class; by default 2, and 4 where 2 would fill too many tiles.
@@ -210,7 +217,7 @@ def component_ids(prints: DataFrame, radius: int = 3, words: int = 1, parts: int
         shared = common.scratch(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"), "sketches")
         compared = common.scratch(each.join(shared, "s").select(*names).distinct(), "compared")
         common.drop(shared)
-    links = near_links(compared.select(*names), radius, words, parts)
+    links = near_links(compared.select(*names), radius, words, parts, size)
     # a node is named by a fingerprint; one word is its own name
     named = lambda side: F.col(f"{side}.f0") if words == 1 else F.concat_ws("/", *(F.col(f"{side}.{n}").cast("string") for n in names))
     found = common.scratch(links.select(named("a").alias("u"), named("b").alias("v")), "near")
@@ -245,7 +252,7 @@ def keep_one(docs: DataFrame, words: int = 5, seeds: tuple[int, ...] = (42, 43,
     """
     prints = common.scratch(fingerprints(docs, words, seeds, SKETCH), "fingerprints")
     names = [f"f{i}" for i in range(len(seeds))]
-    found = component_ids(prints, radius, len(seeds), 1).select("doc_id", "component_id", *names)
+    found = component_ids(prints, radius, len(seeds), 1, WIDE_TILE).select("doc_id", "component_id", *names)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id")).distinct()
     kept = docs.join(gone, docs.doc_id == F.col("_gone_id"), "left_anti")
     text = F.xxhash64("text")
