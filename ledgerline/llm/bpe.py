@@ -33,7 +33,9 @@ from . import common
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Most fragments in a worker's memo; it is emptied when full. Longer fragments are never kept.
-MEMO, MEMO_BYTES = 400_000, 48
+MEMO, MEMO_BYTES = 100_000, 48
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 20
 #: The pre-tokenizer of byte-level vocabularies with use_regex (a fixed pattern of the file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE, LETTERS, DIGITS = [9, 10, 11, 12, 13, 32], [*range(65, 91), *range(97, 123)], [*range(48, 58)]
@@ -289,14 +291,12 @@ def packer(c: Codec) -> Memo:
     return c.packed
 
 
-def written(c: Codec) -> tuple[Memo, Memo]:
-    """Fragment -> its ids as text with a comma after each; such text -> the bytes it decodes to."""
-    if not hasattr(c, "written"):
-        c.written = (
-            Memo(lambda f: "".join(f"{i}," for i in _ids(c, f)).encode()),
-            Memo(lambda s: b"".join(c.token_bytes[int(i)] for i in s.split(b",")[:-1])),
-        )
-    return c.written
+def names_of(c: Codec) -> tuple[list, list]:
+    """For each id: its decimal text, and the bytes it stands for."""
+    if not hasattr(c, "names"):
+        top = max(c.token_bytes) + 1
+        c.names = [b"%d" % i for i in range(top)], [c.token_bytes.get(i) for i in range(top)]
+    return c.names
 
 
 def encode_texts(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
@@ -330,24 +330,21 @@ def decode_ids(df: DataFrame, ids: str = "ids", out: str = "text", path: str | N
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encodes and decodes every text: doc_id, n_tokens, ids_sha256, decoded_sha256.
-
-    Ids pass from encoder to decoder fragment by fragment as decimal text, the form that is digested.
-    """
+    """Encodes and decodes every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        encoded, decoded = written(c)
-        for b in common.in_bounds(batches):
-            n, ids, texts = [], [], []
-            for t in b.column("text").to_pylist():
-                pieces = [encoded[f] for f in c.parts(common.text_bytes(t))]
-                listed = b"".join(pieces)[:-1]
-                n.append(listed.count(b",") + 1 if listed else 0)
-                ids.append(hashlib.sha256(listed).hexdigest())
-                text = b"".join([decoded[p] for p in pieces]).decode("utf-8", "replace")
+        decimal, pieces = names_of(c)
+        for b in common.in_bounds(batches, most=SLICE):
+            flat, counts = table(c).encode([common.text_bytes(t) for t in b.column("text").to_pylist()])
+            ids, texts, at = [], [], 0
+            for n in counts.tolist():
+                own = flat[at : at + n].tolist()
+                at += n
+                ids.append(hashlib.sha256(b",".join([decimal[i] for i in own])).hexdigest())
+                text = b"".join([pieces[i] for i in own]).decode("utf-8", "replace")
                 texts.append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
