@@ -32,6 +32,8 @@ from .components import components
 
 #: Fingerprints in a tile at most, about, for a small and a wide radius; bits of a fingerprint word.
 TILE, WIDE_TILE, WORD = 2048, 8192, 64
+#: The similarity of near duplicates in the pipeline: numerator and denominator.
+SIMILAR = (4, 5)
 #: Shingle hashes of a text by which a wide comparison is narrowed.
 SKETCH = 12
 #: Distinct fingerprints from which classes are made of four population counts in place of two.
@@ -51,37 +53,82 @@ def shingles(data: bytes, words: int) -> list[bytes]:
     return [flat[i:j] for i, j in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist())]
 
 
-def fingerprint(data: bytes, words: int, seeds: tuple[int, ...] = (42,), sketch: int = 0) -> tuple[list[int], np.ndarray]:
-    """One signed 64-bit word for each seed; the `sketch` smallest distinct shingle hashes of the first seed."""
+def shingle_set(data: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """The sorted distinct shingle hashes."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, seed) for s in set(shingles(data, words))], np.uint64))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """One signed word that names a sorted set of hashes."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def fingerprint(data: bytes, words: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> tuple[list[int], np.ndarray]:
+    """One signed 64-bit word for each seed; distinct: repeated shingles count once, and their sorted hashes of the first seed."""
     found = shingles(data, words)
+    if distinct:
+        found = list(set(found))
     if not found:
-        return [0] * len(seeds), np.zeros(0, np.int64)
-    out, least = [], np.zeros(0, np.int64)
+        return [0] * len(seeds), np.zeros(0, np.uint64)
+    out, hashes = [], np.zeros(0, np.uint64)
     for seed in seeds:
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(s, seed) for s in found), np.uint64, len(found))
-        if sketch and seed == seeds[0]:
-            least = np.unique(h)[:sketch].view(np.int64)
+        if distinct and seed == seeds[0]:
+            hashes = np.unique(h)
         ones = np.zeros(WORD, np.int64)
         for i in range(0, len(h), 1 << 15):
             ones += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(int(np.packbits(ones * 2 > len(found), bitorder="little").view(np.int64)[0]))
-    return out, least
+    return out, hashes
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,), sketch: int = 0) -> DataFrame:
-    """(doc_id, f0, f1, ...): a fingerprint word for each seed; with sketch an array of so many shingle hashes."""
+def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """(doc_id, f0, f1, ...): a fingerprint word for each seed."""
     names = [f"f{i}" for i in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.in_bounds(batches):
-            rows, sketches = zip(*(fingerprint(common.text_bytes(t), words, seeds, sketch) for t in b.column("text").to_pylist()))
+            rows = [fingerprint(common.text_bytes(t), words, seeds)[0] for t in b.column("text").to_pylist()]
             columns = np.array(rows, dtype=np.int64).reshape(-1, len(seeds)).T
-            more = [pa.array(list(sketches), pa.list_(pa.int64()))] if sketch else []
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in columns), *more], names=["doc_id", *names, *["sketch"] * bool(sketch)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in columns)], names=["doc_id", *names])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def set_fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...], sketch: int) -> DataFrame:
+    """(doc_id, h, node, f0, f1, ..., sketch): fingerprints of the distinct shingles, and the `sketch` smallest of their hashes.
+
+    node names the set of shingles, h is the hash of the text.
+    """
+    names = [f"f{i}" for i in range(len(seeds))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.in_bounds(batches):
+            rows, sets = zip(*(fingerprint(common.text_bytes(t), words, seeds, True) for t in b.column("text").to_pylist()))
+            columns = np.array(rows, dtype=np.int64).reshape(-1, len(seeds)).T
+            nodes, least = pa.array(list(map(set_name, sets)), pa.int64()), pa.array([x[:sketch].view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), nodes, *(pa.array(c) for c in columns), least], names=["doc_id", "h", "node", *names, "sketch"])
+
+    schema = "doc_id bigint, h bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names) + ", sketch array<bigint>"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
 
-    schema = "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + ", sketch array<bigint>" * bool(sketch)
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+def set_name(hashes: np.ndarray) -> int:
+    """One signed word that names a sorted set of hashes."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
+    """(node, hashes): the distinct shingle hashes of the texts whose hash is in wanted (h), one row for each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.in_bounds(batches):
+            found = [fingerprint(common.text_bytes(t), words, (seed,), True)[1] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(f) for f in found], pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    texts = docs.select("text", F.xxhash64("text").alias("h")).join(wanted, "h", "left_semi")
+    return texts.select("text").mapInArrow(run, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
 
 
 def class_step(radius: int) -> int:
@@ -99,18 +146,8 @@ def near_classes(parts: int, bits: int, radius: int) -> list[tuple[int, ...]]:
     return [d for d in product(reach, repeat=parts) if sum(map(abs, d)) <= radius and d >= (0,) * parts]
 
 
-def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that span the groups of two tiles ([n, words] each) within the radius."""
-    parent = np.arange(len(a) + (0 if same else len(b)))
-    shift = 0 if same else len(a)
-    out = []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+def near_strips(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, near): which rows of b lie within the radius of the STRIP rows of a from start, where any does."""
     for start in range(0, len(a), STRIP):
         strip = a[start : start + STRIP]
         d = np.bitwise_count(strip[:, None, 0] ^ b[None, :, 0])
@@ -124,8 +161,23 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
             near[x, y] = rest <= radius
         if same:
             near &= np.arange(start, start + len(strip))[:, None] < np.arange(len(b))[None, :]
-        if not near.any():
-            continue
+        if near.any():
+            yield start, near
+
+
+def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that span the groups of two tiles ([n, words] each) within the radius."""
+    parent = np.arange(len(a) + (0 if same else len(b)))
+    shift = 0 if same else len(a)
+    out = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for start, near in near_strips(a, b, radius, same):
         for i in np.flatnonzero(near.any(1)):
             js = np.flatnonzero(near[i])
             # one step per already known group
@@ -140,8 +192,8 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
     return pairs[:, 0], pairs[:, 1]
 
 
-def tiles(prints: DataFrame, words: int, parts: int, radius: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct fingerprints in tiles (class, tile, prints), and the number of tiles of each class."""
+def tiles(prints: DataFrame, words: int, parts: int, radius: int, size: int, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Distinct fingerprints in tiles (class, tile, prints), and the number of tiles of each class; more: columns beside the words."""
     width = WORD * words // parts
     if parts == 1:
         counts = [sum((F.bit_count(f"f{w}") for w in range(1, words)), F.bit_count("f0"))]
@@ -158,15 +210,20 @@ def tiles(prints: DataFrame, words: int, parts: int, radius: int, size: int) ->
     sizes = own.groupBy("class").agg(F.ceil(F.count("*") / size).cast("int").alias("n_tiles"))
     # at most (width + 1) ** parts classes: a bounded table
     placed = own.join(F.broadcast(sizes) if (width + 1) ** parts <= 100_000 else sizes, "class")
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64(*(f"f{w}" for w in range(words)), F.lit(7)), F.col("n_tiles")).cast("int"))
-    packed = placed.groupBy("class", "tile").agg(F.collect_list(F.struct(*(f"f{w}" for w in range(words)))).alias("prints"))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64(*(f"f{w}" for w in range(words)), *more, F.lit(7)), F.col("n_tiles")).cast("int"))
+    packed = placed.groupBy("class", "tile").agg(F.collect_list(F.struct(*(f"f{w}" for w in range(words)), *more)).alias("prints"))
     return packed, sizes
 
 
-def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int = 2, size: int | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (structs of words) that span all groups within the radius."""
+def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int = 2, size: int | None = None, named: bool = False, grouped: bool = False) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (structs of words) that span all groups within the radius.
+
+    named: a and b are the values of a column node in place of the words. grouped: all pairs within the
+    radius whose values of a column known differ, in place of spanning links.
+    """
     spark = prints.sparkSession
-    packed, sizes = tiles(prints, words, parts, radius, size or TILE)
+    more = ("node",) * named + ("known",) * grouped
+    packed, sizes = tiles(prints, words, parts, radius, size or TILE, more)
     packed = common.scratch(packed, "tiles")
     width = WORD * words // parts
     steps = near_classes(parts, width, radius)
@@ -182,6 +239,14 @@ def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int =
     def arrays(column: pa.Array) -> np.ndarray:
         return np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in column.flatten().flatten()], axis=1)
 
+    def found(x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not grouped:
+            yield linked(x[:, :n], y[:, :n], radius, same)
+            return
+        for start, near in near_strips(x[:, :n], y[:, :n], radius, same):
+            i, j = np.nonzero(near & (x[start : start + len(near), -1][:, None] != y[None, :, -1]))
+            yield i + start, j
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([(f"f{i}", pa.int64()) for i in range(n)])
         for batch in batches:
@@ -189,13 +254,17 @@ def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int =
                 row = batch.slice(k, 1)
                 x, y = arrays(row.column("prints_a")), arrays(row.column("prints"))
                 same = row.column("class")[0].as_py() == row.column("class_a")[0].as_py() and row.column("tile")[0].as_py() == row.column("tile_a")[0].as_py()
-                i, j = linked(x, y, radius, same)
-                if len(i):
-                    sides = [pa.StructArray.from_arrays([pa.array(z[at, w].view(np.int64)) for w in range(n)], fields=list(kind)) for z, at in ((x, i), (y, j))]
+                for i, j in found(x, y, same):
+                    if not len(i):
+                        continue
+                    if named:
+                        sides = [pa.array(z[at, n].view(np.int64)) for z, at in ((x, i), (y, j))]
+                    else:
+                        sides = [pa.StructArray.from_arrays([pa.array(z[at, w].view(np.int64)) for w in range(n)], fields=list(kind)) for z, at in ((x, i), (y, j))]
                     yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
 
-    word = ", ".join(f"f{i}: bigint" for i in range(n))
-    out = full.select("class", "tile", "class_a", "tile_a", "prints_a", "prints").mapInArrow(run, f"a struct<{word}>, b struct<{word}>")
+    word = "bigint" if named else "struct<" + ", ".join(f"f{i}: bigint" for i in range(n)) + ">"
+    out = full.select("class", "tile", "class_a", "tile_a", "prints_a", "prints").mapInArrow(run, f"a {word}, b {word}")
     out._tiles = packed
     return out
 
@@ -210,18 +279,11 @@ def component_ids(prints: DataFrame, radius: int = 3, words: int = 1, parts: int
     distinct = common.scratch(distinct, "prints")
     if parts is None:
         parts = 2 if distinct.count() <= MANY else 4
-    compared = distinct
-    if "sketch" in prints.columns:
-        # read back, the join is plain and its large partitions can be split
-        each = prints.select(*names, F.explode("sketch").alias("s")).distinct()
-        shared = common.scratch(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"), "sketches")
-        compared = common.scratch(each.join(shared, "s").select(*names).distinct(), "compared")
-        common.drop(shared)
-    links = near_links(compared.select(*names), radius, words, parts, size)
+    links = near_links(distinct.select(*names), radius, words, parts, size)
     # a node is named by a fingerprint; one word is its own name
     named = lambda side: F.col(f"{side}.f0") if words == 1 else F.concat_ws("/", *(F.col(f"{side}.{n}").cast("string") for n in names))
     found = common.scratch(links.select(named("a").alias("u"), named("b").alias("v")), "near")
-    common.drop(links._tiles, *([compared] if compared is not distinct else []))
+    common.drop(links._tiles)
     roots = components(found)
     node = F.col("f0") if words == 1 else F.concat_ws("/", *(F.col(n).cast("string") for n in names))
     known = common.scratch(distinct.withColumn("node", node).join(roots, "node", "left"), "known")
@@ -240,9 +302,58 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def alike(links: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, seed: int) -> DataFrame:
+    """links (a, b) between nodes (node, h) with `near`: whether their shingle sets have a similarity of SIMILAR."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.select("node", "h").join(ends, "node", "left_semi").select("h")
+    sets = common.scratch(shingle_sets(docs, wanted, words, seed), "sets")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"hashes_{name}"))
+    met = links.join(side("a"), "a").join(side("b"), "b")
+    both = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("bigint")
+    union = F.size("hashes_a").cast("bigint") + F.size("hashes_b") - both
+    out = common.scratch(met.select("a", "b", (both * SIMILAR[1] >= union * SIMILAR[0]).alias("near")), "alike")
+    common.drop(sets)
+    return out
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, words: int, seed: int, n_seeds: int) -> DataFrame:
+    """Scratch table (u, v) of similar nodes that spans each group of nodes linked by similar pairs within the radius.
+
+    nodes: (node, h, f0, ...). Spanning links within the radius are checked first. Where one fails, a
+    pair that it stands for may still be similar: in components with a failed link all pairs within
+    the radius are checked whose ends are not yet in one group.
+    """
+    names = [f"f{i}" for i in range(n_seeds)]
+    links = near_links(nodes.select(*names, "node"), radius, n_seeds, 1, WIDE_TILE, named=True)
+    spanning = common.scratch(links, "near")
+    common.drop(links._tiles)
+    checked = alike(spanning, docs, nodes, words, seed)
+    common.drop(spanning)
+    sure = checked.where("near").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if checked.where("not near").isEmpty():
+        out = common.scratch(sure, "similar")
+        common.drop(checked)
+        return out
+    roots = common.scratch(components(checked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+    failed = checked.where("not near").select(F.col("a").alias("node")).join(roots, "node").select("root").distinct()
+    open_nodes = roots.join(failed, "root", "left_semi").select("node")
+    groups = components(sure).withColumnRenamed("root", "known")
+    left = nodes.join(open_nodes, "node", "left_semi").join(groups, "node", "left").withColumn("known", F.coalesce("known", "node"))
+    left = common.scratch(left.select(*names, "node", "known"), "open")
+    links = near_links(left, radius, n_seeds, 1, WIDE_TILE, named=True, grouped=True)
+    pairs = common.scratch(links.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    common.drop(links._tiles, left, roots)
+    more = alike(pairs, docs, nodes, words, seed)
+    out = common.scratch(sure.unionByName(more.where("near").select(F.col("a").alias("u"), F.col("b").alias("v"))), "similar")
+    common.drop(checked, pairs, more)
+    return out
+
+
 def keep_one(docs: DataFrame, words: int = 5, seeds: tuple[int, ...] = (42, 43, 44, 45), radius: int = 54) -> DataFrame:
     """The rows of docs without all but one document of each group of near duplicates.
 
+    Near duplicates are texts whose sets of shingles have a similarity (Jaccard) of SIMILAR at least;
+    each link is checked on the sets, and fingerprints of the sets only find the pairs to check.
     A similarity s of shingle sets is a cosine of 2s / (1 + s), and a fingerprint bit differs with the
     angle's share of a half turn: for 0.8, 38.6 of 256 bits on average, with a deviation of 5.7. The
     radius has room for nearly all such pairs, and unrelated texts (128 bits) are nine deviations off.
@@ -250,9 +361,21 @@ def keep_one(docs: DataFrame, words: int = 5, seeds: tuple[int, ...] = (42, 43,
     with another text's: at 0.8, one in 200 million pairs has none.
     The document with the smallest id stays, one row of it where rows repeat. Rows without an id stay.
     """
-    prints = common.scratch(fingerprints(docs, words, seeds, SKETCH), "fingerprints")
+    prints = common.scratch(set_fingerprints(docs, words, seeds, SKETCH), "fingerprints")
     names = [f"f{i}" for i in range(len(seeds))]
-    found = component_ids(prints, radius, len(seeds), 1, WIDE_TILE).select("doc_id", "component_id", *names)
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("h").alias("h"), *(F.first(n).alias(n) for n in names))
+    nodes = common.scratch(nodes, "nodes")
+    # read back, the join is plain and its large partitions can be split
+    each = prints.select("node", F.explode("sketch").alias("s")).distinct()
+    shared = common.scratch(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"), "sketches")
+    compared = common.scratch(nodes.join(each.join(shared, "s").select("node").distinct(), "node", "left_semi"), "compared")
+    common.drop(shared)
+    found = similar_links(docs, compared, radius, words, seeds[0], len(seeds))
+    known = common.scratch(nodes.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "least"), "known")
+    lowest = common.scratch(known.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
+    named = common.scratch(known.join(lowest, "root").select("node", "component_id"), "named")
+    common.drop(nodes, compared, found, known, lowest)
+    found = prints.join(named, "node")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id")).distinct()
     kept = docs.join(gone, docs.doc_id == F.col("_gone_id"), "left_anti")
     text = F.xxhash64("text")

@@ -274,6 +274,47 @@ def test_keep_one(spark):
     assert again.count() == 1
 
 
+def similarity(a: str, b: str) -> float:
+    x, y = (set(simhash.shingles(t.encode(), 5)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_one_checks_similarity(spark):
+    base = prose(20, 400).split()
+
+    def edited(places):
+        return " ".join("other" + str(i) if i in places else w for i, w in enumerate(base))
+
+    # 2 to 6: 0.6 to 0.79 to the base and below 0.8 to each other; 7 is similar to 6 only, 8 to the base
+    texts = [(1, " ".join(base))] + [(2 + k, edited(set(range(k, 400, 400 // n)))) for k, n in enumerate((10, 12, 14, 16, 18))]
+    texts += [(7, texts[-1][1] + " more"), (8, edited({200}))]
+    # one long run of a word in two languages: sets of shingles with one in common
+    texts += [(20, prose(21, 40) + " la" * 3000), (21, prose(22, 40) + " la" * 3000), (22, " ".join(["la"] * 2000)), (23, " ".join(["la"] * 2500))]
+    at = [similarity(texts[0][1], t) for _, t in texts[1:6]]
+    assert all(0.6 <= s < 0.8 for s in at), at
+    label = {i: i for i, _ in texts}
+    for i, a in texts:
+        for j, b in texts:
+            if similarity(a, b) >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = {k: new if v == old else v for k, v in label.items()}
+    want = sorted(set(label.values()))
+    assert 20 in want and 21 in want and 22 in want and 7 not in want and 8 not in want and 23 not in want
+    assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()) == want
+
+
+def test_similar_pairs_behind_failed_links(spark):
+    """Spanning links within the radius may fail where another pair of the same group is similar."""
+    base = prose(30, 400).split()
+    texts = []
+    for k in range(12):  # pairs of similar texts around one base, each pair far from the others
+        words = [f"x{k}" if i % 36 == k * 3 % 36 else w for i, w in enumerate(base)]
+        texts += [(k, " ".join(words)), (100 + k, " ".join(words[:-1]))]
+    want = {k for k, _ in texts if k < 100}
+    assert all(similarity(texts[0][1], t) < 0.8 for _, t in texts[2:])
+    assert {r.doc_id for r in simhash.keep_one(documents(spark, texts), radius=256).collect()} == want
+
+
 def test_links_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "u bigint, v bigint")
     assert {r.node: r.root for r in components.components(links).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
