@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after . ! ? and white space, and at line ends). A sentence of more than
-WORDS words counts as several: it is cut after every WORDS words, so that a long repeated sentence is a
-run, too. Every run of SPAN consecutive sentences is hashed (128 bits over the sentences with case and
+WORDS words counts as several: it is cut where the words themselves say so, after the word of the smallest
+hash among NEAR words on either side, so a passage has the same pieces wherever in a sentence it
+begins; what is left longer than WORDS words is cut after the smallest hash within reach. Every run of SPAN consecutive sentences is hashed (128 bits over the sentences with case and
 white space made equal), runs are counted over all documents, and sentences covered by an occurrence
 of a repeated run that is not its first are removed. The first occurrence is the one with the smallest
 (doc_id, text hash, position). A document with fewer sentences has no runs.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,50 @@ from . import common
 
 #: Sentences of a run, and words after which a long sentence is cut.
 SPAN, WORDS = 3, 16
+#: Words on either side of a word that decide whether a long sentence is cut after it.
+NEAR = 4
 ENDS = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 
-def sentences(text: str | None) -> list[str]:
+def every(words: list[str]) -> list[int]:
+    """Cuts after every WORDS words."""
+    return list(range(WORDS, len(words), WORDS))
+
+
+def one_word(h: list[int]) -> bool:
+    """More than NEAR words, all the same."""
+    return len(h) > NEAR and h.count(h[0]) == len(h)
+
+
+def by_content(words: list[str]) -> list[int]:
+    """Cuts after words whose hash is the smallest (the first of equal ones) among NEAR words on either side.
+
+    Where these leave more than WORDS words (repeated words), cuts at the ends of runs of one word, and
+    else after the smallest hash, the last of equal ones, that gives more than NEAR and at most WORDS words.
+    """
+    h = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
+    cuts, at, last = [], NEAR, len(h) - NEAR
+    while at < last:
+        around = h[at - NEAR : at + NEAR + 1]
+        least = at - NEAR + around.index(min(around))
+        if least == at:
+            cuts.append(at + 1)
+        at = least if least > at else least + NEAR + 1
+    out, start = [], 0
+    for end in [*cuts, len(h)]:
+        while end - start > WORDS:
+            stop = min(start + WORDS, end - 1)
+            reach = h[start + NEAR : stop]
+            ends = (i for i in range(start + 1, stop + 1) if h[i - 1] != h[i] and (one_word(h[i : i + NEAR + 1]) or one_word(h[max(i - NEAR - 1, start) : i])))
+            start = next(ends, stop - reach[::-1].index(min(reach)))
+            out.append(start)
+        if end < len(h):
+            out.append(end)
+        start = end
+    return out
+
+
+def sentences(text: str | None, cuts: Callable[[list[str]], list[int]] = every) -> list[str]:
     """The sentences of a text, long ones in pieces; all of its words in order."""
     out = []
     for s in ENDS.split(text or ""):
@@ -48,10 +89,16 @@ def sentences(text: str | None) -> list[str]:
         if len(words) <= WORDS:
             out.append(" ".join(words))
         else:
-            out += [" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS)]
+            at = [0, *cuts(s.lower().split()), len(words)]
+            out += [" ".join(words[i:j]) for i, j in zip(at, at[1:])]
     return out
 
 
+def pieces(text: str | None) -> list[str]:
+    """The sentences of a text, long ones cut by their content."""
+    return sentences(text, by_content)
+
+
 def run_hashes(found: list[str], span: int) -> np.ndarray:
     """[runs, 2]: 128 bits for each run."""
     n = len(found) - span + 1
@@ -70,7 +117,7 @@ def removals(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.in_bounds(batches):
-            found = [run_hashes(sentences(t), span) for t in b.column("text").to_pylist()]
+            found = [run_hashes(pieces(t), span) for t in b.column("text").to_pylist()]
             counts = np.array([len(f) for f in found])
             rows = pa.array(np.repeat(np.arange(len(found)), counts))
             runs = np.concatenate(found).view(np.int64)
@@ -107,7 +154,7 @@ def remove_repeated(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.in_bounds(batches):
-            texts = [t if s is None else "\n".join(kept(sentences(t), s, span)[0]) for t, s in zip(b.column("text").to_pylist(), b.column("found_at").to_pylist())]
+            texts = [t if s is None else "\n".join(kept(pieces(t), s, span)[0]) for t, s in zip(b.column("text").to_pylist(), b.column("found_at").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return _with_removals(docs.select("doc_id", "text"), span, "left").select("doc_id", "text", "found_at").mapInArrow(run, "doc_id bigint, text string")
@@ -121,7 +168,7 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in common.in_bounds(batches):
             rows = []
             for t, s in zip(b.column("text").to_pylist(), b.column("found_at").to_pylist()):
-                found = sentences(t)
+                found = pieces(t)
                 stays, gone, n_spans = kept(found, s, SPAN)
                 rows.append((len(found), gone, n_spans, hashlib.sha256("\n".join(stays).encode("utf-8", "surrogatepass")).hexdigest()))
             n, gone, n_spans, digest = zip(*rows)

@@ -349,6 +349,27 @@ def test_sentence_spans(spark, edge, nothing):
     assert len(sentence_spans.sentences(long)) == 4 and sentence_spans.sentences(None) == []
 
 
+def test_passage_at_any_offset(spark):
+    """A passage of 60 words without sentence ends, mid-sentence at all 16 offsets; runs of words and of two words."""
+    plain = lambda seed, n: prose(seed, n).replace(".", "")
+    passage = plain(60, 60)
+    texts = [(k, f"{plain(100 + k, 40 + k)} {passage} {plain(200 + k, 40)}") for k in range(17)]
+    texts += [(20 + k, f"{plain(300 + k, 20 + k)} {'to be ' * 60}{plain(400 + k, 30)}") for k in range(4)]
+    texts += [(30 + k, f"{plain(500 + k, 20 + k)} {'und ' * (50 + k)}{plain(600 + k, 30)}") for k in range(16)]
+    kept = {r.doc_id: r.text.split() for r in sentence_spans.remove_repeated(documents(spark, texts)).collect()}
+    assert all(kept[30 + k].count("und") <= 20 for k in range(1, 16))
+    assert kept[0] == texts[0][1].split() and kept[20][:20] == texts[17][1].split()[:20]
+    inside = set(passage.split())
+    for k in range(1, 17):
+        words = texts[k][1].split()
+        assert kept[k][: 36 + k] == words[: 36 + k] and kept[k][-36:] == words[-36:]  # what is around stays
+        assert len([w for w in words if w in inside]) - len([w for w in kept[k] if w in inside]) >= 30, k
+    assert all(kept[20 + k].count("be") < 20 for k in range(1, 4))
+    for text in (texts[3][1], "one " * 1000, "a b c " * 500, " ".join(f"w{i}" for i in range(999))):
+        found = sentence_spans.pieces(text)
+        assert " ".join(found) == text.strip() and all(len(p.split()) <= 16 for p in found)
+
+
 # 9: decontamination
 
 
