@@ -5,8 +5,8 @@ on one list become validity intervals [from, until), and an as-of join evaluates
 the entries active at its fetch time. An entry is a host, a domain (with all hosts under it) or a path
 prefix of whole segments under a host.
 
-A capture asks for few keys: its host, each parent domain, and each path prefix (DEPTH segments at
-most). It meets intervals by an equi-join on the key with a range condition on time. The list is as
+A capture asks for few keys: its host, each parent domain, and each prefix of its path. The drawn log
+has prefixes of DEPTH segments at most. A capture meets intervals by an equi-join on the key with a range condition on time. The list is as
 large as it is: nothing is broadcast by hand. A host that holds a third of all captures is dealt out:
 captures take one of SALTS values by a hash of their id, and intervals go to all of them.
 
@@ -36,14 +36,14 @@ def url_parts(url):
     return host, F.regexp_extract(bare, r"^[^/]*(/.*)?$", 1)
 
 
-def keys(captures: DataFrame) -> DataFrame:
-    """(capture, fetched, kind, key) of everything that an entry may name."""
+def keys(captures: DataFrame, depth: int | None = None) -> DataFrame:
+    """(capture, fetched, kind, key) of everything that an entry may name; depth: segments of a prefix at most."""
     host, path = url_parts(F.col("url"))
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     prefixes = F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(DEPTH)), lambda i: i <= F.size(segments)),
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size(segments), F.lit(1)) if depth is None else F.lit(depth)), lambda i: i <= F.size(segments)),
         lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(F.col("host"), F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")).alias("key")),
     )
     own = F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("key")))
@@ -82,7 +82,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
 def page_log(captures: DataFrame) -> DataFrame:
     """A dated log for the query: hosts, domains and prefixes of the pages themselves, chosen by a digest of the key."""
     digest = F.conv(F.substring(F.sha1(F.concat_ws(":", "kind", "key").cast("binary")), 1, 6), 16, 10).cast("int")
-    known = keys(captures).select("kind", "key").distinct().withColumn("digest", digest).where("digest % 5 = 0")
+    known = keys(captures, DEPTH).select("kind", "key").distinct().withColumn("digest", digest).where("digest % 5 = 0")
     start = F.lit("2024-01-01").cast("date")
     first = F.date_add(start, (F.col("digest") % 211).cast("int"))
     day = lambda n: F.date_add(first, n)

@@ -221,6 +221,12 @@ def test_url_filters(spark):
     assert url_filters.evaluate(captures.where("false"), log).count() == 0
 
 
+def test_prefix_of_any_depth(spark):
+    captures = spark.createDataFrame([(1, "http://h.org/a/b/c/d/e", 5), (2, "http://h.org/a/b/c/x", 5), (3, "http://h.org/", 5)], "capture bigint, url string, fetched int")
+    log = spark.createDataFrame([("l", "prefix", "h.org/a/b/c/d/e", 1, "add")], "list string, kind string, key string, day int, action string")
+    assert {r.capture: r.blocked for r in url_filters.evaluate(captures, log).collect()} == {1: True, 2: False, 3: False}
+
+
 # 7: SimHash
 
 
