@@ -49,6 +49,18 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of the given ones that df has not."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}".lower() in taken:
+            name = f"_{name}"
+        taken.add(f"_{name}".lower())
+        out.append(f"_{name}")
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes scratch tables that nothing reads any more, and lets Spark remove the shuffle files of their steps."""
     spark = tables[0].sparkSession

@@ -1,4 +1,4 @@
-"""Substring dedup: removes every byte that a repeated string of LENGTH bytes covers.
+"""Substring dedup: removes every byte that a repeated string of LENGTH bytes (or another length asked for) covers.
 
 Texts are UTF-8 bytes, matches stay inside documents, and all occurrences go, the first one too.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +37,25 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of a repeated string and of an anchor's gram; reach of windows before an anchor; half a context's check.
+#: Bytes of a repeated string, unless another length is asked for, and of an anchor's gram.
 LENGTH, GRAM = 400, 16
-BEFORE = LENGTH - GRAM
-HALF = BEFORE // 2
 #: Contexts of one anchor in a shard, bytes of a suffix array.
 CONTEXTS, SHARD = 512, 1 << 20
 SLICE = 1 << 19
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(places, gram hashes, first windows, last windows) of the anchors of concatenated texts of LENGTH bytes at least."""
+def half_of(length: int) -> int:
+    """Half of what windows of a length reach before an anchor: what the halves of a context check."""
+    return (length - GRAM) // 2
+
+
+def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, gram hashes, first windows, last windows) of the anchors of concatenated texts of `length` bytes at least."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(GRAM, np.uint8)])
     words = common.unaligned_u64(padded)
     h = common.mix64(words[:n] * np.uint64(0x9E3779B97F4A7C15) ^ common.mix64(words[8 : n + 8] if len(words) >= n + 8 else np.append(words[8:], 0)))
-    width = BEFORE + 1
+    width = length - GRAM + 1
     low = np.uint64((1 << 32) - 1)
     key = (h & ~low) | np.arange(n, dtype=np.uint64)
     pad = -n % width
@@ -59,8 +63,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     # windows that lie inside a text
-    first = np.repeat(starts, sizes - LENGTH + 1)
-    counts = sizes - LENGTH + 1
+    first = np.repeat(starts, sizes - length + 1)
+    counts = sizes - length + 1
     inside = first + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     least = np.minimum(behind[inside], ahead[inside + width - 1]) & low
     turn = np.concatenate([[True], least[1:] != least[:-1]])
@@ -68,29 +72,30 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     return place, h[place], inside[turn], inside[np.append(turn[1:], True)]
 
 
-def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def describe(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """Anchors of documents: gram hash g, context hash c, halves l and r (null where no window has them), document, place, size and bytes before the anchor of the context."""
+    half = half_of(length)
     for b in common.in_bounds(batches, most=SLICE):
         texts = [common.text_bytes(t) for t in b.column("text").to_pylist()]
-        rows = [k for k, t in enumerate(texts) if len(t) >= LENGTH]
+        rows = [k for k, t in enumerate(texts) if len(t) >= length]
         if not rows:
             continue
         flat = b"".join(texts[k] for k in rows)
         sizes = np.array([len(texts[k]) for k in rows], dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
-        place, gram, first, last = anchors(np.frombuffer(flat, np.uint8), starts, sizes)
+        place, gram, first, last = anchors(np.frombuffer(flat, np.uint8), starts, sizes, length)
         owner = np.searchsorted(starts, place, side="right") - 1
-        left, right = place - first, last + LENGTH - place
+        left, right = place - first, last + length - place
         digest = xxhash.xxh3_64_intdigest
         p, x, y = place.tolist(), (place - left).tolist(), (place + right).tolist()
         c = np.fromiter((digest(flat[i:j], k - i) for i, j, k in zip(x, y, p)), np.uint64, len(p))
-        l = np.fromiter((digest(flat[k - HALF : k + GRAM]) if k - i >= HALF else 0 for i, k in zip(x, p)), np.uint64, len(p))
-        r = np.fromiter((digest(flat[k : k + GRAM + HALF]) if j - k >= GRAM + HALF else 0 for j, k in zip(y, p)), np.uint64, len(p))
+        l = np.fromiter((digest(flat[k - half : k + GRAM]) if k - i >= half else 0 for i, k in zip(x, p)), np.uint64, len(p))
+        r = np.fromiter((digest(flat[k : k + GRAM + half]) if j - k >= GRAM + half else 0 for j, k in zip(y, p)), np.uint64, len(p))
         source = pa.array(np.array(rows)[owner])
         as_long = lambda a, keep: pa.array(a.view(np.int64), mask=~keep)
         every = np.ones(len(p), bool)
         yield pa.RecordBatch.from_arrays(
-            [as_long(gram, every), as_long(c, every), as_long(l, left >= HALF), as_long(r, right >= GRAM + HALF), b.column("doc_id").take(source), b.column("h").take(source), pa.array((first - starts[owner]).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array((left + right).astype(np.int32))],
+            [as_long(gram, every), as_long(c, every), as_long(l, left >= half), as_long(r, right >= GRAM + half), b.column("doc_id").take(source), b.column("h").take(source), pa.array((first - starts[owner]).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array((left + right).astype(np.int32))],
             names=["g", "c", "l", "r", "doc_id", "h", "at", "left", "size"],
         )
 
@@ -98,8 +103,8 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ANCHOR = "g bigint, c bigint, l bigint, r bigint, doc_id bigint, h bigint, at int, left int, size int"
 
 
-def suffix_order(data: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Places with LENGTH bytes left in their text, sorted by these bytes.
+def suffix_order(data: np.ndarray, left: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Places with `length` bytes left in their text, sorted by these bytes.
 
     left: bytes left in its text from each place. Larsson-Sadakane: ranks by the first 8 bytes, then by
     twice as many each round, over places whose group is not yet single.
@@ -116,8 +121,8 @@ def suffix_order(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     single[order] = fresh & np.append(fresh[1:], True)
     active = np.flatnonzero(~single)
     have = 8
-    while have < LENGTH:
-        step = min(have, LENGTH - have)
+    while have < length:
+        step = min(have, length - have)
         active = active[left[active] >= have + step]
         if len(active):
             # the first `have` bytes here, then those from `step` on
@@ -134,19 +139,19 @@ def suffix_order(data: np.ndarray, left: np.ndarray) -> np.ndarray:
             rank[active] = rank_new
             active = active[~lone]
         have += step
-    whole = np.flatnonzero(left >= LENGTH)
+    whole = np.flatnonzero(left >= length)
     return whole[np.argsort(rank[whole], kind="stable")]
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Bytes, LENGTH at most, that each place in order shares with the one before it.
+def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, left: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Bytes, `length` at most, that each place in order shares with the one before it.
 
     Kasai's rule: where the sorted predecessor moves on by one place as the text does, the shared prefix
-    shrinks by one at most. (The order stops at LENGTH bytes, so a predecessor may also jump; then
+    shrinks by one at most. (The order stops at `length` bytes, so a predecessor may also jump; then
     counting starts anew.) All texts (from starts) go a place at a time.
     """
     n = len(data)
-    words = common.unaligned_u64(np.concatenate([data, np.zeros(LENGTH + 16, np.uint8)]))
+    words = common.unaligned_u64(np.concatenate([data, np.zeros(length + 16, np.uint8)]))
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     wanted = np.zeros(n, bool)
@@ -157,31 +162,31 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, lef
     while len(place):
         other = before[place]
         shared = np.where(other == last + 1, np.maximum(shared - 1, 0), 0)
-        go = np.flatnonzero((other >= 0) & (shared < LENGTH))
+        go = np.flatnonzero((other >= 0) & (shared < length))
         while len(go):
             x = words[place[go] + shared[go]] ^ words[other[go] + shared[go]]
             lowest = x & (~x + np.uint64(1))
             same = np.where(x == 0, 8, np.bitwise_count(lowest - np.uint64(1)) >> 3).astype(np.int64)
-            shared[go] = np.minimum(shared[go] + same, LENGTH)
-            go = go[(same == 8) & (shared[go] < LENGTH)]
+            shared[go] = np.minimum(shared[go] + same, length)
+            go = go[(same == 8) & (shared[go] < length)]
         prefix[place] = shared
-        keep = left[place] > LENGTH
+        keep = left[place] > length
         place, shared, last = place[keep] + 1, shared[keep], other[keep]
     return prefix[order]
 
 
-def repeated_places(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text, which of its windows of LENGTH bytes are somewhere else in the texts, too."""
+def repeated_places(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each text, which of its windows of `length` bytes are somewhere else in the texts, too."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(texts), np.uint8)
     left = np.repeat(starts + sizes, sizes) - np.arange(len(data))
-    order = suffix_order(data, left)
-    shared = common_prefixes(data, order, starts, left) >= LENGTH
+    order = suffix_order(data, left, length)
+    shared = common_prefixes(data, order, starts, left, length) >= length
     hit = np.zeros(len(data), bool)
     hit[order[shared]] = True
     hit[order[np.flatnonzero(shared) - 1]] = True
-    return [hit[s : s + max(0, z - LENGTH + 1)] for s, z in zip(starts, sizes)]
+    return [hit[s : s + max(0, z - length + 1)] for s, z in zip(starts, sizes)]
 
 
 def intervals(hit: np.ndarray) -> np.ndarray:
@@ -193,10 +198,10 @@ def intervals(hit: np.ndarray) -> np.ndarray:
 SHARD_OUT = "kind int, g bigint, c bigint, range int, salt int, digests binary, owners binary, found array<int>"
 
 
-def _shard_rows(group: list[dict]) -> Iterator[pa.RecordBatch]:
+def _shard_rows(group: list[dict], length: int) -> Iterator[pa.RecordBatch]:
     """Results of one suffix array; group: contexts (g, c, n, salts, salt, left, l2, r2, bytes)."""
-    hits = repeated_places([x["bytes"] for x in group])
-    rows, many = [], {}
+    hits = repeated_places([x["bytes"] for x in group], length)
+    rows, many, before, half = [], {}, length - GRAM, half_of(length)
     for x, hit in zip(group, hits):
         if x["n"] > 1:
             hit = np.ones(len(hit), bool)
@@ -207,10 +212,10 @@ def _shard_rows(group: list[dict]) -> Iterator[pa.RecordBatch]:
     for (g, salt), found in many.items():
         digests, owners = [], []
         for x, hit in found:
-            offset = np.arange(len(hit)) + BEFORE - x["left"]
-            likely = np.where(offset <= HALF, x["l2"], True) & np.where(offset >= HALF, x["r2"], True)
+            offset = np.arange(len(hit)) + before - x["left"]
+            likely = np.where(offset <= half, x["l2"], True) & np.where(offset >= half, x["r2"], True)
             for o in np.flatnonzero(likely):
-                digests.append(xxhash.xxh3_64_intdigest(x["bytes"][o : o + LENGTH]))
+                digests.append(xxhash.xxh3_64_intdigest(x["bytes"][o : o + length]))
                 owners.append((x["c"], -1 if hit[o] else o))
         d = np.array(digests, dtype=np.uint64)
         own = np.array(owners, dtype=np.int64).reshape(-1, 2)
@@ -230,14 +235,14 @@ def _shard_rows(group: list[dict]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in SHARD_OUT.split(", ")])
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shards(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """Suffix arrays over contexts sorted by (g, salt, c); whole groups, about SHARD bytes each."""
     held, size, last = [], 0, None
     for b in batches:
         for x in b.to_pylist():
             name = (x["g"], x["salt"])
             if name != last and size >= SHARD:
-                yield from _shard_rows(held)
+                yield from _shard_rows(held, length)
                 held, size = [], 0
             if name == last and held[-1]["c"] == x["c"]:
                 continue  # the same context from a repeated row
@@ -245,7 +250,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(x["bytes"])
             last = name
     if held:
-        yield from _shard_rows(held)
+        yield from _shard_rows(held, length)
 
 
 def merge(table: pa.Table) -> pa.Table:
@@ -280,10 +285,10 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select("text", "items").mapInArrow(cut, "g bigint, c bigint, n bigint, salts int, salt int, left int, l2 boolean, r2 boolean, bytes binary")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (doc_id, h, text) -> (doc_id, h, spans): for each document with repeated windows, pairs of first byte and byte after."""
     # aggregates are read back before they join, so that the joins are plain and their large partitions can be split
-    found = common.scratch(docs.mapInArrow(describe, ANCHOR), "anchors")
+    found = common.scratch(docs.mapInArrow(partial(describe, length=length), ANCHOR), "anchors")
     twice = common.scratch(found.groupBy("g").agg(F.count("*").alias("total")).where("total > 1").select("g"), "grams")
     shared = common.scratch(found.join(twice, "g", "left_semi"), "shared")
     common.drop(found, twice)
@@ -300,7 +305,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     item = F.struct("where.at", "where.left", "where.size", "g", "c", "n", "salts", "salt", F.coalesce("l2", F.lit(False)).alias("l2"), F.coalesce("r2", F.lit(False)).alias("r2"))
     wanted = dealt.groupBy("where.doc_id", "where.h").agg(F.collect_list(item).alias("items"))
     texts = _contexts(docs, wanted).repartition(common.partitions(docs.sparkSession), "g", "salt").sortWithinPartitions("g", "salt", "c")
-    done = common.scratch(texts.mapInArrow(shards, SHARD_OUT), "shards")
+    done = common.scratch(texts.mapInArrow(partial(shards, length=length), SHARD_OUT), "shards")
     common.drop(mixed, left)
     own = done.where("kind = 0").select("g", "c", "found")
     across = done.where("kind = 1").groupBy("g", "range").applyInArrow(merge, "g bigint, c bigint, o int")
@@ -308,7 +313,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     whole = context.where("n > 1").select("g", "c", F.lit(None).cast("array<int>").alias("found"))
     result = whole.unionByName(own).unionByName(across)
     hits = shared.select("g", "c", "doc_id", "h", "at", "size").join(result, ["g", "c"])
-    pairs = F.when(F.col("found").isNull(), F.array("at", F.col("at") + F.col("size"))).otherwise(F.transform("found", lambda v, i: v + F.col("at") + F.when(i % 2 == 1, LENGTH).otherwise(0)))
+    pairs = F.when(F.col("found").isNull(), F.array("at", F.col("at") + F.col("size"))).otherwise(F.transform("found", lambda v, i: v + F.col("at") + F.when(i % 2 == 1, length).otherwise(0)))
     out = common.scratch(hits.select("doc_id", "h", pairs.alias("pairs")).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("pairs")).alias("spans")), "spans")
     common.drop(shared, context, done)
     return out
@@ -323,42 +328,64 @@ def covered(size: int, spans) -> np.ndarray:
     return np.cumsum(steps[:size]) > 0
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with an array of spans (null: none) in a column _spans."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    found = repeats(keyed.select("doc_id", F.col("_hash").alias("h"), "text")).select(F.col("doc_id").alias("_found_id"), F.col("h").alias("_found_hash"), F.col("spans").alias("_spans"))
-    met = keyed.join(found, keyed["_hash"].eqNullSafe(found["_found_hash"]) & keyed["doc_id"].eqNullSafe(found["_found_id"]), "left")
-    return met.select(*(keyed[c] for c in docs.columns), "_spans")
+def without_short(gone: np.ndarray, data: bytes, words: int) -> np.ndarray:
+    """gone without its runs that hold fewer than `words` whole words (ASCII white space between them)."""
+    if not words or not gone.any():
+        return gone
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    space = np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+    begins = np.flatnonzero(~space & np.append(True, space[:-1]))
+    ends = np.flatnonzero(~space & np.append(space[1:], True)) + 1
+    kept = gone.copy()
+    for i, j in edge.reshape(-1, 2).tolist():
+        if np.searchsorted(ends, j, side="right") - np.searchsorted(begins, i) < words:
+            kept[i:j] = False
+    return kept
+
 
+def with_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, str]:
+    """docs with an array of spans (null: none), and the name of its column."""
+    h, found_id, found_hash, spans = common.fresh(docs, "h", "found_id", "found_hash", "spans")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    found = repeats(keyed.select("doc_id", F.col(h).alias("h"), "text"), length).select(F.col("doc_id").alias(found_id), F.col("h").alias(found_hash), F.col("spans").alias(spans))
+    met = keyed.join(found, F.col(h).eqNullSafe(F.col(found_hash)) & F.col("doc_id").eqNullSafe(F.col(found_id)), "left")
+    return met.drop(h, found_id, found_hash), spans
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated bytes cut from their texts; n_chars, if there, follows."""
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """docs with bytes of repeated strings cut from their texts; n_chars, if there, follows.
+
+    words: runs of covered bytes that hold fewer whole words stay.
+    """
     names = docs.columns
     out = [f for f in docs.schema if f.name != "text"]
+    spanned, spans = with_spans(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.in_bounds(batches):
             texts = []
-            for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist()):
+            for t, s in zip(b.column("text").to_pylist(), b.column(spans).to_pylist()):
                 if s:
-                    data = np.frombuffer(common.text_bytes(t), np.uint8)
-                    t = data[~covered(len(data), s)].tobytes().decode("utf-8", "ignore")  # parts of a character go, too
+                    whole = common.text_bytes(t)
+                    gone = without_short(covered(len(whole), s), whole, words)
+                    if gone.any():
+                        t = np.frombuffer(whole, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")  # parts of a character go, too
                 texts.append(t)
             columns = {f.name: b.column(f.name) for f in out} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return with_spans(docs).mapInArrow(run, docs.schema)
+    return spanned.mapInArrow(run, docs.schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs, spans = with_spans(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.in_bounds(batches):
             rows = []
-            for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist()):
+            for t, s in zip(b.column("text").to_pylist(), b.column(spans).to_pylist()):
                 data = common.text_bytes(t)
                 gone = covered(len(data), s)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if s else data
@@ -367,7 +394,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             size, removed, n_spans, digest = zip(*rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs).select("doc_id", "text", "_spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return docs.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
