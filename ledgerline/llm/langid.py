@@ -194,8 +194,9 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
 
     keep = [c for c in docs.columns if c not in names]
     # asked once a row: without the flag a filter below would ask again
-    out = docs.select(*keep, named.asNondeterministic()("text").alias("_named"))
-    return out.select(*keep, F.col("_named.lang").alias(names[0]), F.col("_named.score").alias(names[1]))
+    (both,) = common.fresh(docs, "named")
+    out = docs.select(*keep, named.asNondeterministic()("text").alias(both))
+    return out.select(*keep, F.col(f"{both}.lang").alias(names[0]), F.col(f"{both}.score").alias(names[1]))
 
 
 def held_out():

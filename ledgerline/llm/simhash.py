@@ -24,7 +24,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -38,8 +38,10 @@ SIMILAR = (4, 5)
 SKETCH = 12
 #: Distinct fingerprints from which classes are made of four population counts in place of two.
 MANY = 1 << 21
-#: Rows of the first tile that are compared at a time.
-STRIP = 128
+#: Rows of the first tile that are compared at a time, and shingle sets that are met with another one at a time.
+STRIP, SETS = 128, 64
+#: Bytes of shingle sets in a tile, about.
+TILE_BYTES = 8 << 20
 
 
 def shingles(data: bytes, words: int) -> list[bytes]:
@@ -114,11 +116,6 @@ def set_fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...], sketch
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
 
 
-def set_name(hashes: np.ndarray) -> int:
-    """One signed word that names a sorted set of hashes."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
-
-
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
     """(node, hashes): the distinct shingle hashes of the texts whose hash is in wanted (h), one row for each set."""
 
@@ -192,8 +189,46 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
     return pairs[:, 0], pairs[:, 1]
 
 
+def similar(a: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Which sorted sets have a similarity of SIMILAR at least with the sorted set a; none of them is empty."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets)
+    inside = a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat
+    both = np.add.reduceat(inside, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return both * SIMILAR[1] >= (len(a) + sizes - both) * SIMILAR[0]
+
+
+def joined(a: np.ndarray, b: np.ndarray, radius: int, same: bool, sets: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that span the groups of similar sets of two tiles; only pairs within the radius are met.
+
+    sets, known: of the rows of a, then of those of b (of a alone for a tile with itself). Rows of one
+    known group are joined from the start, and a pair whose groups are joined is not met again.
+    """
+    group = np.unique(known, return_inverse=True)[1]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    shift = 0 if same else len(a)
+    out = []
+    for start, near in near_strips(a, b, radius, same):
+        for i in np.flatnonzero(near.any(1)):
+            own = sets[start + i]
+            js = np.flatnonzero(near[i])
+            z = sizes[js + shift]
+            js = js[(np.minimum(z, len(own)) * SIMILAR[1] >= np.maximum(z, len(own)) * SIMILAR[0]) & (z > 0)]
+            while len(js := js[group[js + shift] != group[start + i]]):
+                now, js = js[:SETS], js[SETS:]
+                for j in now[similar(own, [sets[j + shift] for j in now])]:
+                    if group[j + shift] != group[start + i]:
+                        out.append((start + i, j))
+                        group[group == group[j + shift]] = group[start + i]
+    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def tiles(prints: DataFrame, words: int, parts: int, radius: int, size: int, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Distinct fingerprints in tiles (class, tile, prints), and the number of tiles of each class; more: columns beside the words."""
+    """Distinct fingerprints in tiles (class, tile, prints), and the number of tiles of each class; more: columns beside the words.
+
+    A tile has about `size` fingerprints at most, and, with a column of sets, about TILE_BYTES of these.
+    """
     width = WORD * words // parts
     if parts == 1:
         counts = [sum((F.bit_count(f"f{w}") for w in range(1, words)), F.bit_count("f0"))]
@@ -207,22 +242,25 @@ def tiles(prints: DataFrame, words: int, parts: int, radius: int, size: int, mor
     for c in counts:
         key = key * 1000 + F.floor(c / class_step(radius))
     own = prints.withColumn("class", key)
-    sizes = own.groupBy("class").agg(F.ceil(F.count("*") / size).cast("int").alias("n_tiles"))
+    needed = F.count("*") / size
+    if "hashes" in more:
+        needed = F.greatest(needed, F.sum(F.size("hashes").cast("bigint") * 8) / TILE_BYTES)
+    sizes = own.groupBy("class").agg(F.ceil(needed).cast("int").alias("n_tiles"))
     # at most (width + 1) ** parts classes: a bounded table
     placed = own.join(F.broadcast(sizes) if (width + 1) ** parts <= 100_000 else sizes, "class")
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64(*(f"f{w}" for w in range(words)), *more, F.lit(7)), F.col("n_tiles")).cast("int"))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64(*(f"f{w}" for w in range(words)), *(m for m in more if m != "hashes"), F.lit(7)), F.col("n_tiles")).cast("int"))
     packed = placed.groupBy("class", "tile").agg(F.collect_list(F.struct(*(f"f{w}" for w in range(words)), *more)).alias("prints"))
     return packed, sizes
 
 
-def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int = 2, size: int | None = None, named: bool = False, grouped: bool = False) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int = 2, size: int | None = None, named: bool = False, verified: bool = False) -> DataFrame:
     """Links (a, b) between distinct fingerprints (structs of words) that span all groups within the radius.
 
-    named: a and b are the values of a column node in place of the words. grouped: all pairs within the
-    radius whose values of a column known differ, in place of spanning links.
+    named: a and b are the values of a column node in place of the words. verified: links are of sets
+    (column hashes) of a similarity of SIMILAR at least, and span these groups with those of a column known.
     """
     spark = prints.sparkSession
-    more = ("node",) * named + ("known",) * grouped
+    more = ("node",) * named + ("known", "hashes") * verified
     packed, sizes = tiles(prints, words, parts, radius, size or TILE, more)
     packed = common.scratch(packed, "tiles")
     width = WORD * words // parts
@@ -236,32 +274,28 @@ def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int =
     full = pairs.join(a, ["class_a", "tile_a"]).join(packed, ["class", "tile"]).repartition(max(common.partitions(spark), 1), "class", "tile", "class_a", "tile_a")
     n = words
 
-    def arrays(column: pa.Array) -> np.ndarray:
-        return np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in column.flatten().flatten()], axis=1)
-
-    def found(x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not grouped:
-            yield linked(x[:, :n], y[:, :n], radius, same)
-            return
-        for start, near in near_strips(x[:, :n], y[:, :n], radius, same):
-            i, j = np.nonzero(near & (x[start : start + len(near), -1][:, None] != y[None, :, -1]))
-            yield i + start, j
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([(f"f{i}", pa.int64()) for i in range(n)])
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                x, y = arrays(row.column("prints_a")), arrays(row.column("prints"))
+                sides = [row.column(c).flatten() for c in ("prints_a", "prints")]
+                x, y = ([f.to_numpy(zero_copy_only=False) for f in s.flatten()[: n + named + verified]] for s in sides)
+                xw, yw = (np.stack(z[:n], axis=1).view(np.uint64) for z in (x, y))
                 same = row.column("class")[0].as_py() == row.column("class_a")[0].as_py() and row.column("tile")[0].as_py() == row.column("tile_a")[0].as_py()
-                for i, j in found(x, y, same):
-                    if not len(i):
-                        continue
-                    if named:
-                        sides = [pa.array(z[at, n].view(np.int64)) for z, at in ((x, i), (y, j))]
-                    else:
-                        sides = [pa.StructArray.from_arrays([pa.array(z[at, w].view(np.int64)) for w in range(n)], fields=list(kind)) for z, at in ((x, i), (y, j))]
-                    yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+                if verified:
+                    lists = [s.flatten()[-1] for s in sides[: 1 if same else 2]]
+                    sets = [v.values.to_numpy(zero_copy_only=False).view(np.uint64) for side in lists for v in side]
+                    i, j = joined(xw, yw, radius, same, sets, x[-1] if same else np.concatenate([x[-1], y[-1]]))
+                else:
+                    i, j = linked(xw, yw, radius, same)
+                if not len(i):
+                    continue
+                if named:
+                    ends = [pa.array(z[n][at]) for z, at in ((x, i), (y, j))]
+                else:
+                    ends = [pa.StructArray.from_arrays([pa.array(z[w][at]) for w in range(n)], fields=list(kind)) for z, at in ((x, i), (y, j))]
+                yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
     word = "bigint" if named else "struct<" + ", ".join(f"f{i}: bigint" for i in range(n)) + ">"
     out = full.select("class", "tile", "class_a", "tile_a", "prints_a", "prints").mapInArrow(run, f"a {word}, b {word}")
@@ -302,11 +336,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, words: int, seed: int) -> DataFrame:
+    """Scratch table (node, hashes) of the shingle sets of the nodes in ends (node)."""
+    wanted = nodes.select("node", "h").join(ends, "node", "left_semi").select("h")
+    return common.scratch(shingle_sets(docs, wanted, words, seed), "sets")
+
+
 def alike(links: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, seed: int) -> DataFrame:
     """links (a, b) between nodes (node, h) with `near`: whether their shingle sets have a similarity of SIMILAR."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.select("node", "h").join(ends, "node", "left_semi").select("h")
-    sets = common.scratch(shingle_sets(docs, wanted, words, seed), "sets")
+    sets = sets_of(docs, nodes, links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words, seed)
     side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"hashes_{name}"))
     met = links.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("bigint")
@@ -320,8 +358,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, words: int, se
     """Scratch table (u, v) of similar nodes that spans each group of nodes linked by similar pairs within the radius.
 
     nodes: (node, h, f0, ...). Spanning links within the radius are checked first. Where one fails, a
-    pair that it stands for may still be similar: in components with a failed link all pairs within
-    the radius are checked whose ends are not yet in one group.
+    pair that it stands for may still be similar: components with a failed link go to tiles once more,
+    with their sets; pairs within the radius whose ends are not yet in one group are checked there, and
+    only links that join groups come out, so a large family costs rows in proportion to its size.
     """
     names = [f"f{i}" for i in range(n_seeds)]
     links = near_links(nodes.select(*names, "node"), radius, n_seeds, 1, WIDE_TILE, named=True)
@@ -336,19 +375,32 @@ def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, words: int, se
         return out
     roots = common.scratch(components(checked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     failed = checked.where("not near").select(F.col("a").alias("node")).join(roots, "node").select("root").distinct()
-    open_nodes = roots.join(failed, "root", "left_semi").select("node")
+    open_nodes = common.scratch(roots.join(failed, "root", "left_semi").select("node"), "open")
+    sets = sets_of(docs, nodes, open_nodes, words, seed)
     groups = components(sure).withColumnRenamed("root", "known")
-    left = nodes.join(open_nodes, "node", "left_semi").join(groups, "node", "left").withColumn("known", F.coalesce("known", "node"))
-    left = common.scratch(left.select(*names, "node", "known"), "open")
-    links = near_links(left, radius, n_seeds, 1, WIDE_TILE, named=True, grouped=True)
-    pairs = common.scratch(links.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    common.drop(links._tiles, left, roots)
-    more = alike(pairs, docs, nodes, words, seed)
-    out = common.scratch(sure.unionByName(more.where("near").select(F.col("a").alias("u"), F.col("b").alias("v"))), "similar")
-    common.drop(checked, pairs, more)
+    left = nodes.join(sets, "node").join(groups, "node", "left").withColumn("known", F.coalesce("known", "node"))
+    left = common.scratch(left.select(*names, "node", "known", "hashes"), "open")
+    common.drop(roots, open_nodes, sets)
+    links = near_links(left, radius, n_seeds, 1, WIDE_TILE, named=True, verified=True)
+    out = common.scratch(sure.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "similar")
+    common.drop(checked, links._tiles, left)
     return out
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of those that have the same id (not null) and text."""
+    doc_id, h, row = common.fresh(docs, "doc_id", "h", "row")
+    keyed = docs.withColumns({doc_id: F.col("doc_id"), h: F.xxhash64("text")})
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(f"{doc_id}2"), F.xxhash64("text").alias(f"{h}2")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if again.isEmpty():
+        return docs
+    again = common.scratch(again, "again")
+    same = (F.col(doc_id) == F.col(f"{doc_id}2")) & (F.col(h) == F.col(f"{h}2"))
+    # partial aggregates: a row that is there many times is no single task's burden
+    first = keyed.join(again, same, "left_semi").groupBy(doc_id, h).agg(F.first(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    return keyed.join(again, same, "left_anti").select(*docs.columns).unionByName(first)
+
+
 def keep_one(docs: DataFrame, words: int = 5, seeds: tuple[int, ...] = (42, 43, 44, 45), radius: int = 54) -> DataFrame:
     """The rows of docs without all but one document of each group of near duplicates.
 
@@ -359,11 +411,14 @@ def keep_one(docs: DataFrame, words: int = 5, seeds: tuple[int, ...] = (42, 43,
     radius has room for nearly all such pairs, and unrelated texts (128 bits) are nine deviations off.
     Only fingerprints are compared whose texts have one of their SKETCH smallest shingle hashes in common
     with another text's: at 0.8, one in 200 million pairs has none.
-    The document with the smallest id stays, one row of it where rows repeat. Rows without an id stay.
+    A document is an id with a text: of rows that share both, one stays, and rows that share an id only
+    are documents of their own. The document with the smallest id stays (with the smallest text hash, if
+    it is there with several texts of the group). Rows without an id stay.
     """
     prints = common.scratch(set_fingerprints(docs, words, seeds, SKETCH), "fingerprints")
     names = [f"f{i}" for i in range(len(seeds))]
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("h").alias("h"), *(F.first(n).alias(n) for n in names))
+    document = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))
+    nodes = prints.groupBy("node").agg(F.min(document).alias("least"), F.min("h").alias("h"), *(F.first(n).alias(n) for n in names))
     nodes = common.scratch(nodes, "nodes")
     # read back, the join is plain and its large partitions can be split
     each = prints.select("node", F.explode("sketch").alias("s")).distinct()
@@ -372,17 +427,13 @@ def keep_one(docs: DataFrame, words: int = 5, seeds: tuple[int, ...] = (42, 43,
     common.drop(shared)
     found = similar_links(docs, compared, radius, words, seeds[0], len(seeds))
     known = common.scratch(nodes.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "least"), "known")
-    lowest = common.scratch(known.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
-    named = common.scratch(known.join(lowest, "root").select("node", "component_id"), "named")
+    lowest = common.scratch(known.groupBy("root").agg(F.min("least").alias("stays")), "lowest")
+    named = common.scratch(known.join(lowest, "root").select("node", "stays"), "named")
     common.drop(nodes, compared, found, known, lowest)
-    found = prints.join(named, "node")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    kept = docs.join(gone, docs.doc_id == F.col("_gone_id"), "left_anti")
-    text = F.xxhash64("text")
-    if docs.where("doc_id is not null").groupBy("doc_id", text.alias("_hash")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept
-    order = F.row_number().over(Window.partitionBy("doc_id", text).orderBy("doc_id"))
-    return kept.withColumn("_nth", F.when(F.col("doc_id").isNotNull(), order).otherwise(1)).where("_nth = 1").drop("_nth")
+    gone_id, gone_h, h = common.fresh(docs, "gone_id", "gone_h", "h")
+    gone = prints.join(named, "node").where(document != F.col("stays")).select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
+    kept = docs.withColumn(h, F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(h) == F.col(gone_h)), "left_anti")
+    return one_of_each(kept.select(*docs.columns))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

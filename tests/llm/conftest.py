@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h bigint, g string, c int, f0 string, block string, class int, found_at int, score string, lang_pred int, n int, at string, key string, q int, spans int, component_id string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h bigint, g string, c int, f0 string, block string, class int, found_at int, score string, lang_pred int, n int, at string, key string, q int, spans int, component_id string, _h string, _lang int, _score string, _spans int, _named int, _gone_id int, _row string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
 
@@ -16,7 +16,7 @@ def prose(seed: int, n: int) -> str:
 
 def documents(spark, texts, langs=None):
     """Rows with clashing extra columns; texts: (doc_id, text)."""
-    rows = [(i, t, (langs or {}).get(i, "en"), "s", None if t is None else len(t), 1, "g", 2, "f", "b", 3, 4, "s", 5, 6, "at", "key", 7, 8, "x") for i, t in texts]
+    rows = [(i, t, (langs or {}).get(i, "en"), "s", None if t is None else len(t), 1, "g", 2, "f", "b", 3, 4, "s", 5, 6, "at", "key", 7, 8, "x", "h", 9, "s", 10, 11, 12, "r") for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA)
 
 

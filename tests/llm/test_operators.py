@@ -98,9 +98,8 @@ def test_viterbi():
 # 3: suffix arrays
 
 
-def removed(texts):
-    """What is left of each text by the rule, brute force."""
-    n = suffix_dedup.LENGTH
+def removed(texts, n=suffix_dedup.LENGTH):
+    """What is left of each text by the rule, and the runs that go, brute force."""
     c = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
     for t in texts:
@@ -108,7 +107,8 @@ def removed(texts):
         for i in range(len(t) - n + 1):
             if c[t[i : i + n]] > 1:
                 gone[i : i + n] = b"\1" * n
-        out.append(bytes(b for b, g in zip(t, gone) if not g))
+        runs = bytes(gone).split(b"\0")
+        out.append((bytes(b for b, g in zip(t, gone) if not g), sum(map(bool, runs))))
     return out
 
 
@@ -132,13 +132,33 @@ def test_suffix_dedup(spark, edge, nothing, monkeypatch, tmp_path, contexts):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = rows(suffix_dedup.op3_suffix_dedup(spark, str(tmp_path)))
     texts = [common.text_bytes(r.text) for r in docs.select("text").collect()]
-    want = Counter((len(t), len(t) - len(k), hashlib.sha256(k).hexdigest()) for t, k in zip(texts, removed(texts)))
-    assert Counter((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == want
+    want = Counter((len(t), len(t) - len(k), n, hashlib.sha256(k).hexdigest()) for t, (k, n) in zip(texts, removed(texts)))
+    assert Counter((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    for length in (64, 200):
+        left = Counter(r.text or "" for r in suffix_dedup.remove_repeats(docs, length).select("text").collect())
+        assert left == Counter(k.decode("utf-8", "ignore") for k, _ in removed(texts, length))
     kept = suffix_dedup.remove_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_passages_by_words(spark):
+    """Repeated passages of 50 words go wherever they are, shorter ones stay, whatever the bytes of a word."""
+    few, many, short = prose(91, 45), prose(92, 50), " ".join(f"w{i:02}" for i in range(52))
+    around = lambda k, p: f"{prose(600 + k, 30)} | {p} | {prose(700 + k, 30)}"
+    texts = [(k, around(k, p)) for k, p in enumerate([few, few, many, many, many, short, short])] + [(10, prose(93, 200))]
+    assert len(few) > 200 and len(short) > 200
+    kept = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(documents(spark, texts), 200, 50).collect()}
+    for k, t in texts:
+        want = t if k in (0, 1, 10) else t.replace(" | " + (many if k < 5 else short) + " | ", "")
+        # a byte or two of what is around may be the same by chance
+        assert kept[k] == want if k in (0, 1, 10) else len(want) - 20 <= len(kept[k]) <= len(want), k
+    gone = np.array([0, 1, 1, 1, 1, 1, 0, 1, 1], bool)
+    assert suffix_dedup.without_short(gone, b"aa b ccdd", 1).tolist() == [0, 1, 1, 1, 1, 1, 0, 0, 0]
+    assert not suffix_dedup.without_short(gone, b"aa b ccdd", 2).any()
+    assert suffix_dedup.without_short(gone, b"aa b ccdd", 0).tolist() == gone.tolist()
+
+
 # 4: lattice
 
 
@@ -280,6 +300,56 @@ def test_keep_one(spark):
     assert again.count() == 1
 
 
+def test_keep_one_by_document(spark):
+    """A document is an id with a text: another text under the id of a copy stays, and so do rows without an id."""
+    w, v = prose(13, 60), prose(14, 60)
+    kept = lambda texts: sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_one(documents(spark, texts)).collect())
+    assert kept([(1, w), (2, w), (2, v)]) == [(1, w), (2, v)]
+    assert kept([(1, w), (1, w), (2, w), (2, v), (2, v), (2, v)]) == [(1, w), (2, v)]
+    near = w + " end"
+    assert len(kept([(3, w), (3, near), (4, near), (4, v)])) == 2
+    assert kept([(None, w), (None, w), (5, w)]) == [(0, w), (0, w), (5, w)]
+    assert kept([(1, None), (2, None), (3, "")]) == [(1, "")]
+
+
+def test_near_copies_found(spark):
+    """At least nine in ten of planted near copies of a similarity of 0.8 or more go; texts below it stay."""
+    rng = random.Random(8)
+    texts, pairs = [], []
+    for k in range(150):
+        words = prose(1000 + k, 120 + k).split()
+        texts.append((k, " ".join(words)))
+        for _ in range(1 + k % 9):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(1000)}"
+        texts.append((1000 + k, " ".join(words)))
+        pairs.append(similarity(texts[-2][1], texts[-1][1]))
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()}
+    near = [k for k, s in enumerate(pairs) if s >= 0.8]
+    assert 50 < len(near) < 150 and all(k in kept for k in range(150))
+    assert all(1000 + k in kept for k in set(range(150)) - set(near))
+    assert sum(1000 + k not in kept for k in near) >= 0.9 * len(near)
+
+
+def test_large_family_of_texts(spark):
+    """A family within the radius but below 0.8 is met in tiles; no row is made for a pair that is not similar."""
+    base = prose(40, 400).split()
+    family = []
+    for k in range(120):
+        rng = random.Random(k)
+        family.append((k, " ".join(f"y{k}" if rng.random() < 0.035 else w for w in base)))
+    family.append((500, family[7][1] + " more"))
+    docs = documents(spark, family)
+    prints = simhash.set_fingerprints(docs, 5, (42, 43, 44, 45), 12)
+    links = [(r.u, r.v) for r in simhash.similar_links(docs, prints.drop("sketch"), 54, 5, 42, 4).collect()]
+    label = {i: i for i, _ in family}
+    for (i, a), (j, b) in itertools.combinations(family, 2):
+        if similarity(a, b) >= 0.8:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = {k: new if v == old else v for k, v in label.items()}
+    assert label[500] == label[7] and len(links) <= 2 * len(family)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(label.values())
+
+
 def similarity(a: str, b: str) -> float:
     x, y = (set(simhash.shingles(t.encode(), 5)) for t in (a, b))
     return len(x & y) / len(x | y)

@@ -40,6 +40,27 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == kept
 
 
+def test_planted_cases(spark, sf_dir):
+    """Copies, repeated passages and benchmark passages go, clean documents come through unchanged."""
+    clean = [(k, prose(2000 + k, 150)) for k in range(30)]
+    copies = [(100 + k, clean[k][1]) for k in range(5)]
+    near = [(110 + k, clean[10 + k][1] + " one more") for k in range(5)]
+    passage = prose(3000, 60)
+    holders = [(200 + k, f"{prose(4000 + k, 60)} {passage} {prose(5000 + k, 60)}") for k in range(6)]
+    items = [r.text for r in common.read(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).collect()]
+    leaks = [(300 + k, f"{prose(6000 + k, 60)} {t} {prose(7000 + k, 40)}") for k, t in enumerate(items)]
+    docs = documents(spark, clean + copies + near + holders + leaks).select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.scratch(stage(spark, docs, sf_dir), name)
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert {k: kept.get(k) for k, _ in clean} == dict(clean)
+    assert set(kept) == {k for k, _ in clean + holders}
+    words = set(passage.split())
+    for k, t in holders:
+        assert passage not in kept[k] and kept[k].split()[:59] == t.split()[:59]
+        assert len([w for w in t.split() if w in words]) - len([w for w in kept[k].split() if w in words]) >= 58
+
+
 def test_stages_take_odd_rows(spark, sf_dir, edge, nothing):
     for docs in (edge, nothing):
         for name, stage in corpus_pipeline.STAGES:
