@@ -16,6 +16,9 @@ from ledgerline.llm import bpe, common, decontaminate, langid, simhash, suffix_d
 
 #: Share of a text's letters that its language has at least.
 LANGUAGE_SHARE = 0.5
+#: Words of a repeated passage that the third stage removes, and the bytes by which it looks for them:
+#: four a word with its space, fewer than nearly all prose of 50 words has.
+PASSAGE, PASSAGE_BYTES = 50, 200
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.lit(True))
     if not model.languages:  # nothing to learn from: no decision
         return docs
-    named = langid.identify(docs, model, ("_lang", "_score"))
-    return named.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LANGUAGE_SHARE)).select(*docs.columns)
+    lang, score = common.fresh(docs, "lang", "score")
+    named = langid.identify(docs, model, (lang, score))
+    return named.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without bytes of repeated strings."""
-    return suffix_dedup.remove_repeats(docs)
+    """All rows, without passages of PASSAGE words or more that are elsewhere, too."""
+    return suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, PASSAGE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
