@@ -5,15 +5,16 @@ on one list become validity intervals [from, until), and an as-of join evaluates
 the entries active at its fetch time. An entry is a host, a domain (with all hosts under it) or a path
 prefix of whole segments under a host.
 
-A capture asks for few keys: its host, each parent domain, and each prefix of its path. The drawn log
-has prefixes of DEPTH segments at most. A capture meets intervals by an equi-join on the key with a range condition on time. The list is as
-large as it is: nothing is broadcast by hand. A host that holds a third of all captures is dealt out:
-captures take one of SALTS values by a hash of their id, and intervals go to all of them.
+A capture asks for few keys: its host, each parent domain, and each prefix of its path, as deep as the
+deepest entry of the log. A capture meets intervals by an equi-join on the key with a range condition
+on time. The list is as large as it is: nothing is broadcast by hand. The join is plain, so adaptive
+execution splits the partition of a host that holds a third of all captures, however many rows it has.
 
 Everything is made of DataFrame functions. A capture with a null url or no host matches nothing and is
 allowed; one without a fetch time, too. Rows of a log without key, kind or day, or with an unknown
-action, are ignored; on one day the last action wins, `remove` before `add`. Repeated captures are
-evaluated each; repeated log rows count once. Other columns are not looked at.
+action, are ignored; on one day the last action wins, `remove` before `add`. A result row stands for a
+capture's id: repeated captures are evaluated once, and rows that share an id but not url or time count
+each entry that any of them meets once. Repeated log rows count once. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,9 +24,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Path segments of a prefix entry at most, values of the salt.
-DEPTH, SALTS = 3, 16
-
 
 def url_parts(url):
     """(host, path) as columns: host in lower case without user, port and final dot; path without query and fragment."""
@@ -43,7 +41,7 @@ def keys(captures: DataFrame, depth: int | None = None) -> DataFrame:
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     prefixes = F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.size(segments), F.lit(1)) if depth is None else F.lit(depth)), lambda i: i <= F.size(segments)),
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size(segments), F.lit(1)) if depth is None else F.greatest(F.least(F.size(segments), F.lit(depth)), F.lit(1))), lambda i: (i <= F.size(segments)) & (F.lit(depth is None) | (i <= (depth or 0)))),
         lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(F.col("host"), F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")).alias("key")),
     )
     own = F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("key")))
@@ -63,12 +61,19 @@ def intervals(log: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, log: DataFrame) -> DataFrame:
     """captures (capture, url, fetched) -> (capture, blocked, n_active, lists, reason) by the entries active at fetch time.
 
-    reason is the smallest of 'list:kind:key'. Captures are named by unique ids.
+    reason is the smallest of 'list:kind:key'.
     """
-    asked = keys(captures).withColumn("salt", F.pmod(F.xxhash64("capture"), F.lit(SALTS)).cast("int"))
-    valid = intervals(log).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = asked.join(valid, ["kind", "key", "salt"]).where((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_until").isNull() | (F.col("fetched") < F.col("valid_until"))))
-    found = hit.groupBy("capture").agg(F.count("*").alias("n_active"), F.sort_array(F.collect_set("list")).alias("lists"), F.min(F.concat_ws(":", "list", "kind", "key")).alias("reason"))
+    deepest = log.where("kind = 'prefix'").agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
+    asked = keys(captures, deepest)
+    hit = asked.join(intervals(log), ["kind", "key"]).where((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_until").isNull() | (F.col("fetched") < F.col("valid_until"))))
+    # each entry once, whatever is repeated; a capture has few keys. Grouping by the capture alone leaves the join free to be split
+    found = hit.groupBy("capture").agg(F.collect_set(F.struct("list", "kind", "key")).alias("entries"))
+    found = found.select(
+        "capture",
+        F.size("entries").cast("bigint").alias("n_active"),
+        F.array_sort(F.array_distinct(F.col("entries.list"))).alias("lists"),
+        F.array_min(F.transform("entries", lambda e: F.concat_ws(":", e["list"], e["kind"], e["key"]))).alias("reason"),
+    )
     out = captures.select("capture").distinct().join(found, "capture", "left")
     return out.select("capture", F.col("n_active").isNotNull().alias("blocked"), F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"), F.array_join("lists", ",").alias("lists"), "reason")
 
@@ -82,7 +87,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
 def page_log(captures: DataFrame) -> DataFrame:
     """A dated log for the query: hosts, domains and prefixes of the pages themselves, chosen by a digest of the key."""
     digest = F.conv(F.substring(F.sha1(F.concat_ws(":", "kind", "key").cast("binary")), 1, 6), 16, 10).cast("int")
-    known = keys(captures, DEPTH).select("kind", "key").distinct().withColumn("digest", digest).where("digest % 5 = 0")
+    known = keys(captures).select("kind", "key").distinct().withColumn("digest", digest).where("digest % 5 = 0")
     start = F.lit("2024-01-01").cast("date")
     first = F.date_add(start, (F.col("digest") % 211).cast("int"))
     day = lambda n: F.date_add(first, n)
@@ -101,7 +106,8 @@ def page_log(captures: DataFrame) -> DataFrame:
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = page_captures(common.read(spark, sf_dir, "pages"))
-    out = evaluate(captures, page_log(captures))
+    log = common.scratch(page_log(captures), "log")
+    out = evaluate(captures, log)
     return out.withColumnRenamed("capture", "page_id")
 
 
@@ -119,7 +125,7 @@ with p as (
 ), k as (
   select capture, fetched, 'host' as kind, host as key from h where host <> ''
   union all select capture, fetched, 'domain', array_to_string(string_split(host, '.')[i:], '.') from (select *, unnest(range(1, len(string_split(host, '.')) + 1)) as i from h where host <> '')
-  union all select capture, fetched, 'prefix', host || '/' || array_to_string(seg[1:i], '/') from (select *, unnest(range(1, least(3, len(seg)) + 1)) as i from h where host <> '')
+  union all select capture, fetched, 'prefix', host || '/' || array_to_string(seg[1:i], '/') from (select *, unnest(range(1, len(seg) + 1)) as i from h where host <> '')
 ), n as (
   select kind, key, cast('0x' || substr(sha1(kind || ':' || key), 1, 6) as int) as n from (select distinct kind, key from k)
 ), e as (
@@ -129,9 +135,10 @@ with p as (
   union all select list, kind, key, 'remove', first + 60 from e where n % 2 = 0
   union all select list, kind, key, 'add', first + 150 from e where n % 4 = 0
 ), a as (
-  select capture, list, kind, key, arg_max(action, day) as action from k join log using (kind, key) where day <= fetched group by all
+  select capture, fetched, list, kind, key, arg_max(action, day) as action from k join log using (kind, key) where day <= fetched group by all
 ), f as (
-  select capture, count(*) as n_active, array_to_string(list_sort(list(distinct list)), ',') as lists, min(list || ':' || kind || ':' || key) as reason from a where action = 'add' group by capture
+  select capture, count(*) as n_active, array_to_string(list_sort(list(distinct list)), ',') as lists, min(list || ':' || kind || ':' || key) as reason
+  from (select distinct capture, list, kind, key from a where action = 'add') group by capture
 )
 select distinct p.capture as page_id, f.capture is not null as blocked, coalesce(n_active, 0) as n_active, lists, reason from p left join f on f.capture = p.capture
 """
