@@ -13,10 +13,9 @@ pieces have the rest. Frequencies are those of one of CLASSES classes of texts,
 text's probability is the sum over classes, weighted by their share of training texts, of the product
 over its words and its end. The label of a scored text is never looked at.
 
-Counts cover the whole training part. Words are counted in each block of documents, summed over
-blocks by a shuffle in which a word has one row for each block at most, and come back to the blocks
-where they occur, so no task holds the vocabulary of the corpus and no frequent word is one task's
-burden. Piece counts follow from the expected cuts of all distinct words under the prior (one step of
+Counts cover the whole training part. Words are counted in each block of documents, summed by partial
+aggregates, written, and come back to the blocks where they occur by a join that can be split, so no
+task holds the vocabulary of the corpus and no frequent word is one task's burden. Piece counts follow from the expected cuts of all distinct words under the prior (one step of
 expectation and maximisation); each word counts once, as pieces stand for words that are new. There
 are as many as the vocabulary has pieces.
 
@@ -32,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -220,14 +219,14 @@ def score(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
         of = F.when(F.col("lang") == label, k).otherwise(of)
     keyed = docs.select("doc_id", "text", held_out.alias("held_out"), F.when(~held_out, of).cast("int").alias("class"))
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    dealt = keyed.repartition(blocks, "block").sortWithinPartitions("block")
-    # every block's words with their counts in the whole training part; `one` marks one row of each word
-    by_word = Window.partitionBy("word")
-    totals = [F.sum(f"n{k}").over(by_word).alias(f"c{k}") for k in range(n_classes)]
-    one = F.row_number().over(by_word.orderBy("block")) == 1
-    words = common.scratch(_block_counts(dealt, n_classes).select("block", "word", *totals, one.alias("one")), "words")
-    columns = [f"c{k}" for k in range(n_classes)]
-    known = words.withColumn("c", sum((F.col(x) for x in columns[1:]), F.col("c0"))).where(F.col("one") & (F.col("c") > 0))
+    # a block is a partition: dealt by its number, not by a hash of it, so that all are equally full
+    dealt = keyed.repartitionById(blocks, F.col("block")).sortWithinPartitions("block")
+    names, columns = [f"n{k}" for k in range(n_classes)], [f"c{k}" for k in range(n_classes)]
+    in_blocks = common.scratch(_block_counts(dealt, n_classes), "counts")
+    # partial sums come before the shuffle, so a word of every block is no single task's burden
+    totals = in_blocks.groupBy("word").agg(*(F.sum(n).alias(c) for n, c in zip(names, columns)))
+    totals = common.scratch(totals.where(sum((F.col(c) for c in columns[1:]), F.col(columns[0])) > 0), "totals")
+    known = totals.withColumn("c", sum((F.col(x) for x in columns[1:]), F.col("c0")))
     is_word = F.col("word") != F.lit(END)
     sums = known.agg(
         F.count("*").alias("distinct"),
@@ -265,34 +264,53 @@ def score(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
     weight = np.log((in_ends + 1) / (n_ends + n_classes))
     base_total = n_all + SMOOTH * (sums["distinct"] + 1)
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def table(words: list[bytes], c: np.ndarray):
+        """Place of each word of a block, its log probability by class, its base score, and whether it is known."""
         v = pieces(path)
-        ws = right.column("word").to_pylist()
-        c = np.stack([right.column(x).to_numpy() for x in columns], axis=1).astype(np.float64)
         total = c.sum(1)
-        at = np.flatnonzero(np.fromiter((w != END for w in ws), bool, len(ws)))
+        at = np.flatnonzero(np.fromiter((w != END for w in words), bool, len(words)))
         lm = np.full(c.shape, end_log)
-        cut = v.words([ws[i] for i in at], sent.value)
+        cut = v.words([words[i] for i in at], sent.value)
         whole = (1 - COMMON) * c[at] / np.maximum(in_words, 1) + COMMON * total[at, None] / max(n_words, 1)
         lm[at] = np.logaddexp(_log(whole) + np.log1p(-novel), cut + np.log(novel)) + go_log
-        base = np.log10((total + SMOOTH) / base_total)
-        place = dict(zip(ws, range(len(ws))))
-        seen = total > 0
-        out = []
-        for t in left.column("text").to_pylist():
-            tokens = words_of(t)
-            tokens.append(END)
-            i = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
-            out.append((len(i), int(seen[i].sum()), float(base[i].sum()), float(np.logaddexp.reduce(lm[i].sum(0) + weight) / LOG10)))
-        n_tokens, n_known, base_score, model = zip(*out) if out else ((), (), (), ())
-        return pa.table(
-            {"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-             "train_tokens": pa.array([n_all] * len(out), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(model, pa.float64())}
-        )
-
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    right = words.select("block", "word", *columns)
-    return dealt.select("block", "doc_id", "held_out", "text").groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
+        return dict(zip(words, range(len(words)))), lm, np.log10((total + SMOOTH) / base_total), total > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a block: its words first, then its documents."""
+        block, words, found, model = None, [], [], None
+        for b in common.in_bounds(batches):
+            blocks, is_text = b.column("block").to_numpy(), b.column("is_text").to_numpy(zero_copy_only=False)
+            for begin in np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (is_text[1:] != is_text[:-1]))):
+                same = (blocks[begin:] == blocks[begin]) & (is_text[begin:] == is_text[begin])
+                part = b.slice(begin, len(same) if same.all() else int(np.argmin(same)))
+                if blocks[begin] != block:
+                    block, words, found, model = blocks[begin], [], [], None
+                if not is_text[begin]:
+                    words += part.column("word").to_pylist()
+                    found.append(np.stack([part.column(x).to_numpy() for x in columns], axis=1).astype(np.float64))
+                    continue
+                if model is None:
+                    model = table(words, np.concatenate(found))
+                    words, found = [], []
+                place, lm, base, seen = model
+                out = []
+                for t in part.column("text").to_pylist():
+                    tokens = words_of(t)
+                    tokens.append(END)
+                    i = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
+                    out.append((len(i), int(seen[i].sum()), float(base[i].sum()), float(np.logaddexp.reduce(lm[i].sum(0) + weight) / LOG10)))
+                n_tokens, n_known, base_score, score_of = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n_all] * len(out), pa.int64()), pa.array(base_score, pa.float64()), pa.array(score_of, pa.float64())],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    # a plain join: the partitions of frequent words, which have a row for each block, can be split
+    back = in_blocks.select("block", "word").join(totals, "word", "left")
+    back = back.select("block", F.lit(False).alias("is_text"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"), "word", *(F.coalesce(x, F.lit(0)).alias(x) for x in columns))
+    texts = keyed.select("block", F.lit(True).alias("is_text"), "doc_id", "held_out", "text", F.lit(None).cast("binary").alias("word"), *(F.lit(0).cast("bigint").alias(x) for x in columns))
+    met = back.unionByName(texts).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "is_text")
+    return met.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def held_out():
