@@ -195,9 +195,71 @@ def test_scores(spark, edge, nothing):
     assert lattice_lm.score(nothing, lattice_lm.held_out()).count() == 0
 
 
+def cuts(word: bytes, pieces: set, start: int = 0):
+    """All ways to cut a word into pieces."""
+    if start == len(word):
+        yield []
+    for end in range(start + 1, len(word) + 1):
+        if word[start:end] in pieces:
+            yield from ([word[start:end], *rest] for rest in cuts(word, pieces, end))
+
+
+def test_lattice_scores(spark):
+    """The score by its definition: all cuts of every word listed, sums without logarithms."""
+    words = "a to tea team stream zq é".split()
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for i in range(40)] + [(100 + i, f"new{i} tea") for i in range(40)]
+    langs = {i: "fr" if i % 3 == 0 else "en" for i, _ in texts}
+    got = {r["doc_id"]: r["score"] for r in rows(lattice_lm.score(documents(spark, texts, langs), lattice_lm.held_out()))}
+    v = lattice_lm.pieces(lattice_lm.vocabulary_path())
+    held = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 10 == 0}
+    labels = [x for x, _ in sorted(Counter(langs[i] for i, _ in texts if i not in held).items(), key=lambda x: (-x[1], x[0]))] + [None]
+    count = {k: Counter(w.encode() for i, t in texts if i not in held and langs[i] == k for w in t.split()) for k in labels}
+    ends = {k: sum(i not in held and langs[i] == k for i, _ in texts) for k in labels}
+    every = sum(count.values(), Counter())
+    prior = dict(zip(v.pieces, v.prior))
+    known = {w: list(cuts(b" " + w, prior.keys())) for w in {x.encode() for _, t in texts for x in t.split()}}
+    chance = lambda cut, p: math.prod(p[x] for x in cut)
+    share, weight, novel = {}, {}, {}
+    n_words, n_ends = sum(every.values()), sum(ends.values())
+    for k in labels:
+        n = {p: q * lattice_lm.PRIOR for p, q in prior.items()}
+        for w in count[k]:
+            whole = sum(chance(c, prior) for c in known[w])
+            for c in known[w]:
+                for p in c:
+                    n[p] += chance(c, prior) / whole
+        size = sum(n.values())
+        share[k] = {p: x / size for p, x in n.items()}
+        once = sum(every[w] == 1 and count[k][w] == 1 for w in every)
+        novel[k] = (once + 1) / (sum(count[k].values()) + 2)
+        weight[k] = (ends[k] + 1) / (n_ends + len(labels))
+    assert held and len(known[b"stream"]) > 10
+    for i, t in texts:
+        total = 0.0
+        for k in labels:
+            p = weight[k] * (n_ends + 1) / (n_words + n_ends + 2)
+            for w in (x.encode() for x in t.split()):
+                own = (1 - lattice_lm.COMMON) * count[k][w] / max(sum(count[k].values()), 1) + lattice_lm.COMMON * every[w] / n_words
+                p *= ((1 - novel[k]) * own + novel[k] * sum(chance(c, share[k]) for c in known[w])) * (n_words + 1) / (n_words + n_ends + 2)
+            total += p
+        assert math.isclose(got[i], math.log10(total), rel_tol=1e-9), (i, t)
+
+
 # 5: token files
 
 
+def test_coder_beats_order0():
+    """Streams, tables, sizes and checksums together are smaller than the entropy of single ids."""
+    ids = np.array([x for k in range(400) for x in bpe.codec().library.encode(prose(k % 90, 200), add_special_tokens=False).ids], np.uint32)
+    p = np.bincount(ids)
+    p = p[p > 0] / len(ids)
+    e = token_files.encode_group(ids)
+    size = sum(len(e[x]) for x in ("symbols", "frequencies", "stream")) + 12 * len(e["sizes"])
+    assert size * 8 / len(ids) < -(p * np.log2(p)).sum()
+    assert np.array_equal(token_files.decode_group(len(ids), *(e[x] for x in ("steps", "symbols", "frequencies", "stream", "sizes", "checksums"))), ids)
+
+
 @pytest.mark.parametrize("ids", [[5], [1, 2, 3], list(range(3000)), [7] * 5000, [3, 1, 4, 1, 5, 9, 2, 6] * 700, [0, 65535] * 40])
 def test_coder_round_trip(ids):
     a = np.array(ids, np.uint32)
@@ -231,12 +293,16 @@ def test_url_filters(spark):
         [(1, "https://a.b.com/x/y?q#f", "2024-02-01"), (2, "http://u@B.com:80/", "2024-01-10"), (3, None, "2024-01-10"), (4, "b.com/x/yy", "2024-03-01"), (5, "https://b.com", None), (6, "", "2024-01-01"), (1, "https://a.b.com/x/y?q#f", "2024-02-01")],
         "capture bigint, url string, fetched string",
     ).withColumn("fetched", F.col("fetched").cast("date"))
+    captures = captures.withColumns({c: F.lit(1) for c in ("kind", "key", "list", "host", "path", "valid_from", "n_active", "reason", "times", "k")})
     log = spark.createDataFrame(
         [("l", "domain", "b.com", "add", "2024-01-10"), ("l", "domain", "b.com", "add", "2024-01-15"), ("l", "domain", "b.com", "remove", "2024-02-01"), ("m", "prefix", "a.b.com/x", "add", "2024-01-01"), ("m", "host", "b.com", "add", "2024-03-02"), (None, "host", "b.com", "add", "2024-01-01"), ("m", "host", "b.com", "other", "2024-01-01")],
         "list string, kind string, key string, action string, day string",
     ).withColumn("day", F.col("day").cast("date"))
-    got = {r["capture"]: (r["blocked"], r["lists"]) for r in rows(url_filters.evaluate(captures.dropDuplicates(["capture"]), log))}
-    assert got == {1: (True, "m"), 2: (True, "l"), 3: (False, None), 4: (False, None), 5: (False, None), 6: (False, None)}
+    log = log.withColumns({c: F.lit(1) for c in ("capture", "fetched", "url", "salt", "was", "valid_from")})
+    found = rows(url_filters.evaluate(captures, log.unionByName(log)))
+    got = {r["capture"]: (r["blocked"], r["n_active"], r["lists"], r["reason"]) for r in found}
+    none = (False, 0, None, None)
+    assert len(found) == 6 and got == {1: (True, 1, "m", "m:prefix:a.b.com/x"), 2: (True, 1, "l", "l:domain:b.com"), 3: none, 4: none, 5: none, 6: none}
     assert url_filters.evaluate(captures, log.where("false")).where("blocked").count() == 0
     assert url_filters.evaluate(captures.where("false"), log).count() == 0
 
@@ -245,6 +311,10 @@ def test_prefix_of_any_depth(spark):
     captures = spark.createDataFrame([(1, "http://h.org/a/b/c/d/e", 5), (2, "http://h.org/a/b/c/x", 5), (3, "http://h.org/", 5)], "capture bigint, url string, fetched int")
     log = spark.createDataFrame([("l", "prefix", "h.org/a/b/c/d/e", 1, "add")], "list string, kind string, key string, day int, action string")
     assert {r.capture: r.blocked for r in url_filters.evaluate(captures, log).collect()} == {1: True, 2: False, 3: False}
+    deep = "h.org/" + "/".join(map(str, range(40)))
+    pages = spark.createDataFrame([(k, "http://" + deep) for k in range(3)], "page_id bigint, url string")
+    logged = url_filters.page_log(url_filters.page_captures(pages)).where("kind = 'prefix'").select("key").distinct()
+    assert logged.agg(F.max(F.size(F.split("key", "/")))).first()[0] > 30
 
 
 # 7: SimHash
