@@ -1,18 +1,26 @@
-"""Exact vector search: every query against every chunk, chunk scores to document scores.
-
-A block of queries is packed in one row of arrays (at most QUERY_BLOCK of them), so the product is a
-scan of the chunks with a fixed number of rows beside it; scores are doubles summed in order, equal to
-any other engine's. Chunk ranks keep a heap of each task before the shuffle.
+"""Exact vector search: a stated set of queries against every chunk, chunk scores to document scores.
+
+Queries are met in passes of at most PASS, each sent to the workers as one matrix of that bounded size.
+A worker multiplies it with batches of chunks and keeps the k best ids of each query as it goes, so a
+task gives k rows for each query however many chunks it has read, and no row is made for a pair.
+Document scores need a document's chunks together: chunks are dealt and sorted by document, and the best
+scores of a document that a batch ends in go on to the next. Scores are rounded before they rank, so
+ties are ties, and end with the id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
-QUERY_BLOCK, N_QUERIES, DEPTH = 256, 20, 100
+#: Every QUERY_STEP-th id is a query; queries of a pass, cells of a product at a time, documents of a list.
+QUERY_STEP, PASS, CELLS, DEPTH = 100, 1 << 14, 1 << 21, 100
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,21 +29,130 @@ def dot(a: Column, b: Column) -> Column:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk, doc, label, v): embeddings as chunks, four to a document."""
-    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null and not exists(embedding, x -> x is null)")
     return e.select(F.col("vec_id").alias("chunk"), F.expr("vec_id div 4").alias("doc"), "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
-def queries(spark: SparkSession, sf_dir: str, n: int = N_QUERIES) -> DataFrame:
-    """(query, qv, qlabel): the first vectors as queries."""
-    return chunks(spark, sf_dir).where(F.col("chunk") < n).select(F.col("chunk").alias("query"), F.col("v").alias("qv"), F.col("label").alias("qlabel"))
-
-
-def scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, chunk, doc, label, score) of every query and chunk; a stated query set in blocks."""
-    packed = queries.withColumn("block", F.expr(f"query div {QUERY_BLOCK}")).groupBy("block").agg(F.collect_list(F.struct("query", "qv", "qlabel")).alias("qs"))
-    met = chunks.join(F.broadcast(packed))  # one row for each block of a stated, bounded set of queries
-    each = met.select("chunk", "doc", "label", "v", F.explode("qs").alias("q"))
-    return each.select("q.query", "q.qlabel", "chunk", "doc", "label", F.round(dot(F.col("v"), F.col("q.qv")), 6).alias("score"))
+def queries(spark: SparkSession, sf_dir: str, step: int = QUERY_STEP) -> DataFrame:
+    """(query, qv, qlabel): the vectors whose id is divisible by step."""
+    return chunks(spark, sf_dir).where(F.col("chunk") % step == 0).select(F.col("chunk").alias("query"), F.col("v").alias("qv"), F.col("label").alias("qlabel"))
+
+
+def first_rows(scores: np.ndarray, k: int) -> np.ndarray:
+    """For each column the rows of its k highest scores, [k, columns]; of equal ones the first rows."""
+    n = len(scores)
+    if n <= k:
+        return np.broadcast_to(np.arange(n)[:, None], scores.shape)
+    bound = np.partition(scores, n - k, axis=0)[n - k]
+    above, equal = scores > bound, scores == bound
+    taken = above | (equal & (np.cumsum(equal, axis=0) <= k - above.sum(0)))
+    return np.nonzero(taken.T)[1].reshape(-1, k).T
+
+
+class Best:
+    """The k best (score, id) of each query so far."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.scores = np.full((0, n_queries), -np.inf)
+        self.ids = np.zeros((0, n_queries), np.int64)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """ids ascend; scores: [ids, queries], -inf where there is none."""
+        rows = first_rows(scores, self.k)
+        scores = np.concatenate([self.scores, np.take_along_axis(scores, rows, 0)])
+        ids = np.concatenate([self.ids, ids[rows]])
+        order = np.lexsort((ids, -scores), axis=0)[: self.k]
+        self.scores, self.ids = np.take_along_axis(scores, order, 0), np.take_along_axis(ids, order, 0)
+
+
+def document_scores(scores: np.ndarray, starts: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
+    """[documents, queries]: the sum of weight i times the i-th best score of each document's rows."""
+    left, out = scores.copy(), 0.0
+    sizes = np.diff(np.append(starts, len(scores)))
+    for i, w in enumerate(weights):
+        most = np.maximum.reduceat(left, starts, axis=0)
+        out = out + np.where(most > -np.inf, w * most, -np.inf if i == 0 else 0.0)
+        if i + 1 < len(weights):
+            same = left == np.repeat(most, sizes, axis=0)
+            before = np.cumsum(same, axis=0)
+            first = same & (before - np.repeat(before[starts] - same[starts], sizes, axis=0) == 1)
+            left[first] = -np.inf
+    # halves away from zero, as SQL rounds
+    return np.sign(out) * np.floor(np.abs(out) * 1e6 + 0.5) / 1e6
+
+
+def _search_pass(found: DataFrame, names: np.ndarray, vectors: list[np.ndarray], k: int, weights: tuple[float, ...] | None) -> DataFrame:
+    by_dim = {}
+    for i, v in enumerate(vectors):
+        by_dim.setdefault(len(v), []).append(i)
+    sent = found.sparkSession.sparkContext.broadcast([(dim, names[at], np.stack([vectors[i] for i in at])) for dim, at in by_dim.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [Best(len(own), k) for _, own, _ in sent.value]
+        held = [(np.zeros(0, np.int64), np.zeros((0, len(own)))) for _, own, _ in sent.value]
+        for b in batches:
+            sizes = np.asarray(b.column("v").value_lengths())
+            for at, (dim, own, q) in enumerate(sent.value):
+                rows = np.flatnonzero(sizes == dim)
+                if not len(rows):
+                    continue
+                x = b.column("v").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                ids = b.column("chunk").to_numpy()[rows]
+                if weights is None:
+                    order = np.argsort(ids, kind="stable")
+                    ids, x = ids[order], x[order]
+                docs = ids if weights is None else b.column("doc").to_numpy()[rows]
+                step = max(1, CELLS // max(1, len(own)))
+                for i in range(0, len(ids), step):
+                    s = np.round(x[i : i + step] @ q.T, 6)
+                    s[ids[i : i + step, None] == own[None, :]] = -np.inf  # no query meets itself
+                    if weights is None:
+                        best[at].add(ids[i : i + step], s)
+                        continue
+                    d, s = np.concatenate([held[at][0], docs[i : i + step]]), np.concatenate([held[at][1], s])
+                    starts = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+                    last = starts[-1]
+                    if last:
+                        best[at].add(d[starts[:-1]], document_scores(s[:last], starts[:-1], weights))
+                    rest = -np.sort(-s[last:], axis=0)[: len(weights)]
+                    held[at] = (np.full(len(rest), d[last]), rest)
+        for b, (d, s), (_, own, _) in zip(best, held, sent.value):
+            if len(d):
+                b.add(d[:1], document_scores(s, np.zeros(1, np.int64), weights))
+            real = b.scores > -np.inf
+            names = np.broadcast_to(own, real.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(names[real]), pa.array(b.ids[real]), pa.array(b.scores[real])], names=["query", "id", "score"])
+
+    return found.mapInArrow(run, "query bigint, id bigint, score double")
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int, weights: tuple[float, ...] | None = None) -> DataFrame:
+    """(query, chunk, score, rank) of the k best chunks of each query, or, with weights, (query, doc, score, rank).
+
+    A document's score is the sum of weight i times its i-th best chunk score, (1.0,) for its best; fewer
+    chunks, fewer terms. A query never meets the chunk of its own id.
+    """
+    name = "chunk" if weights is None else "doc"
+    found = chunks.select("chunk", "v") if weights is None else chunks.select("chunk", "doc", "v").repartition("doc").sortWithinPartitions("doc", "chunk")
+    n = queries.count()
+    parts = 1 if n <= PASS else -(-2 * n // PASS)
+    out = None
+    for p in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == p).select("query", "qv").toArrow()
+        for at in range(0, rows.num_rows, PASS):
+            part = rows.slice(at, PASS)
+            hits = _search_pass(found, part.column("query").to_numpy(), [np.array(v) for v in part.column("qv").to_pylist()], k, weights)
+            out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], "query bigint, id bigint, score double")
+    return top(out, k, "id").select("query", F.col("id").alias(name), "score", "rank")
+
+
+def pair_scores(pairs: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """pairs (query, doc) -> (query, chunk, doc, score) of the documents' chunks; for lists of candidates."""
+    met = pairs.select("query", "doc").join(chunks.select("chunk", "doc", "v"), "doc").join(queries.select("query", "qv"), "query")
+    return met.where("chunk <> query and size(v) = size(qv)").select("query", "chunk", "doc", F.round(dot(F.col("v"), F.col("qv")), 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int, tie: str, by: str = "query", score: str = "score") -> DataFrame:
@@ -63,32 +180,28 @@ def best_chunks(scored: DataFrame) -> DataFrame:
     return scored.groupBy("query", "doc").agg(best.alias("b")).select("query", "doc", "b.chunk", "b.score")
 
 
-def others(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(chunks(spark, sf_dir), queries(spark, sf_dir)).where("chunk <> query")
-
-
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top(others(spark, sf_dir), 10, "chunk").select("query", "chunk", "score", "rank")
+    return search(chunks(spark, sf_dir), queries(spark, sf_dir), 10)
 
 
 def dense_doc_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top(doc_max(others(spark, sf_dir)), 10, "doc").select("query", "doc", "score", "rank")
+    return search(chunks(spark, sf_dir), queries(spark, sf_dir), 10, (1.0,))
 
 
 def dense_doc_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top(doc_weighted(others(spark, sf_dir), [1.0, 0.1]), 10, "doc").select("query", "doc", "score", "rank")
+    return search(chunks(spark, sf_dir), queries(spark, sf_dir), 10, (1.0, 0.1))
 
 
 def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = others(spark, sf_dir)
-    docs = top(doc_max(scored), 10, "doc").select("query", "doc", "rank")
-    return docs.join(best_chunks(scored), ["query", "doc"]).select("query", "doc", "chunk", "score", "rank")
+    every, asked = chunks(spark, sf_dir), queries(spark, sf_dir)
+    docs = search(every, asked, 10, (1.0,)).select("query", "doc", "rank")
+    return docs.join(best_chunks(pair_scores(docs, every, asked)), ["query", "doc"]).select("query", "doc", "chunk", "score", "rank")
 
 
 def overlap_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the first five of two lists share, and the score gap between ranks 1 and 10."""
-    scored = others(spark, sf_dir)
-    best, weighted = top(doc_max(scored), 10, "doc"), top(doc_weighted(scored, [1.0, 0.1]), 5, "doc")
+    every, asked = chunks(spark, sf_dir), queries(spark, sf_dir)
+    best, weighted = search(every, asked, 10, (1.0,)), search(every, asked, 5, (1.0, 0.1))
     a = best.groupBy("query").agg(
         F.collect_set(F.when(F.col("rank") <= 5, F.col("doc"))).alias("a"),
         F.round(F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.max(F.when(F.col("rank") == 10, F.col("score"))), 6).alias("gap"),
@@ -101,7 +214,7 @@ SCORED_SQL = f"""
 c as (select vec_id as chunk, vec_id // 4 as doc, label, cast(embedding as double[]) as v from embeddings where embedding is not null),
 scored as (
   select q.chunk as query, q.label as qlabel, c.chunk, c.doc, c.label, round(list_dot_product(c.v, q.v), 6) as score
-  from c join c q on q.chunk < {N_QUERIES} and c.chunk <> q.chunk),
+  from c join c q on q.chunk % {QUERY_STEP} = 0 and c.chunk <> q.chunk),
 docmax as (select query, qlabel, doc, max(score) as score from scored group by all),
 ranked as (select *, row_number() over (partition by query, doc order by score desc, chunk) as i from scored),
 weighted as (select query, doc, round(coalesce(max(case when i = 1 then 1.0 * score end), 0) + coalesce(max(case when i = 2 then 0.1 * score end), 0), 6) as score from ranked group by all)"""

@@ -87,13 +87,24 @@ def reuse(now: Column, before: Column, k: int) -> Column:
     return F.slice(F.concat(F.slice(now, F.lit(1), room), kept), 1, k)
 
 
+def label_list(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
+    """(query, doc, score, rank): documents with a chunk of the query's label, by number of such chunks but the query's own.
+
+    The first depth + 1 documents of each label are enough, as a query takes one chunk of one document away.
+    """
+    every = dense.chunks(spark, sf_dir).where("label is not null")
+    counted = every.groupBy("label", "doc").agg(F.count("*").alias("n"))
+    first = dense.top(counted, depth + 1, "doc", "label", "n").drop("rank")
+    asked = dense.queries(spark, sf_dir).select("query", F.expr("query div 4").alias("own"), F.col("qlabel").alias("label"))
+    met = first.join(asked, "label").select("query", "doc", (F.col("n") - (F.col("doc") == F.col("own")).cast("int")).cast("double").alias("score"))
+    return dense.top(met.where("score > 0"), depth, "doc")
+
+
 def two_lists(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
     """List 0: documents by best chunk; list 1: documents with a chunk of the query's label, by number of such chunks."""
-    scored = dense.others(spark, sf_dir)
-    a = dense.top(dense.doc_max(scored), depth, "doc").select("query", F.lit(0).alias("list_no"), "rank", "doc", "score")
-    same = scored.where("label = qlabel").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score"))
-    b = dense.top(same, depth, "doc").select("query", F.lit(1).alias("list_no"), "rank", "doc", "score")
-    return a.unionByName(b)
+    a = dense.search(dense.chunks(spark, sf_dir), dense.queries(spark, sf_dir), depth, (1.0,))
+    b = label_list(spark, sf_dir, depth)
+    return a.select("query", F.lit(0).alias("list_no"), "rank", "doc", "score").unionByName(b.select("query", F.lit(1).alias("list_no"), "rank", "doc", "score"))
 
 
 def _top(fused: DataFrame) -> DataFrame:
@@ -115,7 +126,8 @@ def minmax_convex(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RRF candidates, the first 20 by their weighted chunk score."""
     fused = rrf(two_lists(spark, sf_dir))
-    second = dense.doc_weighted(dense.others(spark, sf_dir), [1.0, 0.1]).withColumnRenamed("score", "second")
+    scored = dense.pair_scores(fused, dense.chunks(spark, sf_dir), dense.queries(spark, sf_dir))
+    second = dense.doc_weighted(scored, [1.0, 0.1]).withColumnRenamed("score", "second")
     out = rerank_head(fused.join(second, ["query", "doc"]), F.col("second"), 20)
     return out.where(F.col("new_rank") <= TOP).select("query", "doc", "second", F.col("new_rank").alias("rank"))
 
@@ -155,7 +167,7 @@ def swap_gold_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five of a query, with the first two of the query before it kept."""
     a = fused_arrays(spark, sf_dir)
-    before = a.select((F.col("query") + 1).alias("query"), F.slice("docs", 1, 2).alias("before"))
+    before = a.select((F.col("query") + dense.QUERY_STEP).alias("query"), F.slice("docs", 1, 2).alias("before"))
     out = a.join(before, "query").select("query", reuse(F.slice("docs", 1, 5), F.col("before"), 5).alias("docs"))
     return out.select("query", F.array_join("docs", ",").alias("docs"))
 
@@ -211,7 +223,7 @@ from fused f left join a on a.query = f.query and a.doc = f.doc left join b on b
     "swap_gold": f"""with {rrf_sql()}, {_ARRAYS}
 select query, array_to_string(list_append(docs[1:4], docs[8]), ',') as swapped, array_to_string(list_filter(docs, lambda x: x <> docs[2])[1:5], ',') as dropped from arrays""",
     "evidence_reuse": f"""with {rrf_sql()}, {_ARRAYS},
-j as (select a.query, a.docs[1:5] as now, b.docs[1:2] as before from arrays a join arrays b on b.query + 1 = a.query),
+j as (select a.query, a.docs[1:5] as now, b.docs[1:2] as before from arrays a join arrays b on b.query + {dense.QUERY_STEP} = a.query),
 k as (select query, now, list_filter(before, lambda x: not list_contains(now, x)) as kept from j)
 select query, array_to_string(list_concat(now[1:5 - len(kept)], kept)[1:5], ',') as docs from k""",
 }

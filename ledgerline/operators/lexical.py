@@ -1,53 +1,113 @@
 """BM25 over an inverted index of word tokens.
 
-Only postings of terms that queries use are made: the set of query terms is small next to the corpus
-and filters tokens before their shuffle. Scores are rounded before they rank, so ties are ties, and end
-with the id.
+An index is three tables: postings (term, doc, tf, dl), document frequencies (term, df) and the corpus
+(n, avgdl). Made for one run, it has only postings of the terms that the queries use; saved, it has all
+of them sorted by term, so a later search reads the row groups of its terms only. Weights of the queries'
+terms go to the postings where they lie if they are few (their rows are counted first); then postings
+are not shuffled, and a document and query meet in one aggregate that starts in each task. Scores are
+rounded before they rank, so ties are ties, and end with the id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 K1, B = 1.5, 0.75
+#: Rows of query terms (query, term) up to which they are sent to all tasks.
+SENT_TERMS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Index:
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
 
 
-def documents(df: DataFrame, key: str, text) -> DataFrame:
-    """(doc, tokens, dl)."""
-    return df.select(F.col(key).alias("doc"), T.tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
+def documents(df: DataFrame, key: str, text, tokenizer: Callable[[Column], Column] = T.tokens) -> DataFrame:
+    """(doc, tokens, dl); tokenizer: a column function from text to an array of words."""
+    return df.select(F.col(key).alias("doc"), tokenizer(text).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc, term, tf)."""
-    return docs.select("doc", F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """(doc, dl, term, tf); used (term): the terms that are wanted."""
+    each = docs.select("doc", "dl", F.explode("tokens").alias("term"))
+    if used is not None:
+        each = each.join(used, "term", "left_semi")
+    return each.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def idf(n, df):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def corpus_of(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def frequencies(found: DataFrame) -> DataFrame:
+    # reading tf keeps both uses of the postings alike, so that their exchange is made once
+    return found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+
+
+def index(docs: DataFrame, used: DataFrame | None = None) -> Index:
+    found = postings(docs, used)
+    return Index(found, frequencies(found), corpus_of(docs))
+
+
+def save_index(docs: DataFrame, folder: str, settings: dict) -> None:
+    """Writes an index with the settings it was made by; an existing folder is an error."""
+    found = postings(docs)
+    # the document deals out a term that many documents have
+    ordered = found.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
+    ordered.write.parquet(f"{folder}/postings")
+    spark = docs.sparkSession
+    frequencies(spark.read.parquet(f"{folder}/postings")).write.parquet(f"{folder}/terms")
+    corpus = corpus_of(docs).withColumn("settings", F.lit(json.dumps(settings, sort_keys=True)))
+    corpus.coalesce(1).write.parquet(f"{folder}/corpus")
+
+
+def open_index(spark: SparkSession, folder: str, settings: dict, n: int | None = None) -> Index:
+    """A saved index; ValueError where it was made by other settings, or of another number of documents than n."""
+    corpus = spark.read.parquet(f"{folder}/corpus")
+    known = corpus.first()
+    if json.loads(known.settings) != settings:
+        raise ValueError(f"the index was made by {known.settings}, not by {json.dumps(settings, sort_keys=True)}")
+    if n is not None and known.n != n:
+        raise ValueError(f"the index has {known.n} documents, the corpus {n}")
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms"), corpus.drop("settings"))
+
+
 def stats(docs: DataFrame) -> DataFrame:
     """(term, df, idf) of every term."""
     n = docs.agg(F.count("*").alias("n"))
-    df = postings(docs).groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n)).select("term", "df", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return frequencies(postings(docs)).join(F.broadcast(n)).select("term", "df", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
-def scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def search(found: Index, queries: DataFrame) -> DataFrame:
     """queries (query, term, qtf) -> (query, doc, score) for documents with a term in common; duplicates in queries count."""
-    used = queries.select("term").distinct()
-    known = docs.select("doc", "dl", F.explode("tokens").alias("term")).join(used, "term", "left_semi")
-    tf = known.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    # reading tf keeps both branches alike, so that their exchange is made once
-    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    corpus = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    few = queries.count() <= SENT_TERMS
+    asked = (F.broadcast if few else lambda df: df)(queries)
+    corpus = F.broadcast(found.corpus)  # one row
+    # few: a document frequency for each term that a query uses, so no more rows than were counted
+    terms = found.terms.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi") if few else found.terms
+    known = found.postings.join((F.broadcast if few else lambda df: df)(terms), "term").join(corpus)
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = tf.join(df, "term").join(F.broadcast(corpus)).select("term", "doc", weight.alias("w"))
-    return queries.join(weighted, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score")).where("score > 0")
+    each = known.select("term", "doc", weight.alias("w")).join(asked, "term")
+    return each.groupBy("query", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score")).where("score > 0")
+
+
+def scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same by an index made for these queries."""
+    return search(index(docs, queries.select("term").distinct()), queries)
 
 
 def top(scored: DataFrame, k: int, by: str = "query", score: str = "score", tie: str = "doc") -> DataFrame:
@@ -56,19 +116,19 @@ def top(scored: DataFrame, k: int, by: str = "query", score: str = "score", tie:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def query_terms(df: DataFrame, key: str, text) -> DataFrame:
-    return df.select(F.col(key).alias("query"), F.explode(T.tokens(text)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
+def query_terms(df: DataFrame, key: str, text, tokenizer: Callable[[Column], Column] = T.tokens) -> DataFrame:
+    return df.select(F.col(key).alias("query"), F.explode(tokenizer(text)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
 
 
 def benchmark_run(spark: SparkSession, sf_dir: str, text=None, k: int = 10) -> DataFrame:
     """(query, doc, score, rank): benchmark items ranked over documents."""
-    docs = documents(table(spark, sf_dir, "documents"), "doc_id", F.col("text") if text is None else text)
+    docs = documents(spread(table(spark, sf_dir, "documents")), "doc_id", F.col("text") if text is None else text)
     return top(scores(docs, query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))), k)
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats(documents(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
-    return found.orderBy(F.desc("df"), "term").limit(200)
+    """Every term with its document frequency and weight."""
+    return stats(documents(spread(table(spark, sf_dir, "documents")), "doc_id", F.col("text")))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +169,7 @@ with d as (select doc_id, {TOKENS_SQL.format('text')} as toks from documents),
 tf as (select distinct doc_id, unnest(toks) as term from d),
 n as (select count(*) as n from d)
 select term, count(*) as df, round(ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf
-from tf cross join n group by term order by df desc, term limit 200""",
+from tf cross join n group by term""",
     "bm25_topk": f"with {run_ctes()} select item_id, doc_id, score, rank from run",
     "bm25_meta_prefix": f"with {run_ctes('''concat_ws(' ', nullif(lang, ''), nullif(source, ''), text)''')} select item_id, doc_id, score, rank from run",
 }

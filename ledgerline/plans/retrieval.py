@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import dense, fusion, lexical
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 @dataclass(frozen=True)
@@ -55,11 +55,12 @@ RERANKED = replace(CONVEX_UNFUSED, rerank_depth=20)
 PRESETS = {n.lower(): v for n, v in globals().items() if isinstance(v, Config)}
 
 
-def retrieve(config: Config, dense_docs: DataFrame, lexical_docs: DataFrame | None = None, matches: DataFrame | None = None, second: DataFrame | None = None) -> DataFrame:
+def retrieve(config: Config, dense_docs: DataFrame, lexical_docs: DataFrame | None = None, matches: DataFrame | None = None, second: DataFrame | None = None, match_scores: DataFrame | None = None) -> DataFrame:
     """(query, doc, rank, fused_rank, rank_0, rank_1, rank_2, matched).
 
     dense_docs, lexical_docs: (query, doc, score); matches: (query, doc, matches) of conditions;
-    second: (query, doc, second) of a reranker. Without a list its ranks are null.
+    second: (query, doc, second) of a reranker; match_scores: dense scores of the matched documents, where
+    dense_docs has only the head of its list. Without a list its ranks are null.
     """
     named = lambda df, i: df.select("query", F.lit(i).alias("list_no"), "rank", "doc", F.col("score").cast("double").alias("score"))
     lists = [named(dense.top(dense_docs, config.depth if config.hybrid else config.top_k, "doc"), 0)]
@@ -71,7 +72,7 @@ def retrieve(config: Config, dense_docs: DataFrame, lexical_docs: DataFrame | No
     if config.hybrid and config.conditions and matches is not None:
         best = matches.withColumn("most", F.max("matches").over(Window.partitionBy("query"))).where(F.col("most") >= config.min_fields)
         order = Window.partitionBy("query").orderBy(F.desc("matches"), F.desc_nulls_last("score"), "doc")
-        met = best.where(F.col("matches") >= config.min_fields).join(dense_docs, ["query", "doc"], "left")
+        met = best.where(F.col("matches") >= config.min_fields).join(dense_docs if match_scores is None else match_scores, ["query", "doc"], "left")
         conditions = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.depth)
         if config.best_filter:
             matched = best.where("matches = most").select("query", "doc", F.lit(True).alias("matched"))
@@ -80,8 +81,6 @@ def retrieve(config: Config, dense_docs: DataFrame, lexical_docs: DataFrame | No
     every = lists[0]
     for x in lists[1:]:
         every = every.unionByName(x)
-    # a few hundred rows for each query, read again for fusion and for each list's ranks
-    every = every.persist()
     if not config.hybrid:
         fused = every.select("query", "doc", "rank")
     elif config.fusion == "rrf":
@@ -102,29 +101,41 @@ def retrieve(config: Config, dense_docs: DataFrame, lexical_docs: DataFrame | No
     else:
         out = out.withColumn("matched", F.lit(False))
     out = out.where(F.col("rank") <= config.top_k)
-    for i in range(3):
-        own = every.where(F.col("list_no") == i).select("query", "doc", F.col("rank").alias(f"rank_{i}"))
-        out = out.join(own, ["query", "doc"], "left")
+    # one join for the ranks of all lists
+    ranks = every.groupBy("query", "doc").agg(*(F.max(F.when(F.col("list_no") == i, F.col("rank"))).alias(f"rank_{i}") for i in range(3)))
+    out = out.join(ranks, ["query", "doc"], "left")
     return out.select("query", "doc", "rank", "fused_rank", "rank_0", "rank_1", "rank_2", "matched")
 
 
 def benchmark_inputs(spark: SparkSession, sf_dir: str, config: Config) -> dict:
-    """Benchmark items over documents: hashed word vectors as dense scores, BM25, and source and language as conditions."""
-    from ..functions import text as T
+    """Benchmark items over documents: vectors, BM25, and source and language as conditions.
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "lang", "source")
-    text = F.concat_ws(" ", T.joined_metadata(*map(F.col, config.meta_prefix)), "text") if config.meta_prefix else F.col("text")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    scored = lexical.scores(lexical.documents(table(spark, sf_dir, "documents"), "doc_id", text), lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text")))
-    # the stand-in for vectors: the share of a document's score in its length
-    lengths = docs.select("doc", F.length("text").alias("n"))
-    vectors = scored.join(lengths, "doc").select("query", "doc", F.round(F.col("score") / F.log(F.col("n") + 2), 6).alias("score"))
-    wanted = items.select("query", F.when(F.col("query") % 2 == 0, "en").otherwise("fr").alias("lang"), F.concat(F.lit("src"), (F.col("query") % 20).cast("string")).alias("source"))
-    conditions = wanted.select("query", F.explode(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))).alias("field", "value"))
+    Chunks are the embeddings, four to a document; an item's vector is the one of its number.
+    """
+    from ..functions import text as T
     from ..operators.conditions import long_form, match_counts
 
-    index = long_form(docs, "doc", {"lang": F.array("lang"), "source": F.array("source")})
-    return {"dense_docs": vectors, "lexical_docs": scored, "matches": match_counts(index, conditions)}
+    every = dense.chunks(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    asked = every.select(F.col("chunk").alias("query"), F.col("v").alias("qv")).join(items.select("query").distinct(), "query", "left_semi")
+    weights = config.doc_weights or (1.0,)
+    inputs = {"dense_docs": dense.search(every, asked, config.depth if config.hybrid else config.top_k, weights).drop("rank")}
+    if not config.hybrid:
+        return inputs
+    docs = spread(table(spark, sf_dir, "documents"))
+    text = F.concat_ws(" ", T.joined_metadata(*map(F.col, config.meta_prefix)), "text") if config.meta_prefix else F.col("text")
+    scored = lexical.scores(lexical.documents(docs, "doc_id", text), lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text")))
+    # the head of the list is all that is read of it, and read twice: a bounded table for each query
+    inputs["lexical_docs"] = dense.top(scored, config.depth, "doc").drop("rank")
+    if config.conditions:
+        wanted = items.select("query", F.when(F.col("query") % 2 == 0, "en").otherwise("fr").alias("lang"), F.concat(F.lit("src"), (F.col("query") % 20).cast("string")).alias("source")).distinct()
+        conditions = wanted.select("query", F.explode(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))).alias("field", "value"))
+        keyed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source")
+        counts = match_counts(long_form(keyed, "doc", {"lang": F.array("lang"), "source": F.array("source")}), conditions)
+        inputs["matches"] = counts
+        met = dense.pair_scores(counts.where(F.col("matches") >= config.min_fields), every, asked)
+        inputs["match_scores"] = dense.doc_weighted(met, list(weights))
+    return inputs
 
 
 def _query(name: str):
@@ -135,36 +146,58 @@ def _query(name: str):
     return run
 
 
-def _sql(meta: bool, conditions: bool, best: bool) -> str:
+def _sql(meta: bool = False, conditions: bool = False, best: bool = False, fusion: str = "rrf") -> str:
+    """fusion: rrf, convex (conditions appended), or none (the dense list alone)."""
     text = "concat_ws(' ', nullif(lang, ''), nullif(source, ''), text)" if meta else "text"
+    head = "select query, doc, rank, score from (select *, row_number() over (partition by query order by score desc, doc) as rank from {0}) where rank <= {1}"
+    vectors = """
+e as (select vec_id as chunk, vec_id // 4 as doc, cast(embedding as double[]) as v from embeddings where embedding is not null),
+v as (select q.chunk as query, c.doc, max(round(list_dot_product(c.v, q.v), 6)) as score from e c join e q on c.chunk <> q.chunk where q.chunk in (select item_id from benchmark) group by all)"""
+    if fusion == "none":
+        return f"""with {vectors}
+select query, doc, cast(rank as integer) as rank, cast(rank as integer) as fused_rank, cast(rank as integer) as rank_0, cast(null as integer) as rank_1, cast(null as integer) as rank_2, false as matched
+from ({head.format('v', 10)})"""
     cond = """
 m as (select q.item_id as query, d.doc_id as doc, (d.lang = case when q.item_id % 2 = 0 then 'en' else 'fr' end)::int + (d.source = 'src' || (q.item_id % 20)::varchar)::int as matches
   from (select distinct item_id from benchmark) q cross join documents d),
 mm as (select *, max(matches) over (partition by query) as most from m where matches > 0),
 c as (select mm.query, mm.doc, mm.matches, v.score from mm left join v on v.query = mm.query and v.doc = mm.doc where most >= 2 and matches >= 2),
-l2 as (select query, 2 as list_no, doc, rank from (select *, row_number() over (partition by query order by matches desc, score desc nulls last, doc) as rank from c) where rank <= 100),
+l2 as (select query, 2 as list_no, doc, rank, matches as score from (select *, row_number() over (partition by query order by matches desc, score desc nulls last, doc) as rank from c) where rank <= 100),
 best as (select query, doc from mm where most >= 2 and matches = most),"""
-    return f"""with {lexical.run_ctes(text)},
-s as (select item_id as query, doc_id as doc, score from scored),
-v as (select s.query, s.doc, round(s.score / ln(length(d.text) + 2), 6) as score from s join documents d on d.doc_id = s.doc),
-l0 as (select query, 0 as list_no, doc, rank from (select *, row_number() over (partition by query order by score desc, doc) as rank from v) where rank <= 100),
-l1 as (select query, 1 as list_no, doc, rank from (select *, row_number() over (partition by query order by score desc, doc) as rank from s) where rank <= 100),{cond}
-lists as (select * from l0 union all select * from l1 {'union all select * from l2' if conditions else ''}),
-each as (select query, doc, min(list_no * 1000 + rank) as seen,
+    if fusion == "rrf":
+        each = """select query, doc, min(list_no * 1000 + rank) as seen,
   round(coalesce(max(case when list_no = 0 then 1.0 / (60 + rank) end), 0) + coalesce(max(case when list_no = 1 then 1.0 / (60 + rank) end), 0) + coalesce(max(case when list_no = 2 then 1.0 / (60 + rank) end), 0), 9) as score
-  from lists group by all),
-fused as (select query, doc, row_number() over (partition by query order by score desc, seen) as fused_rank from each),
+  from lists group by all"""
+        more = ""
+    else:
+        each = """select query, doc, min(list_no * 1000 + rank) as seen,
+  round(0.5 * coalesce(max(case when list_no = 0 then s end), 0) + 0.5 * coalesce(max(case when list_no = 1 then s end), 0), 9) as score
+  from (select query, list_no, doc, rank, case when hi > lo then (score - lo) / (hi - lo) else 0.0 end as s
+    from (select *, max(score) over w as hi, min(score) over w as lo from lists window w as (partition by query, list_no))) group by all"""
+        more = """union all select l2.query, l2.doc, coalesce(z.last, 0) + row_number() over (partition by l2.query order by l2.rank)
+  from l2 join best on best.query = l2.query and best.doc = l2.doc left join (select query, count(*) as last from each group by 1) z on z.query = l2.query
+  where not exists (select 1 from each x where x.query = l2.query and x.doc = l2.doc)"""
+    fused_conditions = conditions and fusion == "rrf"
+    return f"""with {lexical.run_ctes(text)},
+s as (select item_id as query, doc_id as doc, score from scored),{vectors},
+l0 as (select query, 0 as list_no, doc, rank, score from ({head.format('v', 100)})),
+l1 as (select query, 1 as list_no, doc, rank, score from ({head.format('s', 100)})),{cond}
+lists as (select * from l0 union all select * from l1 {'union all select * from l2' if fused_conditions else ''}),
+each as ({each}),
+fused as (select query, doc, row_number() over (partition by query order by score desc, seen) as fused_rank from each {more}),
 f as (select f.query, f.doc, f.fused_rank, {'best.doc is not null' if best else 'false'} as matched from fused f left join best on best.query = f.query and best.doc = f.doc),
 r as (select *, row_number() over (partition by query order by case when matched then 0 else 1 end, fused_rank) as rank from f)
 select r.query, r.doc, cast(r.rank as integer) as rank, cast(fused_rank as integer) as fused_rank, cast(l0.rank as integer) as rank_0, cast(l1.rank as integer) as rank_1,
-  {'cast(l2.rank as integer)' if conditions else 'cast(null as integer)'} as rank_2, matched
+  {'cast(l2.rank as integer)' if fused_conditions else 'cast(null as integer)'} as rank_2, matched
 from r left join l0 on l0.query = r.query and l0.doc = r.doc left join l1 on l1.query = r.query and l1.doc = r.doc left join l2 on l2.query = r.query and l2.doc = r.doc where r.rank <= 10"""
 
 
 QUERIES = {f"retrieve_{n}": _query(n) for n in ("dense", "hybrid", "prefixed", "conditions", "filtered", "convex_unfused")}
 ORACLES = {
-    "retrieve_hybrid": _sql(False, False, False),
-    "retrieve_prefixed": _sql(True, False, False),
-    "retrieve_conditions": _sql(True, True, False),
+    "retrieve_dense": _sql(fusion="none"),
+    "retrieve_hybrid": _sql(),
+    "retrieve_prefixed": _sql(True),
+    "retrieve_conditions": _sql(True, True),
     "retrieve_filtered": _sql(True, True, True),
+    "retrieve_convex_unfused": _sql(True, True, True, "convex"),
 }
