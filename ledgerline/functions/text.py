@@ -65,6 +65,11 @@ def committee_base(name: Column) -> Column:
     return F.substring_index(name, "-", 1)
 
 
+def plain_base(name: str) -> str:
+    """The same for one name."""
+    return name.partition("-")[0]
+
+
 def alternation(values) -> str:
     """A pattern that tries longer values first, so that they win at one place."""
     return "|".join(re.escape(v) for v in sorted(set(values), key=lambda v: (-len(v), v)))

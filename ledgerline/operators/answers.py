@@ -8,33 +8,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import table
-
-#: Outcomes of (state of the information, how the answer handles it); fixed values.
-OUTCOMES = (
-    ("present", "answered", "right"),
-    ("present", "answered_partly", "needless_notice"),
-    ("present", "refused", "over_refusal"),
-    ("present", "ignored", "omitted"),
-    ("partial", "answered", "partial_unmarked"),
-    ("partial", "answered_partly", "right"),
-    ("partial", "refused", "over_refusal"),
-    ("partial", "ignored", "omitted"),
-    ("absent", "answered", "unsupported"),
-    ("absent", "answered_partly", "unsupported"),
-    ("absent", "refused", "right"),
-    ("absent", "ignored", "silent_omission"),
-)
+from ..sources.tables import spread, table
+
+#: How much of the wanted information there is, and how much of an answer is given.
+KNOWN = {"absent": 0, "partial": 1, "present": 2}
+GIVEN = {"refused": 0, "answered_partly": 1, "answered": 2}
 AMBIGUOUS = ("unclear", "evasive")
 
 
 def outcome(state: Column, handling: Column) -> Column:
-    """Ambiguous states have two outcomes of their own; elsewhere an explained situation counts as answered."""
-    plain = F.when(handling == "explained", "answered").otherwise(handling)
-    out = F.when(state.isin(*AMBIGUOUS), F.when(handling == "explained", "situation_told").otherwise("situation_untold"))
-    for s, h, name in OUTCOMES:
-        out = out.when((state == s) & (plain == h), name)
-    return out
+    """What a handling makes of a state: right if as much is given as is known.
+
+    Ambiguous states are told or untold; elsewhere an explained situation counts as answered. Giving
+    less than is known is an over-refusal if all is refused and a needless notice otherwise; giving more
+    is unsupported if nothing is known and unmarked otherwise. Ignored items are omissions.
+    """
+    level = lambda names, x: F.coalesce(*(F.when(x == n, v) for n, v in names.items()))
+    known = level(KNOWN, state)
+    given = level(GIVEN, F.when(handling == "explained", "answered").otherwise(handling))
+    return (
+        F.when(state.isin(*AMBIGUOUS), F.when(handling == "explained", "situation_told").otherwise("situation_untold"))
+        .when(known.isNotNull() & (handling == "ignored"), F.when(known == 0, "silent_omission").otherwise("omitted"))
+        .when(known == given, "right")
+        .when(given < known, F.when(given == 0, "over_refusal").otherwise("needless_notice"))
+        .when(given > known, F.when(known == 0, "unsupported").otherwise("partial_unmarked"))
+    )
 
 
 def item_counts(items: DataFrame, key: str) -> DataFrame:
@@ -102,53 +100,32 @@ def gold_reasons(support: DataFrame, seeds: DataFrame) -> DataFrame:
     return met.select("pool", "gold", reasons.alias("reasons"))
 
 
-def metadata_mismatches(answer: str, contexts: list[dict], committees: list[str]) -> list[tuple[str, str]]:
-    """(field, value) in sentences with a citation that no cited context has; longer names first, each place once."""
-    import re
-
-    from .conditions import DATE
-
-    def full(text: str) -> list[str]:
-        out = []
-        for y4, y2, month, day in re.findall(DATE, text or ""):
-            if month and day:
-                year = y4 or ("20" if int(y2) <= 30 else "19") + y2
-                out.append(f"{year}-{int(month):02d}-{int(day):02d}")
-        return out
-
-    by_number = {c["n"]: c for c in contexts}
-    found = []
-    for sentence in sentences(answer):
-        cited = [by_number[int(n)] for n in re.findall(T.CITATION, sentence) if int(n) in by_number]
-        if not cited:
-            continue
-        own, written = {c["date"] for c in cited}, full(sentence)
-        if not own & set(written):
-            inside = {d for c in cited for d in full(c["text"])}
-            found += [("date", d) for d in written if d not in inside]
-        left = sentence
-        for name in sorted(set(committees), key=lambda n: (-len(n), n)):
-            if name in left:
-                left = left.replace(name, " ")
-                if not any(name in (c["committee_name"] or "") for c in cited):
-                    found.append(("committee", name))
-    return found
-
-
-def sentences(answer: str) -> list[str]:
-    """The same as functions.text.sentences, for one text."""
-    import re
-
-    out, mark = [], ""
-    for piece in filter(None, (p.strip() for p in re.split(r"(?<=[.!?])\s+|\n+", answer))):
-        if out and not re.sub(T.CITATION, "", piece).strip():
-            out[-1] = f"{out[-1]} {piece}"
-        elif re.match(r"^(?:\d+[.)]|[-*•·])$", piece):
-            mark += piece + " "
-        else:
-            out.append(mark + piece)
-            mark = ""
-    return out
+def mismatches(answer: Column, contexts: Column, committees: list[str]) -> Column:
+    """array<struct<field, value>>: dates and committees of cited sentences that no cited context has.
+
+    contexts: array<struct<n, date, committee_name, text>>. A sentence that names the date of a context
+    it cites is not asked for its other dates; dates in the cited texts are known, too. Longer committee
+    names win at one place, and each name counts once in a sentence.
+    """
+    from .conditions import dates
+
+    days = lambda text: F.filter(dates(text), lambda d: F.length(d) == 10)
+    none = F.array().cast("array<struct<field: string, value: string>>")
+    named = lambda field, values: F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+
+    def one(sentence):
+        numbers = F.regexp_extract_all(sentence, F.lit(T.CITATION), F.lit(1)).cast("array<int>")
+        cited = F.filter(contexts, lambda c: F.array_contains(numbers, c["n"].cast("int")))
+        own = F.transform(cited, lambda c: c["date"])
+        told = F.flatten(F.transform(cited, lambda c: days(F.coalesce(c["text"], F.lit("")))))
+        wrong_days = F.when(F.arrays_overlap(days(sentence), own), F.array().cast("array<string>")).otherwise(F.array_except(days(sentence), told))
+        out = named("date", wrong_days)
+        if committees:
+            places = F.array_distinct(F.regexp_extract_all(sentence, F.lit(T.alternation(committees)), F.lit(0)))
+            out = F.concat(out, named("committee", F.filter(places, lambda p: ~F.exists(cited, lambda c: F.coalesce(c["committee_name"].contains(p), F.lit(False))))))
+        return F.when(F.size(cited) > 0, out).otherwise(none)
+
+    return F.flatten(F.transform(T.sentences(answer), one))
 
 
 def partial_ratio(part: str, text: str) -> float:
@@ -167,31 +144,27 @@ def partial_ratio(part: str, text: str) -> float:
     return best * 100
 
 
-def quote_candidates(quote: str, text: str, top: int = 3, window: int = 3) -> list[str]:
-    """Windows of sentences that are most like a quote, best first, ties in order."""
-    parts = sentences(text)
-    windows = [" ".join(parts[i : i + window]) for i in range(max(1, len(parts) - window + 1))] if parts else []
-    return sorted(windows, key=lambda w: -partial_ratio(quote, w))[:top]
+def quote_candidates(quote: str, parts: list[str], top: int = 3, window: int = 3) -> list[str]:
+    """Windows of neighbouring sentences that are most like a quote, best first, ties in order."""
+    last = max(0, len(parts) - window)
+    places = sorted((-partial_ratio(quote, " ".join(parts[i : i + window])), i) for i in range(last + 1)) if parts else []
+    return [" ".join(parts[i : i + window]) for _, i in places[:top]]
+
 
+def wrapped(text: Column, width: int) -> Column:
+    """Text whose lines over width are broken after sentence ends, as full as they may be."""
+    empty = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))
 
-def wrap_lines(text: str, width: int) -> str:
-    """Lines longer than width are broken after sentence ends, filled greedily."""
-    import re
+    def add(state, piece):
+        full = F.length(state["line"]) + 1 + F.length(piece) > width
+        return (
+            F.when(state["line"] == "", F.struct(state["done"].alias("done"), piece.alias("line")))
+            .when(full, F.struct(F.concat(state["done"], state["line"], F.lit("\n")).alias("done"), piece.alias("line")))
+            .otherwise(F.struct(state["done"].alias("done"), F.concat_ws(" ", state["line"], piece).alias("line")))
+        )
 
-    out = []
-    for line in text.split("\n"):
-        if len(line) <= width:
-            out.append(line)
-            continue
-        held = ""
-        for piece in re.split(r"(?<=[.!?])\s+", line):
-            if held and len(held) + 1 + len(piece) > width:
-                out.append(held)
-                held = piece
-            else:
-                held = f"{held} {piece}" if held else piece
-        out.append(held)
-    return "\n".join(out)
+    broken = lambda line: F.aggregate(F.split(line, r"(?<=[.!?])\s+"), empty, add, lambda s: F.concat(s["done"], s["line"]))
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.when(F.length(line) <= width, line).otherwise(broken(line))), "\n")
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +209,8 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies of a deterministic judge over the first sentences of documents: supported if their length is even."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.slice(T.pieces(F.col("text")), 1, 4).alias("statements"))
+    """Replies of a deterministic judge over all sentences of documents: supported if their length is even."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", T.pieces(F.col("text")).alias("statements"))
     reply = F.to_json(F.struct(F.transform("statements", lambda s: F.struct(s.alias("statement"), (F.length(s) % 2 == 0).alias("supported"))).alias("verdicts")))
     scored = docs.withColumn("score", judged(reply, F.col("statements")))
     flagged = scored.withColumns({"excluded": F.when(F.size("statements") < 2, "few statements"), "error": F.when(F.col("score").isNull(), "format")})
@@ -256,9 +229,14 @@ _STATE = """i as (select doc_id,
   case when doc_id % 7 = 0 then 'unclear' when quality = 1 then case when doc_id % 3 = 0 then 'partial' else 'present' end else 'absent' end as state,
   case when toxic = 1 then case when doc_id % 2 = 0 then 'refused' else 'ignored' end when doc_id % 5 = 0 then 'explained' when doc_id % 5 = 1 then 'answered_partly' else 'answered' end as handling
   from labels),
-o as (select i.doc_id, i.state, i.handling, case when i.state = 'unclear' then case when i.handling = 'explained' then 'situation_told' else 'situation_untold' end else t.outcome end as outcome
-  from i left join (values """ + ", ".join(f"('{s}', '{h}', '{o}')" for s, h, o in OUTCOMES) + """) t(state, handling, outcome)
-  on t.state = i.state and t.handling = case when i.handling = 'explained' then 'answered' else i.handling end)"""
+l as (select *, case state when 'absent' then 0 when 'partial' then 1 when 'present' then 2 end as known,
+  case handling when 'refused' then 0 when 'answered_partly' then 1 when 'answered' then 2 when 'explained' then 2 end as given from i),
+o as (select doc_id, state, handling, case
+  when state in ('unclear', 'evasive') then case when handling = 'explained' then 'situation_told' else 'situation_untold' end
+  when handling = 'ignored' then case when known = 0 then 'silent_omission' else 'omitted' end
+  when known = given then 'right'
+  when given < known then case when given = 0 then 'over_refusal' else 'needless_notice' end
+  else case when known = 0 then 'unsupported' else 'partial_unmarked' end end as outcome from l)"""
 
 QUERIES = {
     "citation_check": citation_check,
@@ -285,7 +263,7 @@ count(*) filter (outcome = 'over_refusal') as over_refusal, count(*) filter (out
 count(*) filter (toxic <> 1 and quality = 0) as fp, count(*) filter (toxic = 1 and quality <> 0) as fn from labels where quality is not null and toxic is not null),
 x as (select *, tp + tn + fp + fn as n from c), y as (select *, (tp + tn) / n as po, ((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn)) / (n * n) as pe from x)
 select n, round(po, 6) as agreement, round((po - pe) / nullif(1 - pe, 0), 6) as kappa, round(tp / nullif(tp + fn, 0), 6) as tpr, round(tn / nullif(tn + fp, 0), 6) as tnr from y""",
-    "judge_scores": f"""with p as (select doc_id, lang, {_PIECES.format('text')}[1:4] as st from documents),
+    "judge_scores": f"""with p as (select doc_id, lang, {_PIECES.format('text')} as st from documents),
 s as (select lang, st, case when len(st) > 0 then len(list_filter(st, lambda x: length(x) % 2 = 0)) / len(st) end as score from p)
 select lang, round(avg(case when len(st) >= 2 then score end), 6) as mean, count(*) filter (len(st) >= 2 and score is not null) as n, count(*) filter (len(st) < 2) as excluded, count(*) filter (score is null) as errors from s group by lang""",
 }

@@ -22,52 +22,87 @@ def scored(spark, rows):
     return spark.createDataFrame([(0, i, d, float(s)) for i, (d, s) in enumerate(rows)], "query int, chunk int, doc string, score double")
 
 
-def test_document_ranking(spark):
-    s = scored(spark, [("a", 0.9), ("b", 0.8), ("a", 0.95), ("c", 0.1), ("b", 0.5)])
-    assert order(dense.top(dense.doc_max(s), 2, "doc")) == ["a", "b"]
-    assert order(dense.top(dense.doc_max(s), 5, "doc")) == ["a", "b", "c"]
-
-
-def test_weighted_documents(spark):
-    s = scored(spark, [("a", 0.9), ("a", 0.5), ("b", 0.8), ("c", 0.7)])
-    got = {r.doc: r.score for r in dense.doc_weighted(s, [1.0, 1.0]).collect()}
-    assert got == {"a": 1.4, "b": 0.8, "c": 0.7}
-    got = {r.doc: r.score for r in dense.doc_weighted(s, [1.0, 0.1]).collect()}
-    assert got == {"a": 0.95, "b": 0.8, "c": 0.7}
-    assert {r.doc: r.score for r in dense.doc_weighted(s, [1.0]).collect()} == {r.doc: r.score for r in dense.doc_max(s).collect()}
-
-
-def test_best_chunk_has_lowest_number(spark):
-    s = scored(spark, [("a", 0.9), ("a", 0.9), ("a", 0.1)])
-    assert dense.best_chunks(s).first().chunk == 0
+def test_document_scores(spark):
+    s = scored(spark, [("x", 3.5), ("y", 4.25), ("x", 1.0), ("z", 4.25), ("y", 0.5), ("x", 6.0)])
+    assert order(dense.top(dense.doc_max(s), 9, "doc")) == ["x", "y", "z"]
+    assert order(dense.top(dense.doc_max(s), 1, "doc")) == ["x"]
+    weighted = lambda w: {r.doc: r.score for r in dense.doc_weighted(s, w).collect()}
+    assert weighted([1.0, 2.0, 3.0]) == {"x": 16.0, "y": 5.25, "z": 4.25}
+    assert weighted([0.0, 1.0]) == {"x": 3.5, "y": 0.5, "z": 0.0}
+    assert weighted([1.0]) == {r.doc: r.score for r in dense.doc_max(s).collect()}
+    assert dense.best_chunks(s).where("doc = 'x'").first().chunk == 5
+
+
+def test_equal_chunks_have_the_lowest_number(spark):
+    found = dense.best_chunks(scored(spark, [("m", 0.25), ("n", 0.5), ("m", 0.25), ("n", 0.5)])).collect()
+    assert {r.doc: r.chunk for r in found} == {"m": 0, "n": 1}
+
+
+@pytest.mark.parametrize(("weights", "cells", "passes"), [(None, 1 << 21, 1 << 14), ((1.0,), 40, 1 << 14), ((1.0, 0.5, 0.25), 1 << 21, 3)])
+def test_search_equals_all_pairs(spark, monkeypatch, weights, cells, passes):
+    """Ties, copies, vectors of other lengths, a document of many chunks, small products and several passes."""
+    monkeypatch.setattr(dense, "CELLS", cells)
+    monkeypatch.setattr(dense, "PASS", passes)
+    rng = random.Random(6)
+    vectors = [[rng.randint(-2, 2) / 2 for _ in range(4)] for _ in range(150)]
+    rows = [(i, 3 if 40 <= i < 110 else i // 4 + 100, vectors[i % 90]) for i in range(150)] + [(500, 900, [1.0, 2.0]), (501, 900, [0.5, 1.0]), (502, 901, [2.0, 2.0])]
+    every = spark.createDataFrame(rows, "chunk bigint, doc bigint, v array<double>")
+    asked = every.where("chunk % 20 = 0").select(F.col("chunk").alias("query"), F.col("v").alias("qv"))
+    want = {}
+    for q, _, qv in rows:
+        if q % 20 == 0:
+            best = {}
+            for c, d, v in rows:
+                if c != q and len(v) == len(qv):
+                    best.setdefault(c if weights is None else d, []).append(round(sum(x * y for x, y in zip(v, qv)), 6))
+            total = {k: sum(w * s for w, s in zip(weights or (1.0,), sorted(found, reverse=True))) for k, found in best.items()}
+            want |= {(q, r + 1): (k, total[k]) for r, k in enumerate(sorted(total, key=lambda k: (-total[k], k))[:7])}
+    got = dense.search(every.repartition(3), asked, 7, weights).collect()
+    assert {(r.query, r["rank"]): (r[1], r.score) for r in got} == want
+    assert dense.search(every.where("false"), asked, 7, weights).count() == 0 == dense.search(every, asked.where("false"), 7, weights).count()
+
+
+def test_saved_index(spark, tmp_path):
+    texts = [(0, "red fish blue fish"), (1, "one fish"), (2, ""), (3, "blue sky, blue sea"), (4, None)]
+    docs = lexical.documents(spark.createDataFrame(texts, "id int, text string"), "id", F.col("text")).where("tokens is not null")
+    asked = lexical.query_terms(spark.createDataFrame([(7, "Blue fish fish"), (8, "none")], "q int, text string"), "q", F.col("text"))
+    settings = {"k1": lexical.K1, "b": lexical.B, "tokenizer": "words"}
+    folder = str(tmp_path / "index")
+    lexical.save_index(docs, folder, settings)
+    found = lexical.open_index(spark, folder, settings, docs.count())
+    key = lambda df: sorted((r.query, r.doc, r.score) for r in df.collect())
+    assert key(lexical.search(found, asked)) == key(lexical.scores(docs, asked)) and len(key(lexical.search(found, asked))) == 3
+    with pytest.raises(ValueError, match="settings|made by"):
+        lexical.open_index(spark, folder, settings | {"b": 0.5})
+    with pytest.raises(ValueError, match="documents"):
+        lexical.open_index(spark, folder, settings, 9)
+    letters = lexical.documents(spark.createDataFrame(texts[:2], "id int, text string"), "id", F.col("text"), lambda t: F.split(t, ""))
+    assert letters.where("id = 1" if "id" in letters.columns else "doc = 1").first().dl == 8
 
 
 def test_rrf(spark):
-    assert order(fusion.rrf(lists(spark, ["a", "b"], ["c"]))) == ["a", "c", "b"]
-    assert order(fusion.rrf(lists(spark, ["a"], ["b"]), weights=[1.0, 1.0])) == ["a", "b"]
-    assert order(fusion.rrf(lists(spark, ["a"], ["b"]), weights=[2.0, 1.0])) == ["a", "b"]
-    assert order(fusion.rrf(lists(spark, ["a"], ["b"]), weights=[1.0, 2.0])) == ["b", "a"]
+    assert order(fusion.rrf(lists(spark, ["p", "q", "r"], ["r", "p"]), 10)) == ["p", "r", "q"]
+    assert order(fusion.rrf(lists(spark, ["p", "q"], ["s", "t"]))) == ["p", "s", "q", "t"]  # ties by list
+    assert order(fusion.rrf(lists(spark, ["p", "q"], ["s", "t"]), 1, [1.0, 3.0])) == ["s", "t", "p", "q"]
 
 
 def test_minmax(spark):
-    got = fusion.minmax(lists(spark, ["a", "b", "c"], scores={"a": 0.9, "b": 0.6, "c": 0.3})).orderBy("rank").collect()
-    assert [round(r.score, 9) for r in got] == [1.0, 0.5, 0.0]
-    assert {r.score for r in fusion.minmax(lists(spark, ["a", "b"], scores={"a": 1.0, "b": 1.0})).collect()} == {0.0}
+    got = fusion.minmax(lists(spark, ["u", "v", "w", "x"], scores={"u": 12.0, "v": 9.0, "w": 6.0, "x": 4.0})).orderBy("rank").collect()
+    assert [round(r.score, 9) for r in got] == [1.0, 0.625, 0.25, 0.0]
+    assert {r.score for r in fusion.minmax(lists(spark, ["u"], scores={"u": 3.0})).collect()} == {0.0}
 
 
 def test_matched_first(spark):
-    df = lists(spark, ["a", "b", "c", "d"])
-    assert order(fusion.matched_first(df, F.col("doc").isin("c", "a")), "new_rank") == ["a", "c", "b", "d"]
+    df = lists(spark, ["m", "n", "o", "p", "q"])
+    assert order(fusion.matched_first(df, F.col("doc").isin("q", "n")), "new_rank") == ["n", "q", "m", "o", "p"]
+    assert order(fusion.matched_first(df, F.lit(False)), "new_rank") == ["m", "n", "o", "p", "q"]
 
 
 def test_rerank_head(spark):
-    df = lists(spark, ["a", "b", "c", "d"])
-    second = F.when(F.col("doc") == "a", 0.1).when(F.col("doc") == "b", 0.9).when(F.col("doc") == "c", 0.5).otherwise(1.0)
-    assert order(fusion.rerank_head(df, second, 3), "new_rank") == ["b", "c", "a", "d"]
-    # reranking comes before the filter
-    again = fusion.rerank_head(df, F.when(F.col("doc") == "a", 0.1).when(F.col("doc") == "b", 0.2).otherwise(0.9), 3)
-    again = again.drop("rank").withColumnRenamed("new_rank", "rank")
-    assert order(fusion.matched_first(again, F.col("doc") == "d"), "new_rank") == ["d", "c", "b", "a"]
+    df = lists(spark, ["m", "n", "o", "p", "q"])
+    second = F.when(F.col("doc") == "n", 2.0).when(F.col("doc") == "p", 7.0).otherwise(1.0)
+    assert order(fusion.rerank_head(df, second, 2), "new_rank") == ["n", "m", "o", "p", "q"]
+    assert order(fusion.rerank_head(df, second, 4), "new_rank") == ["p", "n", "m", "o", "q"]
 
 
 def test_append_missing(spark):
@@ -85,21 +120,21 @@ def test_slots(spark):
 
 
 def test_recall_and_mrr(spark):
-    ranks = spark.createDataFrame([(0, 1), (1, 3), (2, 7), (3, None)], "query int, rank int")
-    rows = metrics.per_query(ranks).orderBy("query").collect()
-    assert ["".join(str(int(r[f"recall_{k}"])) for r in rows) for k in (1, 5, 10)] == ["1000", "1100", "1110"]
-    assert [round(r.mrr_10, 6) for r in rows] == [1.0, 0.333333, 0.142857, 0.0]
+    ranks = spark.createDataFrame([(0, 2), (1, 10), (2, 11), (3, None), (4, 5)], "query int, rank int")
+    rows = {r.query: r for r in metrics.per_query(ranks).collect()}
+    assert [[int(rows[q][f"recall_{k}"]) for k in (1, 5, 10)] for q in range(5)] == [[0, 1, 1], [0, 0, 1], [0, 0, 0], [0, 0, 0], [0, 1, 1]]
+    assert [round(rows[q].mrr_10, 6) for q in range(5)] == [0.5, 0.1, 0.0, 0.0, 0.2]
 
 
 def test_duplicates_before_rank(spark):
-    run = spark.createDataFrame([(0, 1, "x"), (0, 2, "x"), (0, 3, "g")], "query int, rank int, doc string")
-    assert {r.doc: r.rank for r in metrics.distinct_ranks(run).collect()} == {"x": 1, "g": 2}
+    run = spark.createDataFrame([(0, 1, "s"), (0, 2, "t"), (0, 3, "s"), (0, 4, "u"), (0, 5, "t")], "query int, rank int, doc string")
+    assert {r.doc: r.rank for r in metrics.distinct_ranks(run).collect()} == {"s": 1, "t": 2, "u": 3}
 
 
 def test_set_metrics(spark):
-    df = spark.createDataFrame([(0, ["a", "b", "c", "d", "e", "f"], ["a", "f"])], "query int, docs array<string>, gold array<string>")
+    df = spark.createDataFrame([(0, list("pqrstuvw"), ["r", "q", "w", "z"])], "query int, docs array<string>, gold array<string>")
     r = metrics.set_metrics(df).first()
-    assert (r.recall_5, r.complete_5, r.hit_5, r.recall_10, r.complete_10) == (0.5, 0.0, 1.0, 1.0, 1.0)
+    assert (r.recall_5, r.complete_5, r.hit_5, r.recall_10, r.complete_10) == (0.5, 0.0, 1.0, 0.75, 0.0)
 
 
 def test_bootstrap_is_seeded_and_clustered(spark):
@@ -148,9 +183,9 @@ def test_presets():
 
 
 def test_reranked_and_filtered(spark):
-    dense_docs = spark.createDataFrame([(0, d, s) for d, s in zip("abcd", (0.9, 0.8, 0.7, 0.6))], "query int, doc string, score double")
-    second = spark.createDataFrame([(0, "a", 0.1), (0, "b", 0.2), (0, "c", 0.9)], "query int, doc string, second double")
-    matches = spark.createDataFrame([(0, "d", 2), (0, "a", 1)], "query int, doc string, matches int")
+    """Reranking the head comes before the filter, and the filter keeps its order."""
+    dense_docs = spark.createDataFrame([(0, d, 5.0 - i) for i, d in enumerate("klmn")], "query int, doc string, score double")
+    second = spark.createDataFrame([(0, "k", 1.0), (0, "l", 3.0), (0, "m", 2.0)], "query int, doc string, second double")
+    matches = spark.createDataFrame([(0, "n", 3), (0, "k", 3), (0, "l", 1)], "query int, doc string, matches int")
     config = retrieval.Config(conditions=True, best_filter=True, rerank_depth=3, weights=(1.0, 1.0, 0.0))
-    out = retrieval.retrieve(config, dense_docs, dense_docs, matches, second)
-    assert order(out) == ["d", "c", "b", "a"]
+    assert order(retrieval.retrieve(config, dense_docs, dense_docs, matches, second)) == ["k", "n", "l", "m"]
