@@ -11,6 +11,9 @@ from . import lexical
 
 KS, MRR_K = (1, 5, 10), 10
 
+#: Picks of the bootstrap in memory at a time.
+PICKS = 1 << 22
+
 
 def distinct_ranks(run: DataFrame) -> DataFrame:
     """run (query, rank, doc): a document's first place only, ranks counted anew."""
@@ -69,8 +72,11 @@ def bootstrap(clusters: DataFrame, resamples: int = 10_000, seed: int = 20260929
     """
     rows = clusters.orderBy("cluster").select("total", "n").toArrow()
     total, n = rows.column("total").to_numpy(), rows.column("n").to_numpy()
-    picks = np.random.default_rng(seed).integers(0, len(n), size=(resamples, len(n)))
-    means = total[picks].sum(1) / n[picks].sum(1)
+    rng, means = np.random.default_rng(seed), np.empty(resamples)
+    step = max(1, PICKS // max(1, len(n)))  # some resamples at a time, so memory does not grow with their number
+    for i in range(0, resamples, step):
+        picks = rng.integers(0, len(n), size=(min(step, resamples - i), len(n)))
+        means[i : i + step] = total[picks].sum(1) / n[picks].sum(1)
     low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
     return float(total.sum() / n.sum()), float(low), float(high)
 

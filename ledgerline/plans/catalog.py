@@ -20,8 +20,11 @@ MODULES: tuple[str, ...] = (
     "ledgerline.operators.conversations",
     "ledgerline.operators.external",
     "ledgerline.operators.review",
+    "ledgerline.operators.views",
+    "ledgerline.operators.reports",
     "ledgerline.streaming.limits",
     "ledgerline.plans.retrieval",
+    "ledgerline.plans.answering",
 )
 
 

@@ -6,11 +6,12 @@ they hold for any store that Spark writes to.
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 import zipfile
 from collections.abc import Iterator
-from io import BytesIO
+from io import BytesIO, StringIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -164,11 +165,23 @@ def append_missing(spark: SparkSession, df: DataFrame, path: str, key: str, reci
     return n
 
 
+def _absent(names: DataFrame, df: DataFrame, key: str) -> str:
+    """How many names a table lacks and the first ten of them; empty if none."""
+    lacking = names.select(key).join(df.select(key), key, "left_anti")
+    first = [str(r[0]) for r in lacking.orderBy(key).limit(10).collect()]
+    return f"{lacking.count()} missing, such as {', '.join(first)}" if first else ""
+
+
+def check_frozen(df: DataFrame, expected: str) -> None:
+    """Stops where a table's rows are not those that were frozen."""
+    if (found := table_digest(df)) != expected:
+        raise ValueError(f"the frozen table has digest {expected}, this one {found}")
+
+
 def freeze(df: DataFrame, key: str, excluded: list[str]) -> tuple[DataFrame, str]:
     """Rows whose key is not excluded, and their digest; every exclusion has to be there."""
     names = df.sparkSession.createDataFrame([(x,) for x in excluded], f"{key} string")
-    absent = [r[0] for r in names.join(df, key, "left_anti").collect()]
-    if absent:
+    if absent := _absent(names, df, key):
         raise KeyError(f"not in the table: {absent}")
     kept = df.join(names, key, "left_anti")
     return kept, table_digest(kept)
@@ -177,8 +190,48 @@ def freeze(df: DataFrame, key: str, excluded: list[str]) -> tuple[DataFrame, str
 def in_order(df: DataFrame, ids: list[str], key: str = "qid") -> DataFrame:
     """Rows of ids in their order; fails where one is missing."""
     named = df.sparkSession.createDataFrame(list(enumerate(ids)), f"ord int, {key} string")
-    out = named.join(df, key).orderBy("ord")
-    missing = [r[0] for r in named.join(df, key, "left_anti").select(key).collect()]
-    if missing:
-        raise KeyError(f"no row for {missing}")
-    return out.drop("ord")
+    if absent := _absent(named, df, key):
+        raise KeyError(f"no row for keys: {absent}")
+    return named.join(df, key).orderBy("ord").drop("ord")
+
+
+def query_set(sets: dict[str, DataFrame], name: str, ids: list[str] | None = None, key: str = "qid") -> DataFrame:
+    """A query set by name (such as dev, multi or test), in the order of ids if these are given."""
+    if name not in sets:
+        raise ValueError(f"no query set {name!r}; there are {', '.join(sorted(sets))}")
+    return sets[name] if ids is None else in_order(sets[name], ids, key)
+
+
+def references(queries: DataFrame, ids: list[str], excluded: list[str] = (), key: str = "qid") -> DataFrame:
+    """Reference answers of chosen queries but the excluded ones."""
+    return in_order(queries, [i for i in ids if i not in set(excluded)], key)
+
+
+def export(df: DataFrame, path: str, columns: list[str], basis: dict | None = None, overwrite: bool = False) -> None:
+    """Chosen columns as JSON lines, with the settings beside them if given."""
+    refuse_existing(df.sparkSession, path, overwrite)
+    df.select(*columns).write.mode("overwrite" if overwrite else "errorifexists").json(path)
+    if basis is not None:
+        write_text(df.sparkSession, f"{path}.basis.json", json.dumps(basis, sort_keys=True, ensure_ascii=False))
+
+
+def review_csv(spark: SparkSession, path: str, header: list[str], rows: list, overwrite: bool = False) -> bool:
+    """A small table for people, as CSV with a byte order mark, so that spreadsheets read its letters."""
+    out = StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerows([header, *rows])
+    return write_guarded(spark, path, "\ufeff" + out.getvalue(), overwrite)
+
+
+def markdown(df: DataFrame, digits: int = 4) -> str:
+    """A small table for people, in Markdown."""
+    shown = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else str(v)
+    lines = [df.columns, ["---"] * len(df.columns), *([shown(v) for v in r] for r in df.collect())]
+    return "".join(f"| {' | '.join(line)} |\n" for line in lines)
+
+
+def save_record(spark: SparkSession, folder: str, record: dict) -> str:
+    """One record as a JSON file named by its digest; a record that is there stays."""
+    path = f"{folder}/{digest(record)[:16]}.json"
+    write_new(spark, path, json.dumps(record, ensure_ascii=False, indent=1, sort_keys=True))
+    return path

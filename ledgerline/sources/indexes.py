@@ -55,6 +55,34 @@ def embed_shards(chunks: DataFrame, path: str, model: Callable[[list[str]], list
     return made
 
 
+def build(docs: DataFrame, path: str, chunk: Callable[[DataFrame], DataFrame], model: Callable[[list[str]], list[list[float]]], settings: dict, shards: int = 4) -> dict:
+    """Chunks of documents and their vectors under a folder, with what made them; gives the numbers.
+
+    chunk: documents -> (chunk_id, doc_id, text). Documents that changed since (by their digest) or other
+    settings stop it; a broken run goes on where it stopped; as many vectors as chunks have to come out.
+    """
+    spark = docs.sparkSession
+    basis = settings | {"documents": files.table_digest(docs)}
+    if not files.exists(spark, f"{path}/chunks.basis.json"):
+        files.with_basis(chunk(docs), f"{path}/chunks", basis, overwrite=True)
+    chunks = files.read_basis(spark, f"{path}/chunks", basis)
+    embed_shards(chunks, f"{path}/vectors", model, shards, basis)
+    n = chunks.count()
+    vectors(spark, f"{path}/vectors", n)
+    meta = {"n_chunks": n, "n_docs": chunks.select("doc_id").distinct().count(), "basis": files.digest(basis)}
+    files.write_guarded(spark, f"{path}/meta.json", json.dumps(meta, sort_keys=True))
+    return meta
+
+
+def zipped(chunks: DataFrame, found: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Rows of two tables that belong together by position, as a join on the number that stands for it; the tables have to have equal lengths."""
+    a, b = chunks.count(), found.count()
+    met = chunks.join(found, key)
+    if a != b or met.count() != a:
+        raise ValueError(f"{a} rows against {b}")
+    return met
+
+
 def vectors(spark: SparkSession, path: str, n: int) -> DataFrame:
     """All shards' vectors; fails unless there are n."""
     out = spark.read.schema("chunk_id bigint, v array<float>, shard int").parquet(path).drop("shard")
