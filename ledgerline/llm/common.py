@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in local tests, a temporary folder is set.
+    Where the session names none, a temporary folder is set for a local master, as in tests; elsewhere
+    that is an error, as executors would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not found:
         found = getattr(spark, "_ledgerline_dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark._ledgerline_dir = found

@@ -9,8 +9,9 @@ that lie within e of each other. Shared q-grams are counted in bands of e + 1 di
 neighbouring bands together are an overlapping band that holds every such set of diagonals. Bands that
 meet the bound are verified by banded alignment, all of a slice at once, a row of the item at a time.
 
-An item too short for the bound to say anything under e edits gets the largest budget under which it
-does; items of fewer than Q bytes are found nowhere.
+For an item too short for the bound to say anything under e edits, the item itself is cut into e + 1
+pieces: e edits leave one of them whole, so each place of a piece names a band to verify. An item of
+fewer than ten bytes is found where it occurs as it is.
 
 Documents are only scanned: nothing of them is shuffled. The benchmark is sent to workers in blocks of
 at most ITEMS bytes, one scan for each block.
@@ -51,15 +52,23 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         known = [(i, normal(t)) for i, t in items]
-        known = [(i, t) for i, t in known if len(t) >= Q]
+        known = [(i, t) for i, t in known if t]
         self.ids = [i for i, _ in known]
         self.texts = [np.frombuffer(t, np.uint8) for _, t in known]
         m = np.array([len(t) for t in self.texts], dtype=np.int64)
         grams = (m - Q) // STEP + 1
-        self.budget = np.minimum((m * RATE).astype(np.int64), (grams - 1) // (Q // STEP))
+        self.budget = (m * RATE).astype(np.int64)
         self.least = grams - self.budget * (Q // STEP)
         self.width = self.budget + 1
-        words = [common.unaligned_u64(t)[::STEP] for t in self.texts]
+        short = (m < Q) | (self.least < 1)
+        words = [common.unaligned_u64(t)[::STEP] if not s else np.zeros(0, np.uint64) for t, s in zip(self.texts, short)]
+        #: Pieces of short items by their bytes (Q at most): words, items, places in the item.
+        self.pieces: dict[int, list] = {}
+        for j in np.flatnonzero(short):
+            edges = np.linspace(0, m[j], self.budget[j] + 2).astype(int)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                piece = self.texts[j][a : min(b, a + Q)].tobytes()
+                self.pieces.setdefault(len(piece), []).append((int.from_bytes(piece, "little"), j, a))
         item = np.repeat(np.arange(len(words)), [len(w) for w in words])
         place = np.concatenate([np.arange(len(w)) * STEP for w in words]) if words else np.zeros(0, np.int64)
         flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
@@ -73,14 +82,33 @@ class Index:
     def slot(self, words: np.ndarray) -> np.ndarray:
         return ((words * self.MUL) >> np.uint64(44)).astype(np.int64)
 
+    def short_bands(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, first diagonal) of the bands around places of short items' pieces."""
+        found = [np.zeros((0, 3), np.int64)]
+        for size, entries in self.pieces.items():
+            cut = words & np.uint64((1 << (8 * size)) - 1)
+            for word in {e[0] for e in entries}:
+                at = np.flatnonzero(cut == np.uint64(word))
+                text = np.searchsorted(starts, at, side="right") - 1
+                for _, j, place in (e for e in entries if e[0] == word):
+                    low = (at - starts[text] - place) // self.width[j] * self.width[j]
+                    found.append(np.unique(np.stack([text, np.full(len(at), j), low], axis=1), axis=0))
+        return tuple(np.unique(np.concatenate(found), axis=0).T)
+
     def scan(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, place) of the best match of every item found in each text."""
-        if not len(self.grams) or not texts:
+        if not texts or not (len(self.grams) or self.pieces):
             return []
         gap = bytes(Q)
         data = np.frombuffer(gap.join(texts) + gap, np.uint8)
         starts = np.cumsum([0, *(len(t) + Q for t in texts[:-1])])
         words = common.unaligned_u64(data)
+        out = self.scan_long_items(texts, starts, words) if len(self.grams) else []
+        if self.pieces:
+            out = sorted(out + self.verify(texts, *self.short_bands(words, starts)))
+        return out
+
+    def scan_long_items(self, texts: list[bytes], starts: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         at = np.flatnonzero(self.maybe[self.slot(words)])
         gram = np.minimum(np.searchsorted(self.grams, words[at]), len(self.grams) - 1)
         hit = self.grams[gram] == words[at]
@@ -111,7 +139,8 @@ class Index:
         size = (1 << BAND) - SHIFT - reach
         best: dict[int, tuple[int, int, int, int]] = {}
         for begin in range(0, max(1, len(text) - reach), size):
-            for _, item, edits, place in self.scan([text[begin : begin + size + reach]]):
+            part = text[begin : begin + size + reach]
+            for _, item, edits, place in self.scan_long_items([part], np.zeros(1, np.int64), common.unaligned_u64(np.frombuffer(part + bytes(Q), np.uint8))):
                 new = (k, item, edits, place + begin)
                 if item not in best or new[2:] < best[item][2:]:
                     best[item] = new

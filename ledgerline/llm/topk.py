@@ -16,8 +16,12 @@ so those stand for the others, and equal queries are one search. Queries are met
 BLOCK distinct ones, each against all vectors.
 
 Vectors that are null, empty or hold null or non-finite components take no part. Vectors of different
-lengths have no score with each other. Repeated rows of one vec_id are candidates like any other, and
-a query never meets its own id. An empty table gives no rows.
+lengths have no score with each other. Repeated rows (the same vec_id and vector) count once; other
+vectors under one vec_id are candidates and queries of their own, and a query never meets its own id.
+An empty table gives no rows.
+
+The first phase makes the lists by the whole product, as vectors have no stored lists; the second makes
+it again rather than keep scores of all pairs.
 """
 
 from __future__ import annotations
@@ -183,7 +187,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same by scoring every pair.
 OP1_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
   from embeddings
   where embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0

@@ -72,6 +72,33 @@ def test_language(spark, edge, nothing):
     assert langid.identify(nothing, model).count() == 0
 
 
+def test_language_by_rule(spark, edge, tmp_path):
+    """Every column of the query: words scored one by one, labels by trying each step of the recursion, the learned tables given."""
+    texts = [(200 + i, prose(800 + i, 12) if i % 2 else "le chat noir dort déjà là où il a été " * (1 + i % 3)) for i in range(24)]
+    texts += [(300, "alpha beta le chat noir dort là gamma delta epsilon zeta eta"), (301, "漢字 alpha"), (302, "слово"), (303, "le")]
+    docs = edge.unionByName(documents(spark, texts, {i: None if i >= 300 else "en" if i % 2 else "fr" for i, _ in texts}))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    model = langid.fit(common.read(spark, str(tmp_path), "documents").select("doc_id", "text", "lang"), ~langid.held_out())
+    want = Counter()
+    for r in docs.collect():
+        w = langid.Words([r.text])
+        scores = [[sum(float(model.table[c, k]) for c in w.codes[s : s + n]) if model.allowed[w.script[j], k] else -1e9 for k in range(len(model.languages))] for j, (s, n) in enumerate(zip(w.starts, w.sizes))]
+        best = [(s, (k,)) for k, s in enumerate(scores[0])] if scores else []
+        for row in scores[1:]:
+            best = [max(((v - (langid.PENALTY if path[-1] != k else 0) + row[k], path + (k,)) for v, path in best), key=lambda x: x[0]) for k in range(len(row))]
+        held = r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+        if not scores:
+            want[r.doc_id, held, "und", 0.0] += 1
+            continue
+        mass = Counter()
+        for k, n in zip(max(best, key=lambda x: x[0])[1], w.sizes):
+            mass[k] += int(n)
+        top = max(sorted(mass), key=mass.__getitem__)
+        want[r.doc_id, held, model.languages[top], round(mass[top] / sum(mass.values()), 9)] += 1
+    got = Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in rows(langid.op2_langid(spark, str(tmp_path))))
+    assert got == want and {k[2] for k in want} >= {"en", "fr", "und"}
+
+
 def test_scripts_narrow_candidates():
     table = np.zeros((1 << langid.BITS, 2))
     scripts = np.zeros((len(langid.NAMES), 2))
@@ -495,6 +522,33 @@ def test_sentence_spans(spark, edge, nothing):
     assert len(sentence_spans.sentences(long)) == 4 and sentence_spans.sentences(None) == []
 
 
+def test_sentence_spans_by_rule(spark, edge, tmp_path):
+    """Every column of the query: all runs of all distinct documents listed, the first occurrence stays."""
+    run = "First one here. Second one there. Third one now. "
+    more = [(100, run + prose(50, 40)), (101, prose(51, 40) + " " + run), (6, "Other text. " + run), (102, run + "And more. " + run), (103, run[:-20])]
+    docs = edge.unionByName(documents(spark, more)).unionByName(documents(spark, more[:1]))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    every = [(r.doc_id, r.h, r.text) for r in docs.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()]
+    places = {}
+    for i, h, t in sorted(set(every), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        found = [" ".join(s.lower().split()) for s in sentence_spans.pieces(t)]
+        for at in range(len(found) - 2):
+            places.setdefault(tuple(found[at : at + 3]), []).append((i, h, at))
+    starts = {}
+    for found in places.values():
+        for i, h, at in found[1:]:
+            starts.setdefault((i, h), set()).add(at)
+    want = Counter()
+    for i, h, t in every:
+        if (i, h) in starts:
+            found = sentence_spans.pieces(t)
+            gone = [any(at <= k < at + 3 for at in starts[i, h]) for k in range(len(found))]
+            left = "\n".join(s for s, g in zip(found, gone) if not g)
+            want[i, len(found), sum(gone), sum(g and not b for g, b in zip(gone, [False, *gone])), hashlib.sha256(left.encode()).hexdigest()] += 1
+    got = Counter((r["doc_id"], r["n_sentences"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(sentence_spans.op8_sentence_spans(spark, str(tmp_path))))
+    assert got == want and sum(n for n in want.values()) >= 6
+
+
 def test_passage_at_any_offset(spark):
     """A passage of 60 words without sentence ends, mid-sentence at all 16 offsets; runs of words and of two words."""
     plain = lambda seed, n: prose(seed, n).replace(".", "")
@@ -532,13 +586,14 @@ def edits(pattern: bytes, text: bytes) -> int:
 
 
 def test_matches_are_exact():
-    items = [(i, prose(400 + i, n)) for i, n in enumerate((6, 12, 30, 45))]
+    items = [(i, prose(400 + i, n)) for i, n in enumerate((6, 12, 30, 45, 1, 2, 3, 4))] + [(8, "abc"), (9, "Q")]
     index = decontaminate.Index(items)
+    assert index.budget.tolist() == [len(t) // 10 for t in index.texts] and len(index.texts) == len(items)
     rng = random.Random(3)
-    for _ in range(120):
+    for _ in range(300):
         k = rng.randrange(len(items))
         p, e = bytearray(index.texts[k].tobytes()), int(index.budget[k])
-        for _ in range(rng.randint(0, e + 4)):
+        for _ in range(min(rng.randint(0, e + 4), len(p) - 1)):
             at, kind = rng.randrange(len(p)), rng.random()
             if kind < 0.34:
                 p[at] = rng.choice(b"abcdefgh ")
@@ -547,9 +602,12 @@ def test_matches_are_exact():
             else:
                 p.insert(at, rng.choice(b"abcdefgh"))
         text = decontaminate.normal(prose(rng.randrange(1000), 60)) + b" " + bytes(p) + b" " + decontaminate.normal(prose(rng.randrange(1000), 60))
-        want = edits(index.texts[k].tobytes(), text)
-        found = {i: n for _, i, n, _ in index.scan([text])}
-        assert (k in found) == (want <= e) and found.get(k, want) == want
+        found = {i: (n, at) for _, i, n, at in index.scan([b"", text, b"abx"]) if _ == 1}
+        for j in {k, *range(4, 10)}:
+            want = edits(index.texts[j].tobytes(), text)
+            assert (j in found) == (want <= index.budget[j]) and found.get(j, (want,))[0] == want, items[j]
+            if j in found and want == 0:
+                assert text[found[j][1] :].startswith(index.texts[j].tobytes())
 
 
 def test_decontaminate(spark, edge, nothing):
