@@ -112,7 +112,9 @@ class Codec:
             at = np.delete(at, wide[blank])
         if text_ends is None:
             return np.append(at + 1, len(a))
-        return np.union1d(at + 1, text_ends[text_ends > 0])
+        last = np.zeros(len(a), bool)
+        last[at] = last[text_ends[text_ends > 0] - 1] = True
+        return np.flatnonzero(last) + 1
 
     def fragments(self, data: bytes) -> list[bytes]:
         """The pieces of a text's bytes between certain cuts."""
