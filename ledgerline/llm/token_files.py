@@ -57,39 +57,39 @@ class Mixer:
     """What the blocks of a group predict and how far they trust each order; one lane for each block."""
 
     def __init__(self, lanes: int):
-        row = np.arange(lanes, dtype=np.int64)
-        self.slots, self.cells = row << SLOT, (row * (LEVELS * LEVELS)).astype(np.int64)
+        # first rows are of order 2, second ones of order 1
+        row = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        self.slots, self.cells = row << SLOT, row * (LEVELS * LEVELS)
         #: Predicted id in the low 16 bits, confidence above.
-        self.seen = [np.zeros(lanes << SLOT, np.uint32) for _ in range(2)]
+        self.seen = np.zeros(2 * lanes << SLOT, np.uint32)
         first = [np.repeat(FIRST_2, LEVELS), np.tile(FIRST_1, LEVELS)]
-        self.share = [np.tile(np.array(f, np.int32), lanes) for f in first]
+        self.share = np.concatenate([np.tile(np.array(f, np.int32), lanes) for f in first])
+        least, most = np.array(BOUNDS, np.int32).T.reshape(2, 2, 1)
+        self.least, self.room = least, most - least
+        self.context = np.zeros((2, lanes), np.uint32)
         self.before = np.zeros(lanes, np.uint32)
         self.last = np.zeros(lanes, np.uint32)
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids that orders 2 and 1 predict, and their shares of 1 << SCALE; order 0 has the rest."""
-        one = self.last * np.uint32(2654435761)
-        two = (self.before * np.uint32(2246822519) + one) * np.uint32(2654435761)
-        self.at = [self.slots + (two >> np.uint32(32 - SLOT)), self.slots + (one >> np.uint32(32 - SLOT))]
-        self.entry = [t[at] for t, at in zip(self.seen, self.at)]
-        self.guess = [e & np.uint32(0xFFFF) for e in self.entry]
-        self.cell = self.cells + ((self.entry[0] >> np.uint32(16)) * np.uint32(LEVELS) + (self.entry[1] >> np.uint32(16)))
-        self.trust = [s[self.cell] for s in self.share]
-        return self.guess[0], self.trust[0], self.guess[1], self.trust[1]
-
-    def learn(self, ids: np.ndarray, hits: tuple[np.ndarray, np.ndarray]) -> None:
+        np.multiply(self.last, np.uint32(2654435761), out=self.context[1])
+        np.multiply(self.before * np.uint32(2246822519) + self.context[1], np.uint32(2654435761), out=self.context[0])
+        self.at = self.slots + (self.context >> np.uint32(32 - SLOT))
+        self.entry = self.seen[self.at]
+        self.guess = self.entry & np.uint32(0xFFFF)
+        sure = self.entry >> np.uint32(16)
+        self.cell = self.cells + (sure[0] * np.uint32(LEVELS) + sure[1])
+        self.trust = self.share[self.cell]
+        return self.guess, self.trust
+
+    def learn(self, ids: np.ndarray, hits: np.ndarray) -> None:
         """Moves trust towards what was right (between bounds that keep all shares above zero), and predictions to what came."""
-        fresh = ids | np.uint32(1 << 16)
-        for k, (least, most) in enumerate(BOUNDS):
-            hit, entry, trust = hits[k], self.entry[k], self.trust[k]
-            goal = hit * np.int32(most - least) + np.int32(least)
-            self.share[k][self.cell] = trust + ((goal - trust) >> 5)
-            new = fresh.copy()
-            sure = np.flatnonzero(entry >= np.uint32(2 << 16))  # was right before: stays, with half the confidence
-            new[sure] = (entry[sure] & np.uint32(0xFFFF)) | ((entry[sure] >> np.uint32(17)) << np.uint32(16))
-            right = np.flatnonzero(hit)
-            new[right] = np.minimum(entry[right] + np.uint32(1 << 16), ids[right] | np.uint32((LEVELS - 1) << 16))
-            self.seen[k][self.at[k]] = new
+        goal = hits * self.room + self.least
+        self.share[self.cell] = self.trust + ((goal - self.trust) >> 5)
+        # what was right before stays, with half the confidence
+        wrong = np.where(self.entry >= np.uint32(2 << 16), self.guess | (self.entry >> np.uint32(17) << np.uint32(16)), ids | np.uint32(1 << 16))
+        right = np.minimum(self.entry + np.uint32(1 << 16), ids | np.uint32((LEVELS - 1) << 16))
+        self.seen[self.at] = np.where(hits, right, wrong)
         self.before, self.last = self.last, ids
 
 
@@ -137,18 +137,19 @@ def encode_group(ids: np.ndarray) -> dict:
     scale, whole = np.uint64(SCALE), np.int32(1 << SCALE)
     for step in range(steps):
         now = by_step[step]
-        g2, s2, g1, s1 = mixer.predict()
-        hits = (now == g2, now == g1)
+        guess, (s2, s1) = mixer.predict()
+        hits = guess == now
         above = s2 + s1
         unit = span >> scale
         # as order 0 codes it, then again where an order above was right
         rest = unit * (whole - above).astype(np.uint64) >> bits
         new = low + unit * above.astype(np.uint64) + rest * begin[now]
         wider = rest * wide[now]
-        for x in np.flatnonzero(hits[1] & ~hits[0]), np.flatnonzero(hits[0]):
-            order2 = hits[0][x]
-            new[x] = low[x] + unit[x] * np.where(order2, 0, s2[x]).astype(np.uint64)
-            wider[x] = unit[x] * np.where(order2, s2[x], s1[x]).astype(np.uint64)
+        if len(x := np.flatnonzero(hits[0] | hits[1])):
+            at2 = unit[x] * s2[x].astype(np.uint64)
+            order2 = hits[0, x]
+            new[x] = low[x] + np.where(order2, np.uint64(0), at2)
+            wider[x] = np.where(order2, at2, unit[x] * s1[x].astype(np.uint64))
         low, span = new, wider
         go = settle(low, span)
         if len(go):
@@ -199,7 +200,7 @@ def decode_group(n: int, steps: int, symbols: bytes, frequencies: bytes, stream:
     scale, whole = np.uint64(SCALE), np.int32(1 << SCALE)
     known32, top = known.astype(np.uint32), np.uint64(len(owner) - 1)
     for step in range(steps):
-        g2, s2, g1, s1 = mixer.predict()
+        guess, (s2, s1) = mixer.predict()
         above = s2 + s1
         unit = span >> scale
         upper = unit * above.astype(np.uint64)
@@ -213,7 +214,7 @@ def decode_group(n: int, steps: int, symbols: bytes, frequencies: bytes, stream:
         if len(hit):
             at2 = unit[hit] * s2[hit].astype(np.uint64)
             order2 = gone[hit] < at2
-            now[hit] = np.where(order2, g2[hit], g1[hit])
+            now[hit] = np.where(order2, guess[0, hit], guess[1, hit])
             new[hit] = low[hit] + np.where(order2, np.uint64(0), at2)
             wider[hit] = unit[hit] * np.where(order2, s2[hit], s1[hit]).astype(np.uint64)
         low, span = new, wider
@@ -222,7 +223,7 @@ def decode_group(n: int, steps: int, symbols: bytes, frequencies: bytes, stream:
             low[go] = (low[go] & LOW_WORD) << WORD
             span[go] <<= WORD
             code[go] = (code[go] << WORD) | take(go)
-        mixer.learn(now, (now == g2, now == g1))
+        mixer.learn(now, guess == now)
         out[step] = now
     grid = np.ascontiguousarray(out.T)
     if any(zlib.crc32(x) != c for x, c in zip(grid, checksums)):
