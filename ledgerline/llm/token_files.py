@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from . import bpe, common
 
-#: Ids of a block, ids of a group of documents at which it is closed, the id that ends a document.
-BLOCK, GROUP, END = 2048, 1 << 21, 0
+#: Ids of a block, ids of a group of documents at which it is closed (a rest of under half goes to the group before), the id that ends a document.
+BLOCK, GROUP, END = 2048, 1 << 22, 0
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 20
 #: Bits of the scale on which orders share the range, of an order-0 table at least, of a hashed table's slots.
@@ -248,7 +248,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, part, seq = bpe.codec(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([END], np.uint32)
-        doc_ids, lengths, parts, held = [], [], [], 0
+        doc_ids, lengths, parts, held, full = [], [], [], 0, None
         for b in common.in_bounds(batches, most=SLICE):
             flat, counts = bpe.table(c).encode([common.text_bytes(t) for t in b.column("text").to_pylist()])
             at = 0
@@ -259,10 +259,22 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None) -> None:
                 at += n
                 held += n + 1
                 if held >= GROUP:
-                    yield _row(part, seq, doc_ids, lengths, np.concatenate(parts).astype(np.uint32))
-                    doc_ids, lengths, parts, held, seq = [], [], [], 0, seq + 1
+                    if full:
+                        yield _row(part, seq, *full)
+                        seq += 1
+                    full = doc_ids, lengths, np.concatenate(parts).astype(np.uint32)
+                    doc_ids, lengths, parts, held = [], [], [], 0
         if parts:
-            yield _row(part, seq, doc_ids, lengths, np.concatenate(parts).astype(np.uint32))
+            rest = np.concatenate(parts).astype(np.uint32)
+            if full and 2 * held < GROUP:  # a group's steps cost much the same whatever its size
+                full = full[0] + doc_ids, full[1] + lengths, np.concatenate([full[2], rest])
+            else:
+                if full:
+                    yield _row(part, seq, *full)
+                    seq += 1
+                full = doc_ids, lengths, rest
+        if full:
+            yield _row(part, seq, *full)
 
     ordered.mapInArrow(run, FILE_SCHEMA).write.parquet(folder)
 
