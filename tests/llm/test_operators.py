@@ -297,8 +297,9 @@ def test_coder_round_trip(ids):
         token_files.decode_group(*args[:-1], e["checksums"] + 1)
 
 
-def test_token_files(spark, edge, nothing, monkeypatch):
-    monkeypatch.setattr(token_files, "GROUP", 500)
+@pytest.mark.parametrize("group", [500, 5000])
+def test_token_files(spark, edge, nothing, monkeypatch, group):
+    monkeypatch.setattr(token_files, "GROUP", group)
     folder = common.new_path(spark, "tokens")
     token_files.write(edge, folder)
     got = Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows(token_files.read(spark, folder)))
