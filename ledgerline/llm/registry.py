@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules in order of the operators' numbers.
-MODULES = ("topk", "langid", "suffix_dedup", "lattice_lm", "token_files", "url_filters", "simhash", "sentence_spans", "decontaminate", "bpe", "merkle")
+MODULES = ("topk", "langid", "suffix_dedup", "lattice_lm", "token_files", "url_filters", "simhash", "sentence_spans", "decontaminate", "bpe", "merkle", "secrets", "spelling")
 
 
 def queries() -> dict[str, Callable]:
