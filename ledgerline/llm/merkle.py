@@ -105,11 +105,14 @@ class Combiner:
         for c, h in zip(children, digests):
             self.event(tree, n, level - 1, parent * ARITY + c, h)
 
-    def pass_on(self) -> None:
-        """Open parents become rows."""
+    def pass_on(self, but: tuple | None = None) -> None:
+        """Open parents become rows, all but one; the rows of one parent follow each other, so each round merges them all."""
+        stays = self.open.pop(but, None)
         for key, known in self.open.items():
             self.out.append((*key, sorted(known), [known[c] for c in sorted(known)], False))
         self.open.clear()
+        if stays is not None:
+            self.open[but] = stays
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         out, self.out = self.out, []
@@ -130,7 +133,7 @@ def _combined(rows: DataFrame, n_trees: int, leaves: bool) -> DataFrame:
                 else:
                     found.merge(*row)
                 if len(found.open) > HELD:
-                    found.pass_on()
+                    found.pass_on((row[0], row[1], 1, row[2] // ARITY) if leaves else row[:4])
             yield from found.rows()
         found.pass_on()
         yield from found.rows()
