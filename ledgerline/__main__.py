@@ -79,7 +79,7 @@ def search(spark, c):
     """Queries (qid, query) over the BM25 index: a ranking (qid, rank, doc_id)."""
     found = lexical.open_index(spark, f"{c['index']}/bm25", {"k1": lexical.K1, "b": lexical.B, "tokenizer": "words"}, table(spark, c["corpus"]).count())
     asked = lexical.query_terms(table(spark, c["queries"]), "qid", F.col("query"))
-    return lexical.top(lexical.search(found, asked), c["depth"]).select(F.col("query").alias("qid"), "rank", F.col("doc").alias("doc_id"))
+    return lexical.best(found, asked, c["depth"]).select(F.col("query").alias("qid"), "rank", F.col("doc").alias("doc_id"))
 
 
 def rerank(spark, c):

@@ -2,10 +2,10 @@
 
 An index is three tables: postings (term, doc, tf, dl), document frequencies (term, df) and the corpus
 (n, avgdl). Made for one run, it has only postings of the terms that the queries use; saved, it has all
-of them sorted by term, so a later search reads the row groups of its terms only. Weights of the queries'
-terms go to the postings where they lie if they are few (their rows are counted first); then postings
-are not shuffled, and a document and query meet in one aggregate that starts in each task. Scores are
-rounded before they rank, so ties are ties, and end with the id.
+of them sorted by term, so a later search reads the row groups of its terms only. The best documents of
+each query come from block maxima (`best`, see blockmax): no row is made for a query and document that
+merely share a term. `search` gives the scores of all of these, for those who want whole lists. Scores
+are rounded before they rank, so ties are ties, and end with the id.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import spread, table
+from . import blockmax
 
 K1, B = 1.5, 0.75
-#: Rows of query terms (query, term) up to which they are sent to all tasks.
-SENT_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -92,21 +91,39 @@ def stats(docs: DataFrame) -> DataFrame:
     return frequencies(postings(docs)).join(F.broadcast(n)).select("term", "df", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
+def impact(avgdl):
+    """What a posting adds for a term of weight 1."""
+    return F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+
+
+def weighted(found: Index, queries: DataFrame) -> DataFrame:
+    """queries (query, term, qtf) -> (query, term, weight); terms that no document has are left out."""
+    known = queries.join(found.terms, "term").join(F.broadcast(found.corpus))  # one row
+    return known.select("query", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("weight"))
+
+
 def search(found: Index, queries: DataFrame) -> DataFrame:
-    """queries (query, term, qtf) -> (query, doc, score) for documents with a term in common; duplicates in queries count."""
-    few = queries.count() <= SENT_TERMS
-    asked = (F.broadcast if few else lambda df: df)(queries)
-    corpus = F.broadcast(found.corpus)  # one row
-    # few: a document frequency for each term that a query uses, so no more rows than were counted
-    terms = found.terms.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi") if few else found.terms
-    known = found.postings.join((F.broadcast if few else lambda df: df)(terms), "term").join(corpus)
-    weight = idf(F.col("n"), F.col("df")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    each = known.select("term", "doc", weight.alias("w")).join(asked, "term")
-    return each.groupBy("query", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score")).where("score > 0")
+    """queries (query, term, qtf) -> (query, doc, score) for all documents with a term in common; duplicates in queries count."""
+    known = found.postings.join(F.broadcast(found.corpus.select("avgdl")))  # one row
+    each = known.select("term", "doc", impact(F.col("avgdl")).alias("impact")).join(weighted(found, queries), "term")
+    return each.groupBy("query", "doc").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score")).where("score > 0")
+
+
+def partial(found: Index, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query in each part of the documents, with how much of the part was scored (blockmax.partial)."""
+    corpus = found.corpus.first()
+    parts = max(1, -(-int(corpus.n * (corpus.avgdl or 0)) // blockmax.PART))
+    postings = found.postings.select("doc", "term", impact(F.lit(corpus.avgdl)).alias("impact"))
+    return blockmax.partial(postings, weighted(found, queries), parts, k)
+
+
+def best(found: Index, queries: DataFrame, k: int) -> DataFrame:
+    """queries (query, term, qtf) -> (query, doc, score, rank): the k best documents of each, ties by id."""
+    return top(partial(found, queries, k).select("query", "doc", "score"), k)
 
 
 def scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """The same by an index made for these queries."""
+    """search by an index made for these queries."""
     return search(index(docs, queries.select("term").distinct()), queries)
 
 
@@ -123,7 +140,8 @@ def query_terms(df: DataFrame, key: str, text, tokenizer: Callable[[Column], Col
 def benchmark_run(spark: SparkSession, sf_dir: str, text=None, k: int = 10) -> DataFrame:
     """(query, doc, score, rank): benchmark items ranked over documents."""
     docs = documents(spread(table(spark, sf_dir, "documents")), "doc_id", F.col("text") if text is None else text)
-    return top(scores(docs, query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))), k)
+    asked = query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+    return best(index(docs, asked.select("term").distinct()), asked, k)
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,9 +124,9 @@ def benchmark_inputs(spark: SparkSession, sf_dir: str, config: Config) -> dict:
         return inputs
     docs = spread(table(spark, sf_dir, "documents"))
     text = F.concat_ws(" ", T.joined_metadata(*map(F.col, config.meta_prefix)), "text") if config.meta_prefix else F.col("text")
-    scored = lexical.scores(lexical.documents(docs, "doc_id", text), lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text")))
-    # the head of the list is all that is read of it, and read twice: a bounded table for each query
-    inputs["lexical_docs"] = dense.top(scored, config.depth, "doc").drop("rank")
+    terms = lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+    # the head of the list is all that is read of it
+    inputs["lexical_docs"] = lexical.best(lexical.index(lexical.documents(docs, "doc_id", text), terms.select("term").distinct()), terms, config.depth).drop("rank")
     if config.conditions:
         wanted = items.select("query", F.when(F.col("query") % 2 == 0, "en").otherwise("fr").alias("lang"), F.concat(F.lit("src"), (F.col("query") % 20).cast("string")).alias("source")).distinct()
         conditions = wanted.select("query", F.explode(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))).alias("field", "value"))
