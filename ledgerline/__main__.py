@@ -56,8 +56,11 @@ def meta_dict(spark, c):
 
 
 def conditions_of(spark, c):
-    """Conditions in query texts (qid, query)."""
-    return table(spark, c["queries"]).select("qid", conditions.extract(F.col("query"), conditions.rules()).alias("conditions"))
+    """Conditions in query texts (qid, query), by patterns and the values of the corpus's fields."""
+    docs = table(spark, c["corpus"])
+    values = conditions.long_form(docs, c["key"], {f: F.array(F.col(f).cast("string")) for f in c["fields"] if f in docs.columns}).select("field", "value").distinct()
+    texts = table(spark, c["queries"]).select("qid", F.col("query").alias("text"))
+    return conditions.extract(texts, "qid", conditions.entries(values))
 
 
 def index(spark, c):

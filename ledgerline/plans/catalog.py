@@ -11,6 +11,7 @@ MODULES: tuple[str, ...] = (
     "ledgerline.operators.metrics",
     "ledgerline.operators.dense",
     "ledgerline.operators.fusion",
+    "ledgerline.operators.dictionary",
     "ledgerline.operators.conditions",
     "ledgerline.operators.corpus",
     "ledgerline.operators.chunking",

@@ -67,18 +67,25 @@ def test_dates(spark):
 
 
 def test_extractor(spark):
-    by = conditions.rules(["국방위원회-제1반", "법제사법위원회"], ["국정감사"], ["홍길동", "통일부장관"], ["위원", "장관"], ["은", "이"], aliases={"법사위": ["법제사법위원회"]}, laws=["민법"])
-    got = one(spark, conditions.extract(V, by), "제21대 국회 제380회 제2차 국방위 국정감사에서 홍길동 위원이 말한 민 법과 법사위")
-    assert got == {"generation_number": ["21"], "meeting_number": ["제380회"], "session_number": ["제2차"], "committee_name": ["국방위원회", "법제사법위원회"], "meeting_name": ["국정감사"], "names": ["홍길동"], "law": ["민법"]}
-    assert set(conditions.rules()) == {"date", "year_ref", "generation_number", "meeting_number", "session_number"}
-    assert one(spark, conditions.extract(V, conditions.rules()), "nothing") == {}
+    values = [("committee_name", "국방위원회-제1반"), ("committee_name", "법제사법위원회"), ("meeting_name", "국정감사"), ("names", "홍길동"), ("names", "통일부장관"), ("names", "홍길"), ("law", "민법"), ("names", None)]
+    known = conditions.entries(spark.createDataFrame(values, "field string, value string"), ["위원", "장관"], ["은", "이"], aliases={"법사위": ["법제사법위원회"]})
+    texts = [
+        (1, "제21대 국회 제380회 제2차 국방위 국정감사에서 홍길동 위원이 말한 민 법과 법사위"), (2, "nothing"), (3, None), (4, ""),
+        (5, "김홍길동 홍길동가 홍길동은 홍길 통일부장관"), (6, "국민법 민ㆍ법"),
+    ]
+    got = {r.k: r.conditions for r in conditions.extract(spark.createDataFrame(texts, "k int, text string"), "k", known).collect()}
+    assert got[1] == {"generation_number": ["21"], "meeting_number": ["제380회"], "session_number": ["제2차"], "committee_name": ["국방위원회", "법제사법위원회"], "meeting_name": ["국정감사"], "names": ["홍길동"], "law": ["민법"]}
+    assert got[2] == {} and got[4] == {} and not got[3]
+    assert got[5] == {"names": ["홍길동", "홍길"]} and got[6] == {"law": ["민법"]}
+    plain = conditions.extract(spark.createDataFrame(texts[:2], "k int, text string"), "k").collect()
+    assert {r.k: set(r.conditions) for r in plain} == {1: {"generation_number", "meeting_number", "session_number"}, 2: set()}
     assert one(spark, F.size(conditions.agenda_laws(V)), "1. 국가재정법 일부개정법률안 2. 도로교통법안") == 2
 
 
 def test_condition_ranking(spark):
     counts = spark.createDataFrame([(0, "k", 1), (0, "m", 3), (0, "n", 3), (0, "o", 2), (0, "p", 3), (0, "r", 2)], "query int, doc string, matches int")
     scores = spark.createDataFrame([("k", 9.0), ("m", 2.0), ("n", 5.0), ("o", 1.0), ("p", 5.0)], "doc string, score double")
-    got = conditions.ranked(counts, scores, 4, 2).orderBy("rank").collect()
+    got = conditions.ranked(counts.where("matches >= 2").join(scores, "doc", "left"), 4).orderBy("rank").collect()
     assert [r.doc for r in got] == ["n", "p", "m", "o"]  # r has no score, k too few matches
 
 
