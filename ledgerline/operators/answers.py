@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import spread, table
+from .similarity import partial_ratio
 
 #: How much of the wanted information there is, and how much of an answer is given.
 KNOWN = {"absent": 0, "partial": 1, "present": 2}
@@ -128,22 +128,6 @@ def mismatches(answer: Column, contexts: Column, committees: list[str]) -> Colum
     return F.flatten(F.transform(T.sentences(answer), one))
 
 
-def partial_ratio(part: str, text: str) -> float:
-    """The best share of matching characters between a part and equally long pieces of a text (0 to 100).
-
-    Pieces start where matching blocks do; another library's ratio may differ in the last digits.
-    """
-    if not part or not text:
-        return 0.0
-    short, long = (part, text) if len(part) <= len(text) else (text, part)
-    matcher = difflib.SequenceMatcher(None, long, short, autojunk=False)
-    best = 0.0
-    for block in matcher.get_matching_blocks():
-        start = max(0, block.a - block.b)
-        best = max(best, difflib.SequenceMatcher(None, short, long[start : start + len(short)], autojunk=False).ratio())
-    return best * 100
-
-
 def quote_candidates(quote: str, parts: list[str], top: int = 3, window: int = 3) -> list[str]:
     """Windows of neighbouring sentences that are most like a quote, best first, ties in order."""
     last = max(0, len(parts) - window)

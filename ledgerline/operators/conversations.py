@@ -5,12 +5,14 @@ from __future__ import annotations
 import difflib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import table
+from .similarity import ratios
 
 TURNS, MOST_CHARS, REPEAT = 3, 3000, 0.6
 
@@ -32,17 +34,41 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def repetition(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, ratio): how alike an assistant's turn is to the one before."""
+def _followed(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = turns.where("role = 'assistant' and text is not null").withColumn("before", F.lag("text").over(w)).where("before is not null")
+    return pairs.select("conv_id", "turn", "before", "text")
+
+
+def repetition(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, ratio, alike): how alike an assistant's turn is to the one before.
+
+    ratio: share of characters in matching blocks of the sequence matcher; alike: of those in a longest common subsequence.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before, text = b.column("before").to_pylist(), b.column("text").to_pylist()
+            found = [round(ratio(x, y), 6) for x, y in zip(before, text)]
+            alike = np.round(ratios(before, text), 6)
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(found, pa.float64()), pa.array(alike)], names=["conv_id", "turn", "ratio", "alike"])
+
+    return _followed(turns).mapInArrow(run, "conv_id bigint, turn bigint, ratio double, alike double")
+
+
+def repeats(turns: DataFrame, least: float = REPEAT) -> DataFrame:
+    """(conv_id, turn, repeat): whether an assistant's turn repeats the one before, by a ratio of `least`.
+
+    Matching blocks are common subsequences, so only pairs that these leave possible go to the sequence matcher.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [round(ratio(x, y), 6) for x, y in zip(b.column("before").to_pylist(), b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(found, pa.float64())], names=["conv_id", "turn", "ratio"])
+            before, text = b.column("before").to_pylist(), b.column("text").to_pylist()
+            found = [bool(r >= least and ratio(x, y) >= least) for r, x, y in zip(ratios(before, text, least), before, text)]
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(found, pa.bool_())], names=["conv_id", "turn", "repeat"])
 
-    return pairs.select("conv_id", "turn", "before", "text").mapInArrow(run, "conv_id bigint, turn bigint, ratio double")
+    return _followed(turns).mapInArrow(run, "conv_id bigint, turn bigint, repeat boolean")
 
 
 def replay(turns: DataFrame, answer: Callable[[str, list], str | None]) -> DataFrame:

@@ -205,11 +205,18 @@ def dictionary_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences(docs, word_pairs(spark, sf_dir), "doc_id").select("doc_id", "form", "start", "end")
 
 
-#: The places of a part in a text, one after another: rows (id columns..., at), from 1.
-PLACES_SQL = """
-pairs as (select distinct array_to_string(w[i:i + 1], ' ') as form from (
-  select w, unnest(range(1, greatest(len(w), 2))) as i from (select string_split(text, ' ') as w from benchmark))),
-met as (select doc_id, form, strpos(text, form) as at from documents join pairs on contains(text, form) where form <> ''
-  union all select doc_id, form, at + strpos(substr(text, at + 1), form) from met join documents using (doc_id) where contains(substr(text, at + 1), form))"""
+
+
+def places_sql(parts: str, key: str, part: str) -> str:
+    """SQL of `places` (doc_id, key, part, p): where a part is in documents, one place after another, from 1. parts: a table of key and part."""
+    return f"""
+places as (select doc_id, {key}, {part}, strpos(text, {part}) as p from documents d join {parts} b on contains(d.text, b.{part}) where {part} <> ''
+  union all select doc_id, {key}, {part}, p + strpos(substr(text, p + 1), {part}) from places join documents using (doc_id) where contains(substr(text, p + 1), {part}))"""
+
+
 QUERIES = {"dictionary_places": dictionary_places}
-ORACLES = {"dictionary_places": f"""with recursive {PLACES_SQL} select doc_id, form, cast(at - 1 as int) as start, cast(at - 1 + length(form) as int) as "end" from met"""}
+ORACLES = {
+    "dictionary_places": f"""with recursive pairs as (select distinct array_to_string(w[i:i + 1], ' ') as form, 0 as k from (
+  select w, unnest(range(1, greatest(len(w), 2))) as i from (select string_split(text, ' ') as w from benchmark))),
+{places_sql('pairs', 'k', 'form')} select doc_id, form, cast(p - 1 as int) as start, cast(p - 1 + length(form) as int) as "end" from places"""
+}

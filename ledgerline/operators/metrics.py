@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
-from . import lexical
+from ..sources.tables import spread, table
+from . import dictionary, lexical
 
 KS, MRR_K = (1, 5, 10), 10
 
@@ -104,21 +104,17 @@ def answer_verdict(composite: tuple[float, float, float], safety: list[bool], le
     return "hold" if low <= 0 or point < least or not all(safety) else "adopt"
 
 
-def benchmark_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query, doc, lang): documents that hold a benchmark item's text.
+def item_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, query, start, end): all places of benchmark items in documents, overlapping ones too."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("form"))
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
+    return dictionary.occurrences(docs, items, "doc").join(items, "form").select("doc", "query", "start", "end")
 
-    Candidates share the item's longest word, an equi-join; whole texts decide.
-    """
-    from ..functions import text as T
 
-    longest = lambda words: F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    # of the words inside the item: those at its ends may be parts of words in a document
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"), T.tokens(F.col("text")).alias("t"))
-    items = items.select("query", "item", longest(F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(1)))).alias("word"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "lang")
-    words = docs.select("doc", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
-    near = words.join(items.select("query", "word"), "word").select("query", "doc").distinct()
-    return near.join(items.select("query", "item"), "query").join(docs, "doc").where(F.contains("text", "item")).select("query", "doc", "lang")
+def benchmark_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, doc, lang): documents that hold a benchmark item's text, of any length."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang")
+    return item_places(spark, sf_dir).select("query", "doc").distinct().join(docs, "doc").select("query", "doc", "lang")
 
 
 def recall_mrr_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .metrics import benchmark_gold
+from .dictionary import places_sql
+from .metrics import item_places
 
 LEAST_REPEAT = 21
 
@@ -64,12 +65,8 @@ def marked_up(text: str, spans: list[dict]) -> str:
 
 
 def item_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First places of benchmark items in documents."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"))
-    met = benchmark_gold(spark, sf_dir).select("doc", "query").join(items, "query").join(docs, "doc")
-    start = F.expr("locate(item, text)")
-    return met.select(F.col("doc").alias("doc_id"), F.col("query").alias("item_id"), (start - 1).alias("start"), (start - 1 + F.length("item")).alias("end"))
+    """All places of benchmark items in documents."""
+    return item_places(spark, sf_dir).select(F.col("doc").alias("doc_id"), F.col("query").alias("item_id"), "start", "end")
 
 
 def windows(spark: SparkSession, sf_dir: str, size: int = 500) -> DataFrame:
@@ -86,16 +83,16 @@ def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covered(item_spans(spark, sf_dir), "doc_id").join(docs, "doc_id").select("doc_id", "covered", F.round(F.col("covered") / F.col("n"), 6).alias("share"))
 
 
-SPANS_SQL = """
-s as (select d.doc_id, b.item_id, cast(strpos(d.text, b.text) - 1 as int) as start, cast(strpos(d.text, b.text) - 1 + length(b.text) as int) as "end", length(d.text) as n
-  from documents d join benchmark b on contains(d.text, b.text))"""
+SPANS_SQL = f"""
+items as (select item_id, text as piece from benchmark),{places_sql('items', 'item_id', 'piece')},
+s as (select doc_id, item_id, cast(p - 1 as int) as start, cast(p - 1 + length(piece) as int) as "end", length(text) as n from places join documents using (doc_id))"""
 QUERIES = {"span_overlap": span_overlap, "span_coverage": span_coverage}
 ORACLES = {
-    "span_overlap": f"""with {SPANS_SQL},
+    "span_overlap": f"""with recursive {SPANS_SQL},
 w as (select doc_id, unnest(range(0, length(text), 500)) as c_start, length(text) as n from documents where length(text) > 0)
 select s.doc_id, s.item_id, cast(c_start as int) as c_start, cast(greatest(start, c_start) - c_start as int) as s, cast(least("end", c_start + 500, w.n) - c_start as int) as e
 from s join w on w.doc_id = s.doc_id and start < least(c_start + 500, w.n) and "end" > c_start""",
-    "span_coverage": f"""with {SPANS_SQL},
-p as (select doc_id, n, unnest(range(start, "end")) as c from s)
-select doc_id, count(distinct c) as covered, round(count(distinct c) / max(n), 6) as share from p group by doc_id""",
+    "span_coverage": f"""with recursive {SPANS_SQL},
+c as (select doc_id, n, unnest(range(start, "end")) as c from s)
+select doc_id, count(distinct c) as covered, round(count(distinct c) / max(n), 6) as share from c group by doc_id""",
 }

@@ -171,7 +171,7 @@ def first_pools(pools: DataFrame, n: int, order: str = "order") -> DataFrame:
 
 def hints(statements: DataFrame, contexts: DataFrame, key: str = "qid") -> DataFrame:
     """statements (key, uid, text), contexts (key, n, text) -> (key, uid, n, hint): the sentence most like a statement, the first on ties."""
-    from .answers import partial_ratio
+    from .similarity import partial_ratio
 
     parts = contexts.select(key, "n", F.posexplode(T.pieces(F.col("text"))).alias("place", "part"))
     listed = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "place", "part"))).alias("parts"))
