@@ -2,7 +2,8 @@
 
 Queries are met in passes of at most PASS, each sent to the workers as one matrix of that bounded size.
 A worker multiplies it with batches of chunks and keeps the k best ids of each query as it goes, so a
-task gives k rows for each query however many chunks it has read, and no row is made for a pair.
+task gives k rows for each query however many chunks it has read, and no row is made for a pair. Where
+there are several passes, each is ranked and written and its matrix destroyed before the next one begins.
 Document scores need a document's chunks together: chunks are dealt and sorted by document, and the best
 scores of a document that a batch ends in go on to the next. Scores are rounded before they rank, so
 ties are ties, and end with the id.
@@ -10,13 +11,16 @@ ties are ties, and end with the id.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
 from ..sources.tables import table
 
 #: Every QUERY_STEP-th id is a query; queries of a pass, cells of a product at a time, documents of a list.
@@ -82,7 +86,7 @@ def document_scores(scores: np.ndarray, starts: np.ndarray, weights: tuple[float
     return np.sign(out) * np.floor(np.abs(out) * 1e6 + 0.5) / 1e6
 
 
-def _search_pass(found: DataFrame, names: np.ndarray, vectors: list[np.ndarray], k: int, weights: tuple[float, ...] | None) -> DataFrame:
+def _search_pass(found: DataFrame, names: np.ndarray, vectors: list[np.ndarray], k: int, weights: tuple[float, ...] | None) -> tuple[DataFrame, Broadcast]:
     by_dim = {}
     for i, v in enumerate(vectors):
         by_dim.setdefault(len(v), []).append(i)
@@ -124,7 +128,7 @@ def _search_pass(found: DataFrame, names: np.ndarray, vectors: list[np.ndarray],
             names = np.broadcast_to(own, real.shape)
             yield pa.RecordBatch.from_arrays([pa.array(names[real]), pa.array(b.ids[real]), pa.array(b.scores[real])], names=["query", "id", "score"])
 
-    return found.mapInArrow(run, "query bigint, id bigint, score double")
+    return found.mapInArrow(run, "query bigint, id bigint, score double"), sent
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int, weights: tuple[float, ...] | None = None) -> DataFrame:
@@ -137,15 +141,18 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, weights: tuple[float,
     found = chunks.select("chunk", "v") if weights is None else chunks.select("chunk", "doc", "v").repartition("doc").sortWithinPartitions("doc", "chunk")
     n = queries.count()
     parts = 1 if n <= PASS else -(-2 * n // PASS)
-    out = None
+    path = f"{shared_dir(queries.sparkSession)}/passes-{uuid.uuid4().hex}" if parts > 1 else None
+    out = queries.sparkSession.createDataFrame([], "query bigint, id bigint, score double")
     for p in range(parts):
         rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == p).select("query", "qv").toArrow()
         for at in range(0, rows.num_rows, PASS):
             part = rows.slice(at, PASS)
-            hits = _search_pass(found, part.column("query").to_numpy(), [np.array(v) for v in part.column("qv").to_pylist()], k, weights)
-            out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        out = queries.sparkSession.createDataFrame([], "query bigint, id bigint, score double")
+            out, sent = _search_pass(found, part.column("query").to_numpy(), [np.array(v) for v in part.column("qv").to_pylist()], k, weights)
+            if path:
+                top(out, k, "id").drop("rank").write.mode("append").parquet(path)
+                sent.destroy()
+    if path:
+        out = queries.sparkSession.read.schema("query bigint, id bigint, score double").parquet(path)
     return top(out, k, "id").select("query", F.col("id").alias(name), "score", "rank")
 
 

@@ -10,6 +10,7 @@ MODULES: tuple[str, ...] = (
     "ledgerline.operators.lexical",
     "ledgerline.operators.metrics",
     "ledgerline.operators.dense",
+    "ledgerline.operators.vector_blocks",
     "ledgerline.operators.fusion",
     "ledgerline.operators.dictionary",
     "ledgerline.operators.conditions",
