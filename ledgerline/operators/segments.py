@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files
+from ..sources.scratch import shared_dir
+from ..sources.tables import spread, table
 from . import lexical
 
 
@@ -170,3 +172,17 @@ def removable(spark: SparkSession, folder: str, settings: dict, oldest: int) ->
             kept |= {*found.segments, *found.deletions}
     fs, p = files._fs(spark, folder)
     return sorted(name for f in fs.listStatus(p) if (name := f.getPath().getName()).startswith(("segment-", "deletion-")) and name not in kept)
+
+
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items ranked over an index of all documents from which those that are labelled toxic were deleted."""
+    settings = {"k1": lexical.K1, "b": lexical.B, "tokenizer": "words"}
+    docs = lexical.documents(spread(table(spark, sf_dir, "documents")), "doc_id", F.col("text"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("doc"))
+    at = create(spark, f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}", settings).add(docs).delete(toxic)
+    asked = lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+    return lexical.best(at.index(), asked, 10).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", "rank")
+
+
+QUERIES = {"bm25_segments": bm25_segments}
+ORACLES = {"bm25_segments": f"""with {lexical.run_ctes().replace("as toks from documents)", "as toks from documents where doc_id not in (select doc_id from labels where toxic = 1))")} select item_id, doc_id, score, rank from run"""}

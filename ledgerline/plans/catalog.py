@@ -8,6 +8,7 @@ from importlib import import_module
 #: Modules that register queries, in order.
 MODULES: tuple[str, ...] = (
     "ledgerline.operators.lexical",
+    "ledgerline.operators.segments",
     "ledgerline.operators.metrics",
     "ledgerline.operators.dense",
     "ledgerline.operators.vector_blocks",
