@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Tokens of the default tokenizer.
 TOKEN = r"[\p{L}\p{N}]+"
+#: Fixed value: the form of a citation.
 CITATION = r"\[(\d+)\]"
 
 

@@ -37,6 +37,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("chunk"), F.expr("vec_id div 4").alias("doc"), "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
+def merged(chunks: DataFrame, n: int) -> DataFrame:
+    """An index of chunks n times as large, beside the one of chunks: n neighbours of a document become their mean; ids are below 0.
+
+    The last chunks of a document, where fewer than n are left, are in no larger one.
+    """
+    group = F.expr(f"chunk div {n}")
+    some = chunks.groupBy("doc", group.alias("g")).agg(F.sort_array(F.collect_list(F.struct("chunk", "v"))).alias("vs")).where(F.size("vs") == n)
+    some = some.where(F.size(F.array_distinct(F.transform("vs", lambda x: F.size(x["v"])))) == 1)
+    dims = F.sequence(F.lit(0), F.size(F.col("vs")[0]["v"]) - 1)
+    mean = F.transform(dims, lambda i: F.aggregate("vs", F.lit(0.0).cast("double"), lambda t, x: t + x["v"][i]) / n)
+    return some.select((-F.col("g") - 1).alias("chunk"), "doc", mean.alias("v"))
+
+
 def queries(spark: SparkSession, sf_dir: str, step: int = QUERY_STEP) -> DataFrame:
     """(query, qv, qlabel): the vectors whose id is divisible by step."""
     return chunks(spark, sf_dir).where(F.col("chunk") % step == 0).select(F.col("chunk").alias("query"), F.col("v").alias("qv"), F.col("label").alias("qlabel"))
@@ -86,18 +99,18 @@ def document_scores(scores: np.ndarray, starts: np.ndarray, weights: tuple[float
     return np.sign(out) * np.floor(np.abs(out) * 1e6 + 0.5) / 1e6
 
 
-def _search_pass(found: DataFrame, names: np.ndarray, vectors: list[np.ndarray], k: int, weights: tuple[float, ...] | None) -> tuple[DataFrame, Broadcast]:
+def _search_pass(found: DataFrame, names: np.ndarray, owns: np.ndarray, vectors: list[np.ndarray], k: int, weights: tuple[float, ...] | None) -> tuple[DataFrame, Broadcast]:
     by_dim = {}
     for i, v in enumerate(vectors):
         by_dim.setdefault(len(v), []).append(i)
-    sent = found.sparkSession.sparkContext.broadcast([(dim, names[at], np.stack([vectors[i] for i in at])) for dim, at in by_dim.items()])
+    sent = found.sparkSession.sparkContext.broadcast([(dim, names[at], owns[at], np.stack([vectors[i] for i in at])) for dim, at in by_dim.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [Best(len(own), k) for _, own, _ in sent.value]
-        held = [(np.zeros(0, np.int64), np.zeros((0, len(own)))) for _, own, _ in sent.value]
+        best = [Best(len(own), k) for _, _, own, _ in sent.value]
+        held = [(np.zeros(0, np.int64), np.zeros((0, len(own)))) for _, _, own, _ in sent.value]
         for b in batches:
             sizes = np.asarray(b.column("v").value_lengths())
-            for at, (dim, own, q) in enumerate(sent.value):
+            for at, (dim, _, own, q) in enumerate(sent.value):
                 rows = np.flatnonzero(sizes == dim)
                 if not len(rows):
                     continue
@@ -121,12 +134,11 @@ def _search_pass(found: DataFrame, names: np.ndarray, vectors: list[np.ndarray],
                         best[at].add(d[starts[:-1]], document_scores(s[:last], starts[:-1], weights))
                     rest = -np.sort(-s[last:], axis=0)[: len(weights)]
                     held[at] = (np.full(len(rest), d[last]), rest)
-        for b, (d, s), (_, own, _) in zip(best, held, sent.value):
+        for b, (d, s), (_, names, _, _) in zip(best, held, sent.value):
             if len(d):
                 b.add(d[:1], document_scores(s, np.zeros(1, np.int64), weights))
             real = b.scores > -np.inf
-            names = np.broadcast_to(own, real.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(names[real]), pa.array(b.ids[real]), pa.array(b.scores[real])], names=["query", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names, real.shape)[real]), pa.array(b.ids[real]), pa.array(b.scores[real])], names=["query", "id", "score"])
 
     return found.mapInArrow(run, "query bigint, id bigint, score double"), sent
 
@@ -135,7 +147,8 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, weights: tuple[float,
     """(query, chunk, score, rank) of the k best chunks of each query, or, with weights, (query, doc, score, rank).
 
     A document's score is the sum of weight i times its i-th best chunk score, (1.0,) for its best; fewer
-    chunks, fewer terms. A query never meets the chunk of its own id.
+    chunks, fewer terms. A query never meets the chunk of its own id, or that of its column `own` where there
+    is one; queries of several vectors have a row for each, under ids of their own, and share a pass.
     """
     name = "chunk" if weights is None else "doc"
     found = chunks.select("chunk", "v") if weights is None else chunks.select("chunk", "doc", "v").repartition("doc").sortWithinPartitions("doc", "chunk")
@@ -144,10 +157,10 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, weights: tuple[float,
     path = f"{shared_dir(queries.sparkSession)}/passes-{uuid.uuid4().hex}" if parts > 1 else None
     out = queries.sparkSession.createDataFrame([], "query bigint, id bigint, score double")
     for p in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == p).select("query", "qv").toArrow()
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == p).select("query", (F.col("own") if "own" in queries.columns else F.col("query")).alias("own"), "qv").toArrow()
         for at in range(0, rows.num_rows, PASS):
             part = rows.slice(at, PASS)
-            out, sent = _search_pass(found, part.column("query").to_numpy(), [np.array(v) for v in part.column("qv").to_pylist()], k, weights)
+            out, sent = _search_pass(found, part.column("query").to_numpy(), part.column("own").to_numpy(), [np.array(v) for v in part.column("qv").to_pylist()], k, weights)
             if path:
                 top(out, k, "id").drop("rank").write.mode("append").parquet(path)
                 sent.destroy()

@@ -15,11 +15,13 @@ from ..sources.tables import table
 WEEK = "월화수목금토일"
 AUDIT = "국정감사"
 SHOWN = "%d년 %d월 %d일(%s)"
+#: Fixed value: the numbers of a written date.
+WRITTEN = r"^(\d{4})\D+(\d+)\D+(\d+)"
 
 
 def day_of(written: Column) -> Column:
     """The day that the first three numbers of a written date name (the first has four digits); null if there is none."""
-    part = lambda i: F.nullif(F.regexp_extract(written, r"^(\d{4})\D+(\d+)\D+(\d+)", i), F.lit("")).cast("int")
+    part = lambda i: F.nullif(F.regexp_extract(written, WRITTEN, i), F.lit("")).cast("int")
     return F.try_make_timestamp(part(1), part(2), part(3), F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 

@@ -33,6 +33,9 @@ class Config:
     best_filter: bool = False
     rerank_depth: int = 0
     offsets: tuple[int, ...] = field(default=(-1, 0, 1))
+    #: Whether a rewritten query adds a dense and a BM25 list; chunks that a chunk of each further index spans.
+    rewrite: bool = False
+    sizes: tuple[int, ...] = ()
 
     def __post_init__(self):
         if self.conditions and not self.fuse_conditions and self.fusion != "score":
@@ -52,15 +55,21 @@ SMALL_K = replace(FILTERED, rrf_k=20)
 CONVEX = replace(FILTERED, fusion="score")
 CONVEX_UNFUSED = replace(CONVEX, fuse_conditions=False)
 RERANKED = replace(CONVEX_UNFUSED, rerank_depth=20)
+SIZES = replace(FILTERED, sizes=(2,))
+REWRITTEN = replace(SIZES, rewrite=True)
+REWRITTEN_CONVEX = replace(CONVEX, rewrite=True)
+#: Words of a rewritten item.
+REWRITE = 12
 PRESETS = {n.lower(): v for n, v in globals().items() if isinstance(v, Config)}
 
 
-def retrieve(config: Config, dense_docs: DataFrame, lexical_docs: DataFrame | None = None, matches: DataFrame | None = None, second: DataFrame | None = None, match_scores: DataFrame | None = None) -> DataFrame:
-    """(query, doc, rank, fused_rank, rank_0, rank_1, rank_2, matched).
+def retrieve(config: Config, dense_docs: DataFrame, lexical_docs: DataFrame | None = None, matches: DataFrame | None = None, second: DataFrame | None = None, match_scores: DataFrame | None = None, rewritten: list[DataFrame] = ()) -> DataFrame:
+    """(query, doc, rank, fused_rank, rank_0, rank_1, rank_2, matched); with rewritten lists rank_3 and rank_4, too.
 
     dense_docs, lexical_docs: (query, doc, score); matches: (query, doc, matches) of conditions;
     second: (query, doc, second) of a reranker; match_scores: dense scores of the matched documents, where
-    dense_docs has only the head of its list. Without a list its ranks are null.
+    dense_docs has only the head of its list; rewritten: (query, doc, score) of the rewritten queries, dense
+    and BM25, which follow the other lists. Without a list its ranks are null.
     """
     named = lambda df, i: df.select("query", F.lit(i).alias("list_no"), "rank", "doc", F.col("score").cast("double").alias("score"))
     lists = [named(dense.top(dense_docs, config.depth if config.hybrid else config.top_k, "doc"), 0)]
@@ -78,6 +87,9 @@ def retrieve(config: Config, dense_docs: DataFrame, lexical_docs: DataFrame | No
             matched = best.where("matches = most").select("query", "doc", F.lit(True).alias("matched"))
         if config.fuse_conditions and config.fusion == "rrf":
             lists.append(named(conditions.withColumn("score", F.col("matches")), 2))
+    more = [named(dense.top(x.where("score > 0") if i else x, config.depth, "doc"), 3 + i) for i, x in enumerate(rewritten)]
+    if config.hybrid:
+        lists += more
     every = lists[0]
     for x in lists[1:]:
         every = every.unionByName(x)
@@ -87,8 +99,12 @@ def retrieve(config: Config, dense_docs: DataFrame, lexical_docs: DataFrame | No
         fused = fusion.rrf(every, config.rrf_k, list(config.weights) if config.weights else None).select("query", "doc", "rank")
     else:
         fused = fusion.convex(every.where("list_no < 2"), config.alpha).select("query", "doc", "rank")
+        both = fused.withColumns({"list_no": F.lit(0), "score": F.lit(0.0)})
         if conditions is not None and config.fuse_conditions:
-            both = fused.withColumns({"list_no": F.lit(0), "score": F.lit(0.0)}).unionByName(named(conditions.withColumn("score", F.col("matches")), 1))
+            both = both.unionByName(named(conditions.withColumn("score", F.col("matches")), 2))
+        for x in more:
+            both = both.unionByName(x)
+        if more or (conditions is not None and config.fuse_conditions):
             fused = fusion.rrf(both, config.rrf_k).select("query", "doc", "rank")
         elif conditions is not None and matched is not None:
             fused = fusion.append_missing(fused, conditions.join(matched, ["query", "doc"], "left_semi").select("query", "doc", "rank"))
@@ -102,31 +118,51 @@ def retrieve(config: Config, dense_docs: DataFrame, lexical_docs: DataFrame | No
         out = out.withColumn("matched", F.lit(False))
     out = out.where(F.col("rank") <= config.top_k)
     # one join for the ranks of all lists
-    ranks = every.groupBy("query", "doc").agg(*(F.max(F.when(F.col("list_no") == i, F.col("rank"))).alias(f"rank_{i}") for i in range(3)))
+    ranks = every.groupBy("query", "doc").agg(*(F.max(F.when(F.col("list_no") == i, F.col("rank"))).alias(f"rank_{i}") for i in range(5)))
     out = out.join(ranks, ["query", "doc"], "left")
-    return out.select("query", "doc", "rank", "fused_rank", "rank_0", "rank_1", "rank_2", "matched")
+    return out.select("query", "doc", "rank", "fused_rank", *(f"rank_{i}" for i in range(5 if rewritten else 3)), "matched")
 
 
 def benchmark_inputs(spark: SparkSession, sf_dir: str, config: Config) -> dict:
     """Benchmark items over documents: vectors, BM25, and source and language as conditions.
 
-    Chunks are the embeddings, four to a document; an item's vector is the one of its number.
+    Chunks are the embeddings, four to a document, and beside them those of further indexes; an item's vector
+    is the one of its number. Rewritten, an item has its first REWRITE words and the vector of the next number.
+    Original and rewritten queries go through each index in one pass.
     """
     from ..functions import text as T
     from ..operators.conditions import long_form, match_counts
 
-    every = dense.chunks(spark, sf_dir)
+    base = dense.chunks(spark, sf_dir).select("chunk", "doc", "v")
+    every = base
+    for n in config.sizes:
+        every = every.unionByName(dense.merged(base, n))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    asked = every.select(F.col("chunk").alias("query"), F.col("v").alias("qv")).join(items.select("query").distinct(), "query", "left_semi")
+    ids = items.select("query").distinct()
+    vectors = base.select(F.col("chunk").alias("own"), F.col("v").alias("qv"))
+    asked = ids.join(vectors, ids["query"] == vectors["own"]).select("query", "own", "qv", F.lit(0).alias("variant"))
+    if config.rewrite:
+        asked = asked.unionByName(ids.join(vectors, ids["query"] + 1 == vectors["own"]).select("query", "own", "qv", F.lit(1).alias("variant")))
+    # the list's number is a part of the query's
+    one = asked.select((F.col("query") * 2 + F.col("variant")).alias("query"), "own", "qv")
+    apart = lambda df: [df.where(F.col("query") % 2 == i).withColumn("query", F.expr("query div 2")) for i in (0, 1)]
     weights = config.doc_weights or (1.0,)
-    inputs = {"dense_docs": dense.search(every, asked, config.depth if config.hybrid else config.top_k, weights).drop("rank")}
+    found = apart(dense.search(every, one, config.depth if config.hybrid else config.top_k, weights).drop("rank"))
+    inputs = {"dense_docs": found[0]}
     if not config.hybrid:
         return inputs
     docs = spread(table(spark, sf_dir, "documents"))
     text = F.concat_ws(" ", T.joined_metadata(*map(F.col, config.meta_prefix)), "text") if config.meta_prefix else F.col("text")
-    terms = lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+    texts = items.select((F.col("query") * 2).alias("query"), "text")
+    if config.rewrite:
+        texts = texts.unionByName(items.select((F.col("query") * 2 + 1).alias("query"), F.concat_ws(" ", F.slice(F.split("text", " "), 1, REWRITE)).alias("text")))
+    terms = lexical.query_terms(texts, "query", F.col("text"))
     # the head of the list is all that is read of it
-    inputs["lexical_docs"] = lexical.best(lexical.index(lexical.documents(docs, "doc_id", text), terms.select("term").distinct()), terms, config.depth).drop("rank")
+    ranked = apart(lexical.best(lexical.index(lexical.documents(docs, "doc_id", text), terms.select("term").distinct()), terms, config.depth).drop("rank"))
+    inputs["lexical_docs"] = ranked[0]
+    if config.rewrite:
+        inputs["rewritten"] = [found[1], ranked[1]]
+    asked = asked.where("variant = 0").select("query", "qv")
     if config.conditions:
         wanted = items.select("query", F.when(F.col("query") % 2 == 0, "en").otherwise("fr").alias("lang"), F.concat(F.lit("src"), (F.col("query") % 20).cast("string")).alias("source")).distinct()
         conditions = wanted.select("query", F.explode(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))).alias("field", "value"))
@@ -146,13 +182,16 @@ def _query(name: str):
     return run
 
 
-def _sql(meta: bool = False, conditions: bool = False, best: bool = False, fusion: str = "rrf") -> str:
-    """fusion: rrf, convex (conditions appended), or none (the dense list alone)."""
+def _sql(meta: bool = False, conditions: bool = False, best: bool = False, fusion: str = "rrf", sizes: bool = False, rewrite: bool = False) -> str:
+    """fusion: rrf, convex (conditions appended), or none (the dense list alone); sizes: an index of pairs of chunks, too; rewrite: five lists, by rrf."""
     text = "concat_ws(' ', nullif(lang, ''), nullif(source, ''), text)" if meta else "text"
     head = "select query, doc, rank, score from (select *, row_number() over (partition by query order by score desc, doc) as rank from {0}) where rank <= {1}"
-    vectors = """
+    pairs = "union all select -1 - a.chunk // 2, a.doc, list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] + b.v[i]) / 2) from e a join e b on b.chunk = a.chunk + 1 where a.chunk % 2 = 0"
+    vectors = f"""
 e as (select vec_id as chunk, vec_id // 4 as doc, cast(embedding as double[]) as v from embeddings where embedding is not null),
-v as (select q.chunk as query, c.doc, max(round(list_dot_product(c.v, q.v), 6)) as score from e c join e q on c.chunk <> q.chunk where q.chunk in (select item_id from benchmark) group by all)"""
+x as (select * from e {pairs if sizes else ''}),
+v as (select q.chunk as query, c.doc, max(round(list_dot_product(c.v, q.v), 6)) as score from x c join e q on c.chunk <> q.chunk where q.chunk in (select item_id from benchmark) group by all),
+v2 as (select q.chunk - 1 as query, c.doc, max(round(list_dot_product(c.v, q.v), 6)) as score from x c join e q on c.chunk <> q.chunk where q.chunk - 1 in (select item_id from benchmark) group by all)"""
     if fusion == "none":
         return f"""with {vectors}
 select query, doc, cast(rank as integer) as rank, cast(rank as integer) as fused_rank, cast(rank as integer) as rank_0, cast(null as integer) as rank_1, cast(null as integer) as rank_2, false as matched
@@ -165,9 +204,8 @@ c as (select mm.query, mm.doc, mm.matches, v.score from mm left join v on v.quer
 l2 as (select query, 2 as list_no, doc, rank, matches as score from (select *, row_number() over (partition by query order by matches desc, score desc nulls last, doc) as rank from c) where rank <= 100),
 best as (select query, doc from mm where most >= 2 and matches = most),"""
     if fusion == "rrf":
-        each = """select query, doc, min(list_no * 1000 + rank) as seen,
-  round(coalesce(max(case when list_no = 0 then 1.0 / (60 + rank) end), 0) + coalesce(max(case when list_no = 1 then 1.0 / (60 + rank) end), 0) + coalesce(max(case when list_no = 2 then 1.0 / (60 + rank) end), 0), 9) as score
-  from lists group by all"""
+        terms = " + ".join(f"coalesce(max(case when list_no = {i} then 1.0 / (60 + rank) end), 0)" for i in range(5 if rewrite else 3))
+        each = f"""select query, doc, min(list_no * 1000 + rank) as seen, round({terms}, 9) as score from lists group by all"""
         more = ""
     else:
         each = """select query, doc, min(list_no * 1000 + rank) as seen,
@@ -178,21 +216,31 @@ best as (select query, doc from mm where most >= 2 and matches = most),"""
   from l2 join best on best.query = l2.query and best.doc = l2.doc left join (select query, count(*) as last from each group by 1) z on z.query = l2.query
   where not exists (select 1 from each x where x.query = l2.query and x.doc = l2.doc)"""
     fused_conditions = conditions and fusion == "rrf"
-    return f"""with {lexical.run_ctes(text)},
-s as (select item_id as query, doc_id as doc, score from scored),{vectors},
+    ctes = lexical.run_ctes(text)
+    again = ""
+    if rewrite:  # the same scores for the rewritten items
+        again = ctes[ctes.index("\nq as") : ctes.index("\nrun as")].replace("\nq as", "\nq2 as").replace("\nscored as", "\nscored2 as").replace("from q join", "from q2 q join")
+        again = again.replace("lower(text)", f"lower(array_to_string(string_split(text, ' ')[1:{REWRITE}], ' '))")
+        again += f"""
+s2 as (select item_id as query, doc_id as doc, score from scored2),
+l3 as (select query, 3 as list_no, doc, rank, score from ({head.format('v2', 100)})),
+l4 as (select query, 4 as list_no, doc, rank, score from ({head.format('s2', 100)})),"""
+    return f"""with {ctes},
+s as (select item_id as query, doc_id as doc, score from scored),{vectors},{again}
 l0 as (select query, 0 as list_no, doc, rank, score from ({head.format('v', 100)})),
 l1 as (select query, 1 as list_no, doc, rank, score from ({head.format('s', 100)})),{cond}
-lists as (select * from l0 union all select * from l1 {'union all select * from l2' if fused_conditions else ''}),
+lists as (select * from l0 union all select * from l1 {'union all select * from l2' if fused_conditions else ''} {'union all select * from l3 union all select * from l4' if rewrite else ''}),
 each as ({each}),
 fused as (select query, doc, row_number() over (partition by query order by score desc, seen) as fused_rank from each {more}),
 f as (select f.query, f.doc, f.fused_rank, {'best.doc is not null' if best else 'false'} as matched from fused f left join best on best.query = f.query and best.doc = f.doc),
 r as (select *, row_number() over (partition by query order by case when matched then 0 else 1 end, fused_rank) as rank from f)
 select r.query, r.doc, cast(r.rank as integer) as rank, cast(fused_rank as integer) as fused_rank, cast(l0.rank as integer) as rank_0, cast(l1.rank as integer) as rank_1,
-  {'cast(l2.rank as integer)' if fused_conditions else 'cast(null as integer)'} as rank_2, matched
-from r left join l0 on l0.query = r.query and l0.doc = r.doc left join l1 on l1.query = r.query and l1.doc = r.doc left join l2 on l2.query = r.query and l2.doc = r.doc where r.rank <= 10"""
+  {'cast(l2.rank as integer)' if fused_conditions else 'cast(null as integer)'} as rank_2, {'cast(l3.rank as integer) as rank_3, cast(l4.rank as integer) as rank_4,' if rewrite else ''} matched
+from r left join l0 on l0.query = r.query and l0.doc = r.doc left join l1 on l1.query = r.query and l1.doc = r.doc left join l2 on l2.query = r.query and l2.doc = r.doc
+{'left join l3 on l3.query = r.query and l3.doc = r.doc left join l4 on l4.query = r.query and l4.doc = r.doc' if rewrite else ''} where r.rank <= 10"""
 
 
-QUERIES = {f"retrieve_{n}": _query(n) for n in ("dense", "hybrid", "prefixed", "conditions", "filtered", "convex_unfused")}
+QUERIES = {f"retrieve_{n}": _query(n) for n in ("dense", "hybrid", "prefixed", "conditions", "filtered", "convex_unfused", "sizes", "rewritten")}
 ORACLES = {
     "retrieve_dense": _sql(fusion="none"),
     "retrieve_hybrid": _sql(),
@@ -200,4 +248,6 @@ ORACLES = {
     "retrieve_conditions": _sql(True, True),
     "retrieve_filtered": _sql(True, True, True),
     "retrieve_convex_unfused": _sql(True, True, True, "convex"),
+    "retrieve_sizes": _sql(True, True, True, sizes=True),
+    "retrieve_rewritten": _sql(True, True, True, sizes=True, rewrite=True),
 }
