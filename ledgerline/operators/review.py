@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import scratch
 from ..sources.tables import table
 
 
@@ -66,10 +67,18 @@ def swapped_name(answer: Column, names: Column) -> Column:
 
 
 def off_topic(answers: DataFrame, key: str) -> DataFrame:
-    """Each answer goes to the question before it in order of keys, the first to the last: a rotation."""
-    order = Window.orderBy(key)
-    last = answers.orderBy(key).limit(1).select(F.col("answer").alias("_first"))
-    return answers.withColumn("_next", F.lead("answer").over(order)).join(F.broadcast(last)).withColumn("answer", F.coalesce("_next", "_first")).drop("_next", "_first")
+    """Each answer goes to the question before it in order of keys, the first to the last: a rotation.
+
+    Keys, which are unique, are sorted in ranges; a range's last answer comes from the first of the next one.
+    """
+    ordered = answers.repartitionByRange(key).sortWithinPartitions(key).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    ordered = scratch(ordered, "rotated")
+    # one row a range
+    order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = ordered.groupBy("_part").agg(F.min_by(F.struct("answer"), "_row").alias("_first"))
+    firsts = firsts.select("_part", F.coalesce(F.lead("_first").over(Window.orderBy("_part")), F.first("_first").over(order)).alias("_after"))
+    moved = ordered.withColumn("_next", F.lead(F.struct("answer")).over(Window.partitionBy("_part").orderBy("_row"))).join(firsts, "_part")
+    return moved.withColumn("answer", F.coalesce("_next", "_after")["answer"]).select(*answers.columns)
 
 
 def compared(cases: DataFrame, base: DataFrame, key: str) -> DataFrame:
@@ -199,8 +208,16 @@ def perturbed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.length(unsupported(F.col("text"), "It was never so.")).cast("bigint").alias("longer"), F.sha1(swapped.cast("binary")).alias("swapped"))
 
 
-QUERIES = {"fill_profile": fill_profile_query, "metric_diffs": metric_diffs, "config_sweep": config_sweep, "checkbox_forms": checkbox_forms, "perturbed_answers": perturbed_answers}
+def off_topic_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns with the text of the next one, in order of conversations and turns."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.struct("conv_id", "turn").alias("key"), F.col("text").alias("answer"))
+    return off_topic(turns, "key").select("conv_id", "turn", F.sha1(F.col("answer").cast("binary")).alias("digest"))
+
+
+QUERIES = {"fill_profile": fill_profile_query, "metric_diffs": metric_diffs, "config_sweep": config_sweep, "checkbox_forms": checkbox_forms, "perturbed_answers": perturbed_answers, "off_topic_answers": off_topic_answers}
 ORACLES = {
+    "off_topic_answers": """select conv_id, turn, sha1(case when row_number() over w = count(*) over () then first_value(text) over w else lead(text) over w end) as digest
+from conversations where role = 'assistant' window w as (order by conv_id, turn)""",
     "fill_profile": " union all ".join(f"select '{c}' as field, count(*) filter (trim({c}::varchar) <> '') as filled, count(*) filter (trim({c}::varchar) = '') as \"empty\", count(*) filter ({c} is null) as missing from documents" for c in ("doc_id", "lang", "source", "n_chars")),
     "metric_diffs": """with l as (select l.*, d.lang from labels l join documents d using (doc_id)), m as (select a.lang, b.quality - a.quality as q, b.toxic - a.toxic as t from l a join l b on a.doc_id = b.doc_id - 40)
 select lang, round(avg(q), 6) as quality, count(q) as n_quality, round(avg(t), 6) as toxic, count(t) as n_toxic from m group by grouping sets ((), (lang))""",
