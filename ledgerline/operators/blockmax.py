@@ -84,13 +84,13 @@ class Part:
         return docs[kept], scores[kept], len(order), at
 
 
-def partial(postings: DataFrame, queries: DataFrame, parts: int, k: int) -> DataFrame:
-    """postings (doc, term, impact), queries (query, term, weight) -> (query, doc, score, part, runs, scored).
+def partial(postings: DataFrame, queries: DataFrame, parts: int, k: int, n_terms: int) -> DataFrame:
+    """postings (doc, term, impact), queries (query, term, weight), n_terms of them -> (query, doc, score, part, runs, scored).
 
     At most k rows for each query and part; runs and scored tell how much of the part was looked at.
     """
     kind = {c: df.schema[c].dataType.simpleString() for df, c in ((postings, "doc"), (queries, "query"))}
-    blocks, span = max(1, -(-queries.count() // ASKED)), SPAN
+    blocks, span = max(1, -(-n_terms // ASKED)), SPAN
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     every = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("bigint"))
     wanted = asked.select("term", F.col("block").alias("of")).distinct()

@@ -96,25 +96,24 @@ def impact(avgdl):
     return F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
 
 
-def weighted(found: Index, queries: DataFrame) -> DataFrame:
+def weighted(terms: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """queries (query, term, qtf) -> (query, term, weight); terms that no document has are left out."""
-    known = queries.join(found.terms, "term").join(F.broadcast(found.corpus))  # one row
-    return known.select("query", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    return queries.join(terms, "term").select("query", "term", (F.col("qtf") * idf(F.lit(n), F.col("df"))).alias("weight"))
 
 
 def search(found: Index, queries: DataFrame) -> DataFrame:
     """queries (query, term, qtf) -> (query, doc, score) for all documents with a term in common; duplicates in queries count."""
-    known = found.postings.join(F.broadcast(found.corpus.select("avgdl")))  # one row
-    each = known.select("term", "doc", impact(F.col("avgdl")).alias("impact")).join(weighted(found, queries), "term")
+    corpus = found.corpus.first()
+    each = found.postings.select("term", "doc", impact(F.lit(corpus.avgdl)).alias("impact")).join(weighted(found.terms, queries, corpus.n), "term")
     return each.groupBy("query", "doc").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score")).where("score > 0")
 
 
 def partial(found: Index, queries: DataFrame, k: int) -> DataFrame:
     """The k best of each query in each part of the documents, with how much of the part was scored (blockmax.partial)."""
-    corpus = found.corpus.first()
+    corpus = found.corpus.first()  # one row, read once
     parts = max(1, -(-int(corpus.n * (corpus.avgdl or 0)) // blockmax.PART))
     postings = found.postings.select("doc", "term", impact(F.lit(corpus.avgdl)).alias("impact"))
-    return blockmax.partial(postings, weighted(found, queries), parts, k)
+    return blockmax.partial(postings, weighted(found.terms, queries, corpus.n), parts, k, queries.count())
 
 
 def best(found: Index, queries: DataFrame, k: int) -> DataFrame:
