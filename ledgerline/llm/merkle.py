@@ -277,7 +277,7 @@ def op11_sql(depth: int = 7, top: int = 2) -> str:
     steps = [f"s{k}" for k in range(depth)] + [f"t{k}" for k in range(top)]
     return f"""
 with d as (
-  select doc_id, lang, {leaf('text')} as h, case when {crc} % 3 = 0 then {leaf(lower)} end as changed from documents
+  select doc_id, lang, {leaf('text')} as h, case when doc_id is not null and {crc} % 3 = 0 then {leaf(lower)} end as changed from documents
 ), o as (select *, row_number() over (partition by lang order by doc_id nulls first, h) - 1 as i from d),
 {_levels('s', 'o', 'lang', depth)},
 u as (select lang, h, 0 as one, row_number() over (order by lang nulls first) - 1 as i from s_root),

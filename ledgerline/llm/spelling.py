@@ -173,9 +173,9 @@ with recursive runs as (
   select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as c
   from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as r from documents) where length(r) >= {LENGTH} group by all
 ), digest as (
-  select run, c, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(
+  select run, c, case when doc_id is not null then xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(
     regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda b: [cast('0x' || b as bigint), 0, 0, 0, 0, 0, 0, 0]))),
-    lambda s, b: xor(xor(s, b) >> 1, 3988292384 * (xor(s, b) & 1)))) as h from runs
+    lambda s, b: xor(xor(s, b) >> 1, 3988292384 * (xor(s, b) & 1)))) end as h from runs
 ), words as (
   select word, cast(sum(c) as bigint) as n from (
     select c, case when h % {TYPOS} = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from digest

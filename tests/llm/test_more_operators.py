@@ -93,7 +93,7 @@ def langs(n, names):
 @pytest.mark.parametrize(
     ("texts", "lang"),
     [
-        ([(i, ("Ab " if i % 2 else "ab ") + str(i)) for i in range(70)] + EDGE, {i: [None, "de", "é", "fr"][i % 4] for i in range(70)}),
+        ([(i, ("Ab " if i % 2 else "ab ") + str(i)) for i in range(70)] + [(None, "Capitals And No Id"), *EDGE], {i: [None, "de", "é", "fr"][i % 4] for i in range(70)}),
         ([(1, "One leaf")], {1: None}),
         ([(i, "Same") for i in range(9)], {i: "en" for i in range(9)}),
         ([(7, "Copy")] * 70, {7: "en"}),  # equal rows
@@ -232,7 +232,7 @@ def test_secrets(spark, tmp_path, edge):
     columns = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
     assert sorted((tuple(r[c] for c in columns) for r in got), key=repr) == sorted(want, key=repr)
     by_id = {r["doc_id"]: r for r in got}
-    assert by_id[505]["n_guess"] == 2 and by_id[503]["n_access"] == 2 and by_id[506]["n_assign"] == 2 and by_id[504]["n_hex"] == 2
+    assert by_id[505]["n_guess"] == 2 and by_id[503]["n_access"] == 2 and by_id[506]["n_assign"] == 1 and by_id[504]["n_hex"] == 2
 
 
 def cost(value, ranks):
@@ -246,7 +246,8 @@ def test_secrets_of_nothing(spark, tmp_path, nothing):
 def test_long_values(spark, tmp_path):
     folder = written(documents(spark, [(1, "token=" + "aB3$" * 20_000), (2, "secret: " + "x" * 50_000), (3, "pwd=" + "".join(chr(97 + i * i % 26) for i in range(3000)))]), tmp_path)
     got = {r["doc_id"]: r["n_guess"] for r in rows(registry.queries()["op12_secrets"](spark, folder))}
-    assert got == {1: 0, 2: 0, 3: 1}
+    # a block of 10 ** 6 guesses, 20,000 times: some 10 ** 11 guesses
+    assert got == {1: 1, 2: 0, 3: 1}
 
 
 # 13: spelling
@@ -309,7 +310,7 @@ def test_spelling(spark, tmp_path, edge):
     got = registry.queries()["op13_spelling"](spark, folder)
     assert tuple(got.columns) == SPELLING
     assert sorted(tuple(r[c] for c in SPELLING) for r in rows(got)) == want
-    assert {r[0]: r[2] for r in want}["chaina"] == "chainabc" and any(r[4] > 5 for r in want)
+    assert {r[0]: r[2] for r in want}["chaina"] == "chainabc" and any(r[4] > 1 for r in want)
     assert sorted(duck(registry.oracles()["op13_spelling"], folder, SPELLING)) == want
 
 
