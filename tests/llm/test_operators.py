@@ -653,4 +653,4 @@ def test_digests(spark, edge, nothing):
 
 
 def test_registry():
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 14)]
