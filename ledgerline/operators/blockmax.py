@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a part of the documents, rows (query, term) of a block of queries, documents of a run.
-PART, ASKED, SPAN = 2_000_000, 200_000, 64
+#: Tokens of a part of the documents at most (a document is not cut), and at least; rows (query, term) of a block of queries; documents of a run.
+PART, LEAST, ASKED, SPAN = 2_000_000, 100_000, 200_000, 64
 #: Runs that are scored at first; each further step takes twice as many.
 FIRST = 4
 #: Scores are rounded to so many digits before they rank; a bound this near to the k-th score is still looked at.

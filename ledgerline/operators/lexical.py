@@ -111,7 +111,9 @@ def search(found: Index, queries: DataFrame) -> DataFrame:
 def partial(found: Index, queries: DataFrame, k: int) -> DataFrame:
     """The k best of each query in each part of the documents, with how much of the part was scored (blockmax.partial)."""
     corpus = found.corpus.first()  # one row, read once
-    parts = max(1, -(-int(corpus.n * (corpus.avgdl or 0)) // blockmax.PART))
+    tokens, cores = int(corpus.n * (corpus.avgdl or 0)), queries.sparkSession.sparkContext.defaultParallelism
+    # smaller parts where there would be fewer than cores
+    parts = max(1, -(-tokens // blockmax.PART), min(cores, tokens // blockmax.LEAST))
     postings = found.postings.select("doc", "term", impact(F.lit(corpus.avgdl)).alias("impact"))
     return blockmax.partial(postings, weighted(found.terms, queries, corpus.n), parts, k, queries.count())
 
