@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +15,10 @@ from ..sources.tables import table
 from .similarity import ratios
 
 TURNS, MOST_CHARS, REPEAT = 3, 3000, 0.6
+#: Lengths of the substrings by which the longest block is looked for, one after another.
+GRAMS = (8, 4, 2, 1)
+#: Tasks for each core that compare texts.
+WAVES = 4
 
 
 def clean_turns(turns: DataFrame) -> DataFrame:
@@ -30,14 +34,55 @@ def history(turns: DataFrame, n: int = TURNS) -> DataFrame:
     return clean_turns(turns).withColumn("history", before).where("role = 'user'")
 
 
+def _longest(a: str, at: dict[str, list[int]], gram: int, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """The longest block of `gram` characters or more in a[alo:ahi] and b[blo:bhi], the first in a and then in b; at: places of b's grams."""
+    besti, bestj, best, last, end = alo, blo, 0, {}, bhi - gram + 1
+    for i in range(alo, ahi - gram + 1):
+        now, places = {}, at.get(a[i : i + gram])
+        if places:
+            for j in places[bisect_left(places, blo) : bisect_left(places, end)]:
+                k = now[j] = last.get(j - 1, 0) + 1
+                if k > best:
+                    besti, bestj, best = i - k + 1, j - k + 1, k
+        last = now
+    return besti, bestj, best and best + gram - 1
+
+
 def ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    """difflib.SequenceMatcher(None, a, b, autojunk=False).ratio().
+
+    The longest block is looked for by its longer substrings first, which have few places; where there is
+    none, the parts have none either.
+    """
+    if not a and not b:
+        return 1.0
+    known: dict[int, dict[str, list[int]]] = {}
+    left, matched = [(0, len(a), 0, len(b), 0)], 0
+    while left:
+        alo, ahi, blo, bhi, level = left.pop()
+        while level < len(GRAMS):
+            gram = GRAMS[level]
+            if gram not in known:
+                at = known[gram] = {}
+                for j in range(len(b) - gram + 1):
+                    at.setdefault(b[j : j + gram], []).append(j)
+            i, j, size = _longest(a, known[gram], gram, alo, ahi, blo, bhi)
+            if size:
+                matched += size
+                if alo < i and blo < j:
+                    left.append((alo, i, blo, j, level))
+                if i + size < ahi and j + size < bhi:
+                    left.append((i + size, ahi, j + size, bhi, level))
+                break
+            level += 1
+    return 2 * matched / (len(a) + len(b))
 
 
 def _followed(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = turns.where("role = 'assistant' and text is not null").withColumn("before", F.lag("text").over(w)).where("before is not null")
-    return pairs.select("conv_id", "turn", "before", "text")
+    # the comparison is the work, by pair and not by conversation; a given number of tasks is not made smaller for few bytes
+    return pairs.select("conv_id", "turn", "before", "text").repartition(WAVES * turns.sparkSession.sparkContext.defaultParallelism)
 
 
 def repetition(turns: DataFrame) -> DataFrame:

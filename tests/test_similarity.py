@@ -1,10 +1,12 @@
 """Bit-parallel similarity against the quadratic table."""
 
+import difflib
 import difflib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.operators import answers, conversations, similarity
 
@@ -84,3 +86,28 @@ def test_repetition(spark):
     repeats = {(r.conv_id, r.turn): r.repeat for r in conversations.repeats(df, 0.6).collect()}
     assert repeats == {k: r >= 0.6 for k, (r, _) in want.items()}
     assert conversations.repetition(df.where("false")).count() == 0
+
+
+def test_sequence_ratio_is_difflibs():
+    rng = random.Random(7)
+    for n in range(300):
+        letters = "abcdefghijklmnopqrstuvwxyz "[: rng.choice((1, 2, 4, 27))]
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in "ab")
+        if n % 2:
+            b = b[:20] + a[5:40] + b[20:]
+        assert conversations.ratio(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), (a, b)
+
+
+def test_pairs_of_one_conversation_are_many_tasks(spark):
+    rows = [(1, i, "assistant", "abc " * (i % 5)) for i in range(200)]
+    pairs = conversations.repetition(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 4
+    assert pairs.count() == 199
+
+
+def test_lanes_and_single_pairs_agree(monkeypatch):
+    rng = random.Random(3)
+    a, b = (["".join(rng.choice("abc") for _ in range(rng.randrange(200))) for _ in range(60)] for _ in "ab")
+    alone = similarity.common_lengths(a, b)
+    monkeypatch.setattr(similarity, "LANES", 0)
+    assert similarity.common_lengths(a, b).tolist() == alone.tolist() == [common(x, y) for x, y in zip(a, b)]
