@@ -92,3 +92,19 @@ def test_bitmap_ranking(spark, monkeypatch):
     table = lambda df: sorted(map(tuple, df.select("query", "matches", "docs").collect()))
     assert table(conditions.count_table(index, asked)) == table(counts.groupBy("query", "matches").agg(F.count("*").alias("docs")))
     assert conditions.top(index.where("false"), asked, scores, 15).count() == 0
+
+
+def test_conditions_meet_only_asked_rows(spark, monkeypatch):
+    """Rows that no query asks for are not dealt, rows of the index may repeat, and counts of `least` fields are those of all counts."""
+    monkeypatch.setattr(bitmaps, "MEANT", 100)
+    rng = random.Random(4)
+    rows = [(d, f, str(rng.randint(0, n))) for d in range(500) for f, n in (("a", 2), ("b", 9), ("c", 400))]
+    index = spark.createDataFrame(rows + rows[:300], "doc int, field string, value string")
+    asked = spark.createDataFrame([(q, f, str(q % 3)) for q in range(6) for f in "ab"], "query int, field string, value string")
+    kept = conditions.asked_rows(index, conditions.probes(asked))
+    assert {r.probe for r in kept.select("probe").distinct().collect()} == {"a", "b"} and kept.count() == sum(f in "ab" and int(v) < 3 for _, f, v in rows + rows[:300])
+    counts = conditions.match_counts(index, asked)
+    key = lambda df: sorted(map(tuple, df.select("query", "doc", "matches").collect()))
+    assert key(conditions.matches(index, asked, 2)) == key(counts.where("matches >= 2"))
+    want = counts.groupBy("query", "matches").agg(F.count("*").alias("docs"))
+    assert sorted(map(tuple, conditions.count_table(index, asked).collect())) == sorted(map(tuple, want.collect()))
