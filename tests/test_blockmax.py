@@ -61,3 +61,22 @@ def test_a_document_in_several_rows(spark):
     found = lexical.index(docs)
     got, want = ({(r.doc, r["rank"]): round(r.score, 5) for r in df.collect()} for df in (lexical.best(found, terms, 9), lexical.top(lexical.search(found, terms), 9)))
     assert got == want and len(got) == 3
+
+
+def test_texts_are_read_once(spark):
+    """An index made for one run and its search: each text goes through the tokenizer once, and the traversal is dealt out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def words(text):
+        seen.add(1)
+        return text.split()
+
+    rows = [(i, f"common w{i % 7} w{i % 11} w{i % 7}") for i in range(300)]
+    docs = lexical.documents(spark.createDataFrame(rows, "id bigint, text string").repartition(3), "id", F.col("text"), F.udf(words, "array<string>").asNondeterministic())
+    terms = lexical.query_terms(spark.createDataFrame([(1, "common w3 w5"), (2, "w10")], "q int, text string"), "q", F.col("text"))
+    found = lexical.index(docs, terms.select("term").distinct())
+    got = lexical.best(found, terms, 5).collect()
+    assert len(got) == 10 and seen.value == len(rows)
+    want = lexical.top(lexical.search(lexical.Index(found.postings, found.terms, found.corpus), terms), 5)
+    assert sorted((r.query, r["rank"], r.doc) for r in got) == sorted((r.query, r["rank"], r.doc) for r in want.collect())
+    assert {r.term for r in found.postings.select("term").distinct().collect()} == {"common", "w3", "w5", "w10"}
