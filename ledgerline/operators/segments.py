@@ -48,22 +48,24 @@ class Snapshot:
         found = [self.spark.read.parquet(f"{self.folder}/{p}/{name}").withColumn("part", F.lit(p)) for p in (self.segments if parts is None else parts)]
         return reduce(DataFrame.unionByName, found) if found else None
 
-    def living(self, name: str) -> DataFrame | None:
-        """Rows (part, doc, ...) of a table of all segments, of documents that are not deleted."""
+    def living(self, name: str, used: DataFrame | None = None) -> DataFrame | None:
+        """Rows (part, doc, ...) of a table of all segments, of documents that are not deleted; used (term): the terms that are wanted."""
         every = self._table(name)
+        if every is not None and used is not None:  # before the rows of deleted documents are looked for
+            every = every.join(used, "term", "left_semi")
         gone = self._table("gone", self.deletions)
         if every is None or gone is None:
             return every
         return every.join(gone.select(F.col("segment").alias("part"), "doc"), ["part", "doc"], "left_anti")
 
-    def index(self) -> lexical.Index:
-        """The living documents as a BM25 index."""
+    def index(self, used: DataFrame | None = None) -> lexical.Index:
+        """The living documents as a BM25 index; used (term): postings of these terms only."""
         if not self.segments:
             raise ValueError("an index without segments")
         signed = lambda name: reduce(DataFrame.unionByName, [x.withColumn("sign", F.lit(s)) for x, s in ((self._table(name), 1), (self._table(name, self.deletions), -1)) if x is not None])
         terms = signed("terms").groupBy("term").agg(F.sum(F.col("df") * F.col("sign")).alias("df")).where("df > 0")
         counts = signed("counts").agg(F.sum(F.col("n") * F.col("sign")).alias("n"), F.sum(F.col("tokens") * F.col("sign")).alias("tokens"))
-        return lexical.Index(self.living("postings").drop("part"), terms, counts.select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).alias("avgdl")))
+        return lexical.Index(self.living("postings", used).drop("part"), terms, counts.select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).alias("avgdl")))
 
     def _next(self, segments: list[str], deletions: list[str]) -> Snapshot:
         """Makes the next snapshot visible."""
@@ -75,9 +77,9 @@ class Snapshot:
     def _write(self, docs: DataFrame) -> str:
         """A segment of documents (doc, dl, tokens)."""
         name = f"segment-{uuid.uuid4().hex}"
-        docs.select("doc", "dl").write.parquet(f"{self.folder}/{name}/docs")
-        postings = lexical.postings(docs)
-        return self._finished(name, postings)
+        found = lexical.index(docs)  # texts are read once
+        found.counted.select("doc", "dl").write.parquet(f"{self.folder}/{name}/docs")
+        return self._finished(name, found.postings)
 
     def _finished(self, name: str, postings: DataFrame) -> str:
         path = f"{self.folder}/{name}"
@@ -181,7 +183,7 @@ def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("doc"))
     at = create(spark, f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}", settings).add(docs).delete(toxic)
     asked = lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
-    return lexical.best(at.index(), asked, 10).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", "rank")
+    return lexical.best(at.index(asked.select("term").distinct()), asked, 10).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", "rank")
 
 
 QUERIES = {"bm25_segments": bm25_segments}
