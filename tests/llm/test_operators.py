@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -186,6 +187,50 @@ def test_passages_by_words(spark):
     assert suffix_dedup.without_short(gone, b"aa b ccdd", 0).tolist() == gone.tolist()
 
 
+def shared_words(texts, n=suffix_dedup.PASSAGE):
+    """Runs of words that n words elsewhere cover, and their words, of each text, brute force."""
+    texts = [[w for w in re.split(rb"[ \t\n\v\f\r]", t) if w] for t in texts]
+    c = Counter(tuple(t[i : i + n]) for t in texts for i in range(len(t) - n + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - n + 1):
+            if c[tuple(t[i : i + n])] > 1:
+                gone[i : i + n] = b"\1" * n
+        out.append((sum(map(bool, bytes(gone).split(b"\0"))), sum(gone)))
+    return out
+
+
+@pytest.mark.parametrize("contexts", [512, 2])
+def test_passages_elsewhere(spark, edge, monkeypatch, tmp_path, contexts):
+    """op3 tells passages of 50 words that are elsewhere, shorter than 400 bytes or not, and removes none for it."""
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", contexts)
+    short, few, hot = " ".join(f"w{i:02}" for i in range(55)), " ".join(f"v{i:02}" for i in range(49)), " ".join(f"u{i:02}" for i in range(70))
+    around = lambda k, p: f"{prose(600 + k, 30)} {p} {prose(700 + k, 30)}"
+    texts = [(100, around(0, short)), (101, around(1, short.replace(" ", "\n\u00a0x ", 1))), (102, around(2, short.replace(" ", "\t  "))), (103, around(3, few)), (104, around(4, few)), (105, short), (106, "\u00a0".join(short.split()))]
+    texts += [(110 + i, around(10 + i, " ".join(hot.split()[i : 62 + i // 2]))) for i in range(12)]
+    docs = edge.unionByName(documents(spark, texts))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = rows(suffix_dedup.op3_suffix_dedup(spark, str(tmp_path)))
+    found = docs.select("doc_id", "text").collect()
+    want = shared_words([common.text_bytes(r.text) for r in found])
+    assert Counter((r["doc_id"], r["n_passages"], r["passage_words"]) for r in out) == Counter((r.doc_id, *w) for r, w in zip(found, want))
+    got = {r["doc_id"]: r for r in out}
+    assert [got[k]["passage_words"] for k in range(100, 107)] == [55, 54, 55, 0, 0, 55, 0]
+    assert [got[k]["n_removed"] for k in range(100, 107)] == [0] * 7
+
+
+def test_repeated_places_of_words():
+    rng = random.Random(6)
+    for alphabet in ("ab", "abcdefgh"):
+        base = [rng.choice(alphabet) * rng.randint(1, 9) for _ in range(400)]
+        texts = [base[(s := rng.randrange(300)) : s + rng.randrange(5, 99)] for _ in range(12)] + [["a"] * 80, ["a"] * 51]
+        n = suffix_dedup.PASSAGE
+        c = Counter(tuple(t[i : i + n]) for t in texts for i in range(len(t) - n + 1))
+        for t, got in zip(texts, suffix_dedup.repeated_places([" ".join(t).encode() for t in texts], n, suffix_dedup.WORDS)):
+            assert got.tolist() == [c[tuple(t[i : i + n])] > 1 for i in range(max(0, len(t) - n + 1))]
+
+
 # 4: lattice
 
 
