@@ -3,7 +3,8 @@
 Language ID drops texts that have no letter or no language of at least half their letters; SimHash
 near-dedup keeps one document of each group; suffix-array dedup cuts repeated bytes out of texts;
 decontamination drops documents that hold a benchmark item; BPE gives the token digests of what is
-left. Each stage reads the Parquet table that the one before it wrote. Nulls, empty texts, repeated
+left. Each stage reads the Parquet table that the one before it wrote, and limits the batches that
+Spark sends to Python workers, where the session has no limit (common.small_batches). Nulls, empty texts, repeated
 rows and empty tables have the results that the operators' docstrings state.
 """
 
@@ -23,6 +24,7 @@ PASSAGE, PASSAGE_BYTES = 50, 200
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language; learned from the rows that have a label."""
+    common.small_batches(spark)
     model = langid.fit(docs, F.lit(True))
     if not model.languages:  # nothing to learn from: no decision
         return docs
@@ -33,21 +35,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8)."""
+    common.small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without passages of PASSAGE words or more that are elsewhere, too."""
+    common.small_batches(spark)
     return suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, PASSAGE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
+    common.small_batches(spark)
     return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token digests of each row."""
+    common.small_batches(spark)
     return bpe.digests(docs)
 
 

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
+#: Bytes of a batch of rows that goes to a Python worker at a time, if the session names none.
+BATCH = 4 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -43,6 +47,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends rows to Python workers in batches of BATCH bytes at most, unless the session has a limit of its own.
+
+    By Spark's default (64 MB) the texts or shingle sets of one batch take much of what an executor has
+    beside its heap, on both sides, and little of that is given back between tasks.
+    """
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -49,7 +49,7 @@ PASSAGE, WORD_GRAM = 50, 4
 #: Numbers of the two kinds of symbols, as in the lowest bit of a gram's hash.
 BYTES, WORDS = 0, 1
 #: Contexts of one anchor in a shard, bytes of a suffix array.
-CONTEXTS, SHARD = 512, 1 << 20
+CONTEXTS, SHARD = 512, 1 << 19
 SLICE = 1 << 19
 #: Words of 8 bytes, or symbols, that a step of comparing goes on by once the first agree.
 LOOK = 16
@@ -176,15 +176,18 @@ def suffix_order(data: np.ndarray, left: np.ndarray, length: int = LENGTH) -> np
     """
     n = len(data)
     words = data if data.dtype == np.uint64 else common.unaligned_u64(np.concatenate([data, np.zeros(8, np.uint8)]))[:n].byteswap()
-    order = np.argsort(words)
+    narrow = np.int32 if n < 1 << 31 else np.int64
+    order = np.argsort(words).astype(narrow)
     ordered = words[order]
+    del words
     fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = group
+    del ordered
+    rank = np.empty(n, narrow)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=narrow), narrow(0)))
     single = np.empty(n, bool)
     single[order] = fresh & np.append(fresh[1:], True)
-    active = np.flatnonzero(~single)
+    del order, fresh
+    active = np.flatnonzero(~single).astype(narrow)
     have = 8 // data.itemsize
     while have < length:
         step = min(have, length - have)
@@ -192,19 +195,21 @@ def suffix_order(data: np.ndarray, left: np.ndarray, length: int = LENGTH) -> np
         if len(active):
             # the first `have` symbols here, then those from `step` on
             old = rank[active]
-            key = old * n + rank[active + step]
+            key = old * np.int64(n) + rank[active + narrow(step)]
             by = np.argsort(key)
             key, active, old = key[by], active[by], old[by]
+            del by
             start = np.concatenate([[True], old[1:] != old[:-1]])
             fresh = np.concatenate([[True], key[1:] != key[:-1]])
-            at = np.arange(len(key))
-            rank_new = old + at - np.maximum.accumulate(np.where(start, at, 0))
-            rank_new = rank_new[np.maximum.accumulate(np.where(fresh, at, 0))]
+            del key
+            at = np.arange(len(old), dtype=narrow)
+            rank_new = old + at - np.maximum.accumulate(np.where(start, at, narrow(0)))
+            rank_new = rank_new[np.maximum.accumulate(np.where(fresh, at, narrow(0)))]
             lone = fresh & np.append(fresh[1:], True)
             rank[active] = rank_new
             active = active[~lone]
         have += step
-    whole = np.flatnonzero(left >= length)
+    whole = np.flatnonzero(left >= length).astype(narrow)
     return whole[np.argsort(rank[whole], kind="stable")]
 
 
@@ -219,7 +224,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, lef
     by_word = data.dtype == np.uint64
     padded = np.concatenate([data, np.zeros(length + 8 * LOOK + 16, data.dtype)])
     words, most = (padded, 1) if by_word else (common.unaligned_u64(padded), 8)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
     wanted = np.zeros(n, bool)
     wanted[order] = True
@@ -251,7 +256,8 @@ def repeated_places(texts: list[bytes], length: int = LENGTH, kind: int = BYTES)
     """For each text, which of its windows of `length` symbols are somewhere else in the texts, too."""
     data, sizes = laid_out(texts, kind)
     starts = np.cumsum(sizes) - sizes
-    left = np.repeat(starts + sizes, sizes) - np.arange(len(data))
+    narrow = np.int32 if len(data) < 1 << 31 else np.int64
+    left = np.repeat((starts + sizes).astype(narrow), sizes) - np.arange(len(data), dtype=narrow)
     order = suffix_order(data, left, length)
     shared = common_prefixes(data, order, starts, left, length) >= length
     hit = np.zeros(len(data), bool)
@@ -293,11 +299,10 @@ def _array_rows(group: list[dict], length: int, kind: int) -> Iterator[pa.Record
             offset = np.arange(len(hit)) + before - x["left"]
             likely = np.where(offset <= half, x["l2"], True) & np.where(offset >= half, x["r2"], True)
             data, _ = laid_out([x["bytes"]], kind)
-            for o in np.flatnonzero(likely):
-                digests.append(xxhash.xxh3_64_intdigest(data[o : o + length].tobytes()))
-                owners.append((x["c"], -1 if hit[o] else o))
-        d = np.array(digests, dtype=np.uint64)
-        own = np.array(owners, dtype=np.int64).reshape(-1, 2)
+            at = np.flatnonzero(likely)
+            digests.append(np.fromiter((xxhash.xxh3_64_intdigest(data[o : o + length].tobytes()) for o in at), np.uint64, len(at)))
+            owners.append(np.stack([np.full(len(at), x["c"], np.int64), np.where(hit[at], -1, at)], axis=1))
+        d, own = np.concatenate(digests), np.concatenate(owners)
         # of windows that are settled, one of each is enough
         settled = own[:, 1] < 0
         first = np.zeros(len(d), bool)
@@ -317,7 +322,7 @@ def _array_rows(group: list[dict], length: int, kind: int) -> Iterator[pa.Record
 def shards(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...] = (LENGTH,)) -> Iterator[pa.RecordBatch]:
     """Suffix arrays over contexts sorted by (g, salt, c); whole groups, about SHARD bytes each."""
     held, size, last = [], 0, None
-    for b in batches:
+    for b in common.in_bounds(batches, "bytes", SHARD):
         for x in b.to_pylist():
             name = (x["g"], x["salt"])
             if name != last and size >= SHARD:
@@ -350,7 +355,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of contexts, one copy of each: wanted has (doc_id, h, list of contexts)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.in_bounds(batches):
+        for b in common.in_bounds(batches, most=SLICE):
             out = []
             for t, items in zip(b.column("text").to_pylist(), b.column("items").to_pylist()):
                 data = common.text_bytes(t)

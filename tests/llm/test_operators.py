@@ -5,14 +5,17 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerline.llm import bpe, common, components, decontaminate, langid, lattice_lm, registry, sentence_spans, simhash, suffix_dedup, token_files, topk, url_filters
 
 from .conftest import EDGE, documents, prose
@@ -699,3 +702,51 @@ def test_digests(spark, edge, nothing):
 
 def test_registry():
     assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_suffix_shards_hold_little():
+    """Contexts of many anchors are taken in parts: a worker holds some 40 MB, however many come in one batch."""
+    rng, rows, n = random.Random(5), [], 5000
+    for i in range(n):
+        if i % 10 == 0:
+            common_part = bytes(rng.choices(b"abcdefgh ", k=384))
+        text = bytearray(common_part)
+        text[rng.randrange(384)] = 65 + i % 26
+        rows.append({"g": i // 10 * 2, "c": i, "n": 1, "salts": 1, "salt": 0, "left": 184, "l2": True, "r2": True, "bytes": bytes(text)})
+    kinds = {"g": pa.int64(), "c": pa.int64(), "n": pa.int64(), "salts": pa.int32(), "salt": pa.int32(), "left": pa.int32(), "l2": pa.bool_(), "r2": pa.bool_(), "bytes": pa.binary()}
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema(list(kinds.items())))
+    tracemalloc.start()
+    out = [x for b in suffix_dedup.shards(iter([batch]), (200,)) for x in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 48e6
+    found = {x["c"]: x["found"] for x in out}
+    for first in range(0, n, 1000):
+        texts = [r["bytes"] for r in rows[first : first + 10]]
+        windows = Counter(t[i : i + 200] for t in texts for i in range(185))
+        for k, t in enumerate(texts):
+            hit = {i for i in range(185) if windows[t[i : i + 200]] > 1}
+            got = found.get(first + k, [])
+            assert hit == {i for a, b in zip(got[::2], got[1::2]) for i in range(a, b + 1)}
+
+
+def test_pipeline_limits_batches(spark, nothing, sf_dir):
+    """Rows go to Python workers in batches of few bytes, unless the session says how many."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    texts = spark.createDataFrame([(i, "x" * 10_000) for i in range(2000)], "doc_id bigint, text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:3]:
+            spark.conf.unset(key)
+            stage(spark, nothing, sf_dir)
+            assert max(r.n for r in texts.mapInArrow(sizes, "n bigint").collect()) < 2 * common.BATCH
+        spark.conf.set(key, "1m")
+        corpus_pipeline.repeat_removal(spark, nothing, sf_dir)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
