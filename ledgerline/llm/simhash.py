@@ -7,6 +7,10 @@ parts of the fingerprint, whose summed differences are a lower bound of the dist
 an equi-join on the class (each class looks for those within the radius around it), so no task
 holds more than two tiles and fingerprints never reach the driver.
 
+The pipeline's stage compares sets of shingles. There a tile holds texts that have one sketch hash, or a
+component of the links that failed, in common, and sets of about one size (levels), so its work follows
+the sizes of such groups and not the square of the table.
+
 A tile pair yields links that span its groups, not all pairs, so a large group of near copies costs
 rows in proportion to its size. Copies share a fingerprint and are one node. Components follow from
 the links (components.py).
@@ -24,7 +28,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,6 +46,8 @@ MANY = 1 << 21
 STRIP, SETS = 128, 64
 #: Bytes of shingle sets in a tile, about.
 TILE_BYTES = 8 << 20
+#: Texts with one sketch hash in common that are compared beside other such groups; larger groups go to tiles. Rows that are held for it at a time, about.
+GROUP, ROWS = 256, 1 << 16
 
 
 def shingles(data: bytes, words: int) -> list[bytes]:
@@ -99,9 +105,9 @@ def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,)
 
 
 def set_fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...], sketch: int) -> DataFrame:
-    """(doc_id, h, node, f0, f1, ..., sketch): fingerprints of the distinct shingles, and the `sketch` smallest of their hashes.
+    """(doc_id, h, node, f0, f1, ..., size, sketch): fingerprints of the distinct shingles, and the `sketch` smallest of their hashes.
 
-    node names the set of shingles, h is the hash of the text.
+    node names the set of shingles, size is how many it has, h is the hash of the text.
     """
     names = [f"f{i}" for i in range(len(seeds))]
 
@@ -110,9 +116,10 @@ def set_fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...], sketch
             rows, sets = zip(*(fingerprint(common.text_bytes(t), words, seeds, True) for t in b.column("text").to_pylist()))
             columns = np.array(rows, dtype=np.int64).reshape(-1, len(seeds)).T
             nodes, least = pa.array(list(map(set_name, sets)), pa.int64()), pa.array([x[:sketch].view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), nodes, *(pa.array(c) for c in columns), least], names=["doc_id", "h", "node", *names, "sketch"])
+            size = pa.array(list(map(len, sets)), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), nodes, *(pa.array(c) for c in columns), size, least], names=["doc_id", "h", "node", *names, "size", "sketch"])
 
-    schema = "doc_id bigint, h bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names) + ", sketch array<bigint>"
+    schema = "doc_id bigint, h bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names) + ", size bigint, sketch array<bigint>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
 
 
@@ -189,6 +196,38 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
     return pairs[:, 0], pairs[:, 1]
 
 
+def near_in_groups(group: np.ndarray, size: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
+    """Index pairs within the radius of rows of one group ([n, 2]) whose set sizes allow SIMILAR; rows are sorted by group and size."""
+    at, step, out = np.arange(len(group)), 1, [np.zeros((0, 2), np.int64)]
+    while len(at):
+        at = at[at + step < len(group)]
+        other = at + step
+        at = at[(group[other] == group[at]) & (size[at] * SIMILAR[1] >= size[other] * SIMILAR[0])]
+        near = at[np.bitwise_count(prints[at] ^ prints[at + step]).sum(1) <= radius]
+        out.append(np.stack([near, near + step], axis=1))
+        step += 1
+    pairs = np.concatenate(out)
+    return pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]  # links to a group's first row, where it is near, come first
+
+
+def spanning(pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs ([n, 2]) that join groups, taken in their order."""
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (up := parent.setdefault(i, i)) != i:
+            parent[i] = i = parent[up]
+        return i
+
+    joins = np.zeros(len(pairs), bool)
+    for k, (i, j) in enumerate(pairs.tolist()):
+        x, y = root(i), root(j)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            joins[k] = True
+    return pairs[joins]
+
+
 def similar(a: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """Which sorted sets have a similarity of SIMILAR at least with the sorted set a; none of them is empty."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -253,25 +292,62 @@ def tiles(prints: DataFrame, words: int, parts: int, radius: int, size: int, mor
     return packed, sizes
 
 
+def level(size):
+    """The class of a set's size: sets of a similarity of SIMILAR have the same or the next one."""
+    return F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit(SIMILAR[1] / SIMILAR[0] * (1 + 1e-9)))).cast("bigint")
+
+
+def keyed_tiles(rows: DataFrame, words: int, size: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """rows (key, f0, ..., size) -> tiles (key, class, tile, prints) of one key each: all of a key where they fit, else of one level.
+
+    Of a tile's fullness holds what tiles() says.
+    """
+    needed = F.count("*") / size
+    if "hashes" in more:
+        needed = F.greatest(needed, F.sum(F.col("size") * 8) / TILE_BYTES)
+    own = rows.withColumn("level", level(F.col("size")))
+    # a row for each level of a key; written, as the join with its rows is then plain
+    sizes = own.groupBy("key", "level").agg(needed.alias("needed"))
+    whole = F.sum("needed").over(Window.partitionBy("key")) <= 1
+    sizes = sizes.select("key", "level", F.when(whole, 0).otherwise(F.col("level")).alias("class"), F.when(whole, 1).otherwise(F.ceil("needed")).cast("int").alias("n_tiles"))
+    sizes = common.scratch(sizes, "levels")
+    placed = own.join(sizes, ["key", "level"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.col("n_tiles")).cast("int"))
+    # in order, so groups that share most of their rows have most of their links in common
+    packed = placed.groupBy("key", "class", "tile").agg(F.sort_array(F.collect_list(F.struct(*(f"f{w}" for w in range(words)), *more))).alias("prints"))
+    packed = common.scratch(packed, "tiles")
+    common.drop(sizes)
+    return packed
+
+
 def near_links(prints: DataFrame, radius: int = 3, words: int = 1, parts: int = 2, size: int | None = None, named: bool = False, verified: bool = False) -> DataFrame:
     """Links (a, b) between distinct fingerprints (structs of words) that span all groups within the radius.
 
     named: a and b are the values of a column node in place of the words. verified: links are of sets
     (column hashes) of a similarity of SIMILAR at least, and span these groups with those of a column known.
     """
-    spark = prints.sparkSession
     more = ("node",) * named + ("known", "hashes") * verified
     packed, sizes = tiles(prints, words, parts, radius, size or TILE, more)
     packed = common.scratch(packed, "tiles")
-    width = WORD * words // parts
-    steps = near_classes(parts, width, radius)
+    steps = near_classes(parts, WORD * words // parts, radius)
     offsets = [sum(x * 1000 ** (parts - 1 - i) for i, x in enumerate(d)) for d in steps]
-    a = packed.select(F.col("class").alias("class_a"), F.col("tile").alias("tile_a"), F.col("prints").alias("prints_a"))
-    names = a.select("class_a", "tile_a", F.explode(F.array(*map(F.lit, offsets))).alias("step")).select("class_a", "tile_a", (F.col("class_a") + F.col("step")).alias("class"))
-    met = packed.select("class", "tile")
-    pairs = names.join(met, "class").where("class > class_a or tile >= tile_a")
+    return meet(packed, [], offsets, radius, words, named, verified)
+
+
+def keyed_links(rows: DataFrame, radius: int, words: int, verified: bool = False) -> DataFrame:
+    """near_links of named rows (key, node, f0, ..., size) that have a key in common, between sets whose sizes allow SIMILAR (tiles may add others)."""
+    packed = keyed_tiles(rows, words, WIDE_TILE, ("node",) + ("known", "hashes") * verified)
+    return meet(packed, ["key"], [0, 1], radius, words, True, verified)
+
+
+def meet(packed: DataFrame, keys: list[str], offsets: list[int], radius: int, words: int, named: bool, verified: bool) -> DataFrame:
+    """Links between tiles (keys, class, tile, prints) of the same keys whose classes differ by an offset."""
+    spark = packed.sparkSession
+    a = packed.select(*keys, F.col("class").alias("class_a"), F.col("tile").alias("tile_a"), F.col("prints").alias("prints_a"))
+    names = a.select(*keys, "class_a", "tile_a", F.explode(F.array(*map(F.lit, offsets))).alias("step")).select(*keys, "class_a", "tile_a", (F.col("class_a") + F.col("step")).alias("class"))
+    met = packed.select(*keys, "class", "tile")
+    pairs = names.join(met, [*keys, "class"]).where("class > class_a or tile >= tile_a")
     # names of tile pairs first; the tiles themselves join by (class, tile)
-    full = pairs.join(a, ["class_a", "tile_a"]).join(packed, ["class", "tile"]).repartition(max(common.partitions(spark), 1), "class", "tile", "class_a", "tile_a")
+    full = pairs.join(a, [*keys, "class_a", "tile_a"]).join(packed, [*keys, "class", "tile"]).repartition(max(common.partitions(spark), 1), *keys, "class", "tile", "class_a", "tile_a")
     n = words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,46 +418,79 @@ def sets_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, words: int, seed
     return common.scratch(shingle_sets(docs, wanted, words, seed), "sets")
 
 
-def alike(links: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, seed: int) -> DataFrame:
-    """links (a, b) between nodes (node, h) with `near`: whether their shingle sets have a similarity of SIMILAR."""
-    sets = sets_of(docs, nodes, links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words, seed)
+def alike(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """links (a, b) between nodes with `near`: whether their shingle sets (node, hashes) have a similarity of SIMILAR."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"hashes_{name}"))
     met = links.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("bigint")
     union = F.size("hashes_a").cast("bigint") + F.size("hashes_b") - both
-    out = common.scratch(met.select("a", "b", (both * SIMILAR[1] >= union * SIMILAR[0]).alias("near")), "alike")
-    common.drop(sets)
+    return common.scratch(met.select("a", "b", (both * SIMILAR[1] >= union * SIMILAR[0]).alias("near")), "alike")
+
+
+def shared_links(keyed: DataFrame, radius: int, words: int) -> DataFrame:
+    """Scratch table (a, b) of links between nodes that span, for each key, the groups of nodes with that key within the radius.
+
+    keyed: (key, n, node, f0, ..., size), n rows with the key. Only pairs whose sizes allow SIMILAR need be met.
+    """
+    names = [f"f{i}" for i in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: np.ndarray) -> pa.RecordBatch:
+            pairs = near_in_groups(rows[:, 0], rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64), radius)
+            ends = np.sort(rows[:, 1][pairs], axis=1)
+            ends = spanning(ends[np.sort(np.unique(ends, axis=0, return_index=True)[1])])
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+        held = np.zeros((0, 3 + words), np.int64)
+        for b in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)])
+            if len(held) >= ROWS:
+                cut = int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last group may go on
+                yield links(held[:cut])
+                held = held[cut:]
+        yield links(held)
+
+    few = keyed.where(F.col("n") <= GROUP).select("key", "node", "size", *names)
+    few = few.repartition(max(common.partitions(keyed.sparkSession), 1), "key").sortWithinPartitions("key", "size", "node")
+    many = keyed_links(keyed.where(F.col("n") > GROUP).drop("n"), radius, words)
+    ordered = many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    out = common.scratch(few.mapInArrow(run, "a bigint, b bigint").unionByName(ordered).distinct(), "near")
+    common.drop(many._tiles)
     return out
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, words: int, seed: int, n_seeds: int) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, radius: int, words: int, seed: int, n_seeds: int, keyed: DataFrame | None = None) -> DataFrame:
     """Scratch table (u, v) of similar nodes that spans each group of nodes linked by similar pairs within the radius.
 
-    nodes: (node, h, f0, ...). Spanning links within the radius are checked first. Where one fails, a
-    pair that it stands for may still be similar: components with a failed link go to tiles once more,
+    nodes: (node, h, f0, ...). keyed: as of shared_links, if only nodes with a key in common are to be
+    compared. Spanning links within the radius are checked first. Where one fails, a pair that it stands
+    for may still be similar: the nodes of a component with a failed link go to tiles of that component,
     with their sets; pairs within the radius whose ends are not yet in one group are checked there, and
     only links that join groups come out, so a large family costs rows in proportion to its size.
     """
     names = [f"f{i}" for i in range(n_seeds)]
-    links = near_links(nodes.select(*names, "node"), radius, n_seeds, 1, WIDE_TILE, named=True)
-    spanning = common.scratch(links, "near")
-    common.drop(links._tiles)
-    checked = alike(spanning, docs, nodes, words, seed)
-    common.drop(spanning)
+    if keyed is None:
+        links = near_links(nodes.select(*names, "node"), radius, n_seeds, 1, WIDE_TILE, named=True)
+        linked = common.scratch(links, "near")
+        common.drop(links._tiles)
+    else:
+        linked = shared_links(keyed, radius, n_seeds)
+    sets = sets_of(docs, nodes, linked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words, seed)
+    checked = alike(linked, sets)
+    common.drop(linked)
     sure = checked.where("near").select(F.col("a").alias("u"), F.col("b").alias("v"))
     if checked.where("not near").isEmpty():
         out = common.scratch(sure, "similar")
-        common.drop(checked)
+        common.drop(checked, sets)
         return out
     roots = common.scratch(components(checked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     failed = checked.where("not near").select(F.col("a").alias("node")).join(roots, "node").select("root").distinct()
-    open_nodes = common.scratch(roots.join(failed, "root", "left_semi").select("node"), "open")
-    sets = sets_of(docs, nodes, open_nodes, words, seed)
     groups = components(sure).withColumnRenamed("root", "known")
-    left = nodes.join(sets, "node").join(groups, "node", "left").withColumn("known", F.coalesce("known", "node"))
-    left = common.scratch(left.select(*names, "node", "known", "hashes"), "open")
-    common.drop(roots, open_nodes, sets)
-    links = near_links(left, radius, n_seeds, 1, WIDE_TILE, named=True, verified=True)
+    left = roots.join(failed, "root", "left_semi").withColumnRenamed("root", "key").join(nodes.select("node", *names), "node").join(sets, "node")
+    left = left.join(groups, "node", "left").withColumn("known", F.coalesce("known", "node"))
+    left = common.scratch(left.select("key", *names, F.size("hashes").cast("bigint").alias("size"), "node", "known", "hashes"), "open")
+    common.drop(roots, sets)
+    links = keyed_links(left, radius, n_seeds, verified=True)
     out = common.scratch(sure.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "similar")
     common.drop(checked, links._tiles, left)
     return out
@@ -409,8 +518,8 @@ def keep_one(docs: DataFrame, words: int = 5, seeds: tuple[int, ...] = (42, 43,
     A similarity s of shingle sets is a cosine of 2s / (1 + s), and a fingerprint bit differs with the
     angle's share of a half turn: for 0.8, 38.6 of 256 bits on average, with a deviation of 5.7. The
     radius has room for nearly all such pairs, and unrelated texts (128 bits) are nine deviations off.
-    Only fingerprints are compared whose texts have one of their SKETCH smallest shingle hashes in common
-    with another text's: at 0.8, one in 200 million pairs has none.
+    Only fingerprints are compared whose texts have one of their SKETCH smallest shingle hashes in common:
+    at 0.8, one in 200 million pairs has none.
     A document is an id with a text: of rows that share both, one stays, and rows that share an id only
     are documents of their own. The document with the smallest id stays (with the smallest text hash, if
     it is there with several texts of the group). Rows without an id stay.
@@ -418,18 +527,18 @@ def keep_one(docs: DataFrame, words: int = 5, seeds: tuple[int, ...] = (42, 43,
     prints = common.scratch(set_fingerprints(docs, words, seeds, SKETCH), "fingerprints")
     names = [f"f{i}" for i in range(len(seeds))]
     document = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))
-    nodes = prints.groupBy("node").agg(F.min(document).alias("least"), F.min("h").alias("h"), *(F.first(n).alias(n) for n in names))
+    nodes = prints.groupBy("node").agg(F.min(document).alias("least"), F.min("h").alias("h"), F.first("size").alias("size"), *(F.first(n).alias(n) for n in names))
     nodes = common.scratch(nodes, "nodes")
     # read back, the join is plain and its large partitions can be split
-    each = prints.select("node", F.explode("sketch").alias("s")).distinct()
-    shared = common.scratch(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"), "sketches")
-    compared = common.scratch(nodes.join(each.join(shared, "s").select("node").distinct(), "node", "left_semi"), "compared")
+    each = prints.select("node", F.explode("sketch").alias("key")).distinct()
+    shared = common.scratch(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sketches")
+    keyed = common.scratch(each.join(shared, "key").join(nodes.select("node", *names, "size"), "node").select("key", "n", "node", *names, "size"), "keyed")
     common.drop(shared)
-    found = similar_links(docs, compared, radius, words, seeds[0], len(seeds))
+    found = similar_links(docs, nodes, radius, words, seeds[0], len(seeds), keyed)
     known = common.scratch(nodes.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "least"), "known")
     lowest = common.scratch(known.groupBy("root").agg(F.min("least").alias("stays")), "lowest")
     named = common.scratch(known.join(lowest, "root").select("node", "stays"), "named")
-    common.drop(nodes, compared, found, known, lowest)
+    common.drop(nodes, keyed, found, known, lowest)
     gone_id, gone_h, h = common.fresh(docs, "gone_id", "gone_h", "h")
     gone = prints.join(named, "node").where(document != F.col("stays")).select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
     kept = docs.withColumn(h, F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(h) == F.col(gone_h)), "left_anti")

@@ -537,6 +537,87 @@ def test_similar_pairs_behind_failed_links(spark):
     assert {r.doc_id for r in simhash.keep_one(documents(spark, texts), radius=256).collect()} == want
 
 
+def brute_kept(texts: list[tuple[int, str]]) -> set[int]:
+    label = {i: i for i, _ in texts}
+    for (i, a), (j, b) in itertools.combinations(texts, 2):
+        if similarity(a, b) >= 0.8:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = {k: new if v == old else v for k, v in label.items()}
+    return set(label.values())
+
+
+def families(n: int, size: int) -> list[tuple[int, str]]:
+    """Texts of n families that have nothing in common; neighbours of a family have a similarity of some 0.83, others less."""
+    texts = []
+    for k in range(n):
+        words = prose(2000 + k, 120 + 5 * k).split()
+        for i in range(size):
+            words[7 + 23 * (i % 5)] = f"edit{k}x{i}"
+            words[14 + 23 * (i % 5)] = f"edit{k}y{i}"
+            texts.append((100 * k + i, " ".join(words)))
+    return texts
+
+
+def test_work_follows_groups_of_shared_hashes(spark, monkeypatch):
+    """Texts that have no sketch hash in common, even by others between them, are never in tiles that meet."""
+    texts = families(12, 9)
+    family = {simhash.set_name(simhash.shingle_set(t.encode(), 5)): i // 100 for i, t in texts}
+    monkeypatch.setattr(simhash, "WIDE_TILE", 4)
+    monkeypatch.setattr(simhash, "GROUP", 3, raising=False)
+    met = []
+    scratch = common.scratch
+
+    def watched(df, name):
+        out = scratch(df, name)
+        if name == "tiles":
+            key = "key" if "key" in out.columns else F.lit(0)
+            met.extend((name, r.key, family[r.node]) for r in out.select(F.concat_ws("/", key).alias("key"), F.explode("prints.node").alias("node")).collect())
+        return out
+
+    monkeypatch.setattr(common, "scratch", watched)
+    assert {r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()} == brute_kept(texts)
+    assert met and len(set(met)) == len({m[:2] for m in met})
+
+
+@pytest.mark.parametrize("group, held", [(256, 1 << 16), (256, 1), (3, 1)])
+def test_shared_links(spark, monkeypatch, group, held):
+    """Links of keyed rows span, for each key, what is within the radius; groups in tiles, beside others, or across batches."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "ROWS", held)
+    monkeypatch.setattr(simhash, "WIDE_TILE", 4)
+    texts = families(8, 9)
+    prints = simhash.set_fingerprints(documents(spark, texts), 5, (42, 43, 44, 45), 12).localCheckpoint()
+    each = prints.select("node", F.explode("sketch").alias("key"))
+    counts = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = each.join(counts, "key").join(prints.drop("sketch", "h", "doc_id"), "node").select("key", "n", "node", "f0", "f1", "f2", "f3", "size")
+    rows_of = keyed.collect()
+
+    def groups(links):
+        label = {r.node: r.node for r in rows_of}
+        for a, b in links:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = {k: new if v == old else v for k, v in label.items()}
+        return label
+
+    bits = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[3:7], b[3:7]))
+    want = {(a.node, b.node) for a, b in itertools.permutations(rows_of, 2) if a.key == b.key and a.node < b.node and bits(a, b) <= 54 and min(a.size, b.size) * 5 >= max(a.size, b.size) * 4}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = [(r.a, r.b) for r in simhash.shared_links(keyed, 54, 4).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    distance = {r.node: r for r in rows_of}
+    assert want and all(a < b and bits(distance[a], distance[b]) <= 54 for a, b in found) and len(set(found)) == len(found)
+    assert groups(found) == groups(want)
+
+
+def test_levels_of_sizes(spark):
+    """Set sizes of a ratio of 0.8 or more are in the same or the next level."""
+    top = 20_000
+    by = [r.c for r in spark.range(1, top + 1).select(simhash.level(F.col("id")).alias("c")).collect()]
+    assert all(by[(n * 5 // 4) - 1] - by[n - 1] in (0, 1) for n in range(1, top * 4 // 5))
+
+
 def test_links_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "u bigint, v bigint")
     assert {r.node: r.root for r in components.components(links).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
